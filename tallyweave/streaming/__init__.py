@@ -1,0 +1 @@
+"""No streaming operators: late data arrives as a new ledger vintage and is read in batch."""
