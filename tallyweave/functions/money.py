@@ -8,6 +8,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+_LONG = 9.0e18
+
+
 def zero(scale: int = 2) -> Column:
     return F.lit(0).cast(f"decimal(38,{scale})")
 
@@ -20,14 +23,18 @@ def ratio(top: Column, bottom: Column) -> Column:
 def rounded(value: Column, places: int) -> Column:
     """A double rounded half up, by the same IEEE steps on any engine."""
     scale = float(10 ** places)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    near = F.floor(value * F.lit(scale) + F.lit(0.5)).cast("double") / F.lit(scale)
+    # Past this size a double has no digits left to round.
+    return F.when(F.abs(value) < F.lit(_LONG / scale), near).otherwise(value)
 
 
 def to_decimal(value: Column, places: int, precision: int = 38) -> Column:
     """A double as an exact decimal with the given places, rounded half up."""
     unit = F.lit(Decimal(1).scaleb(-places)).cast(f"decimal({places + 1},{places})")
-    whole = F.floor(value * F.lit(float(10 ** places)) + F.lit(0.5)).cast("decimal(20,0)")
-    return (whole * unit).cast(f"decimal({precision},{places})")
+    scale = float(10 ** places)
+    whole = F.floor(value * F.lit(scale) + F.lit(0.5)).cast("decimal(20,0)")
+    kind = f"decimal({precision},{places})"
+    return F.when(F.abs(value) < F.lit(_LONG / scale), (whole * unit).cast(kind)).otherwise(value.cast(kind))
 
 
 def cents(value: Column) -> Column:

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -31,13 +30,20 @@ def local_session(cores: int = 8, app: str = "tallyweave") -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see, as the session names it.
+    """The folder all executors see: the session's ``spark.checkpoint.dir``.
 
     Only where the session names none (tests) is a local one made.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
-        named = tempfile.mkdtemp(prefix="tallyweave-", dir=os.environ.get("TMPDIR", "/tmp"))
-        spark.conf.set("spark.checkpoint.dir", named)
-    spark.sparkContext.setCheckpointDir(named)
+        named = tempfile.mkdtemp(prefix="tallyweave-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(named)
     return named
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared folder: for small results that several later steps read."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
