@@ -53,8 +53,8 @@ def _leg_view(price: str, quantity: str, weight: str) -> str:
     return f"""
 SELECT *, account_type <> 'Revenue' AS is_cost,
        {dec(28, 6, 'plan_amount * plan_fx')} AS plan_usd, {dec(28, 6, 'actual_amount * actual_fx')} AS actual_usd,
-       {dec(37, 12, price)} AS price_effect, {dec(37, 12, quantity)} AS quantity_effect,
-       {dec(28, 6, 'actual_amount * (actual_fx - plan_fx)')} AS fx_effect, {dec(37, 12, weight)} AS weight,
+       {dec(36, 14, price)} AS price_effect, {dec(36, 14, quantity)} AS quantity_effect,
+       {dec(28, 6, 'actual_amount * (actual_fx - plan_fx)')} AS fx_effect, {dec(36, 14, weight)} AS weight,
        {dec(18, 4, 'actual_quantity - plan_quantity')} AS delta_quantity
 FROM matched_priced WHERE account IN {MARGIN_ACCOUNTS}
 """
@@ -65,12 +65,12 @@ SELECT *, {dec(20, 6, 'coalesce(' + units('CAST(actual_amount AS DOUBLE) / nulli
        AS actual_unit_price FROM matched
 """)
 view("leg", _leg_view(
-    f"{dec(28, 8, 'actual_amount - plan_unit_price * actual_quantity')} * plan_fx",
-    f"{dec(28, 8, '(actual_quantity - plan_quantity) * plan_unit_price')} * plan_fx",
-    f"{dec(28, 8, 'plan_quantity * plan_unit_price')} * plan_fx"))
-_BOUGHT = dec(28, 8, "plan_quantity * actual_unit_price")
+    f"{dec(27, 10, 'actual_amount - plan_unit_price * actual_quantity')} * plan_fx",
+    f"{dec(27, 10, '(actual_quantity - plan_quantity) * plan_unit_price')} * plan_fx",
+    f"{dec(27, 10, 'plan_quantity * plan_unit_price')} * plan_fx"))
+_BOUGHT = dec(27, 10, "plan_quantity * actual_unit_price")
 view("leg_price_first", _leg_view(
-    f"({_BOUGHT} - {dec(28, 8, 'plan_quantity * plan_unit_price')}) * plan_fx",
+    f"({_BOUGHT} - {dec(27, 10, 'plan_quantity * plan_unit_price')}) * plan_fx",
     f"(actual_amount - {_BOUGHT}) * plan_fx",
     f"{_BOUGHT} * plan_fx"))
 
@@ -88,20 +88,20 @@ def node_sql(levels: list[str], source: str = "leg", extra: str = "", margin: st
 
     def s(value: str, scale: int, side: str = "") -> str:
         pick = {"": value, "r": f"CASE WHEN NOT is_cost THEN {value} END", "c": f"CASE WHEN is_cost THEN {value} END"}[side]
-        return f"CAST(coalesce(sum({pick}), 0) AS DECIMAL({ {12: 32, 6: 28, 4: 28}[scale]},{scale}))"
+        return f"CAST(coalesce(sum({pick}), 0) AS DECIMAL({ {14: 32, 6: 28, 4: 28}[scale]},{scale}))"
 
-    avg = (f"coalesce(CAST({s('weight', 12, 'r')} AS DOUBLE) / nullif(CAST({s('plan_quantity', 4, 'r')} AS DOUBLE), 0), 0)")
+    avg = (f"coalesce(CAST({s('weight', 14, 'r')} AS DOUBLE) / nullif(CAST({s('plan_quantity', 4, 'r')} AS DOUBLE), 0), 0)")
     return f"""
 SELECT {head}level, line_count, plan_amount, actual_amount, gap, price, volume, CAST(quantity_variance AS DOUBLE) - volume AS mix,
        fx, rate, efficiency, quantity_variance, avg_plan_price,
-       CAST(gap - (price + quantity_variance + fx + rate + efficiency) AS DECIMAL(32,12)) AS residual, tolerance,
-       abs(CAST(gap - (price + quantity_variance + fx + rate + efficiency) AS DECIMAL(32,12))) < tolerance AS ties
+       CAST(gap - (price + quantity_variance + fx + rate + efficiency) AS DECIMAL(32,14)) AS residual, tolerance,
+       abs(CAST(gap - (price + quantity_variance + fx + rate + efficiency) AS DECIMAL(32,14))) < tolerance AS ties
 FROM (SELECT *, CAST(actual_amount - plan_amount AS DECIMAL(28,6)) AS gap,
              CAST(dq AS DOUBLE) * avg_plan_price AS volume FROM (
   SELECT {head}{level} AS level, count(*) AS line_count,
          {s('sgn * plan_usd', 6)} AS plan_amount, {s('sgn * actual_usd', 6)} AS actual_amount, {s('sgn * fx_effect', 6)} AS fx,
-         {s('price_effect', 12, 'r')} AS price, {s('sgn * price_effect', 12, 'c')} AS rate,
-         {s('sgn * quantity_effect', 12, 'c')} AS efficiency, {s('quantity_effect', 12, 'r')} AS quantity_variance,
+         {s('price_effect', 14, 'r')} AS price, {s('sgn * price_effect', 14, 'c')} AS rate,
+         {s('sgn * quantity_effect', 14, 'c')} AS efficiency, {s('quantity_effect', 14, 'r')} AS quantity_variance,
          {s('delta_quantity', 4, 'r')} AS dq, {avg} AS avg_plan_price,
          CAST(greatest(1, count(*) * 0.01::DECIMAL(3,2)) AS DECIMAL(22,2)) AS tolerance
   FROM (SELECT *, CASE WHEN is_cost AND {flag} THEN -1 ELSE 1 END AS sgn FROM {source} WHERE {where})
