@@ -8,6 +8,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Columns that must not leave unmasked.
 SENSITIVE = ("resource_employee", "national_id", "compensation", "customer", "customer_name", "employee",
@@ -24,11 +25,6 @@ def mask_columns(df: DataFrame, sensitive: Sequence[str] = SENSITIVE) -> DataFra
     return df.withColumns({c: token(F.coalesce(F.col(c).cast("string"), F.lit("None"))) for c in named})
 
 
-def _key_value() -> str:
-    keys = "|".join(sorted(SENSITIVE, key=len, reverse=True))
-    return rf"(?iU)\b(?:{keys})\b\s*(?:=|:|is)\s*[^,;\n]+".replace("(?iU)", "(?i)")
-
-
 def mask_text(text: Column) -> Column:
     """``key = value`` fragments of sensitive keys with the value as a token; all other text is kept.
 
@@ -98,9 +94,6 @@ def numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     rows = listed.select(key, "place", "n.claim", F.element_at(F.split("n.before", r"[.;:\n]", -1), -1).alias("window"))
     raw = F.regexp_replace(F.regexp_extract("claim", NUMBER, 1), ",", "")
     scale = F.lower(F.trim(F.regexp_replace(F.regexp_extract("claim", NUMBER, 2), r"\s", "")))
-    size = F.abs(F.try_to_number(F.lit("0"), F.lit("9")).cast(VALUE))
-    power = F.create_map(*[F.lit(x) for k, p in SCALES.items() for x in (k, 10.0 ** p)])
-    del size, power
     rows = rows.withColumns({"raw": raw, "scale": scale})
     unit = F.coalesce(*[F.when(c("scale") == k, F.lit(f"1e{p}").cast("decimal(14,2)")) for k, p in SCALES.items()],
                       F.lit(1).cast("decimal(14,2)"))
@@ -135,23 +128,32 @@ def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, key:
     )
 
 
-def _worded(pattern: str) -> re.Pattern:
-    return re.compile(rf"(?<![A-Za-z])(?:{pattern})(?![A-Za-z])", re.I)
+def reading(window: Column) -> Column:
+    """The measure word nearest before a number, the direction nearest before it, and whether a change is stated.
+
+    The helper is a closure, so it travels to the tasks with its patterns.
+    """
+    def worded(pattern: str) -> str:
+        return rf"(?<![A-Za-z])(?:{pattern})(?![A-Za-z])"
+
+    label_patterns = [(name, worded(pattern)) for name, pattern in LABELS]
+    down_pattern, up_pattern, change_pattern = worded(DOWN), worded(UP), CHANGE
 
+    def read(windows: pd.Series) -> pd.DataFrame:
+        labels = [(name, re.compile(p, re.I)) for name, p in label_patterns]
+        down, up, change = (re.compile(p, re.I) for p in (down_pattern, up_pattern, change_pattern))
+        out = []
+        for text in windows.fillna(""):
+            ends = [(m.end(), m.end() - m.start(), name) for name, p in labels for m in p.finditer(text)]
+            low = max((m.end() for m in down.finditer(text)), default=-1)
+            high = max((m.end() for m in up.finditer(text)), default=-1)
+            way = None if low == high == -1 else "down" if low > high else "up"
+            out.append((max(ends)[2] if ends else None, way, bool(way and change.search(text.rstrip()))))
+        return pd.DataFrame(out, columns=["label", "direction", "change"])
 
-@F.pandas_udf("label string, direction string, change boolean")
-def reading(window: pd.Series) -> pd.DataFrame:
-    """The measure word nearest before a number, the direction nearest before it, and whether a change is stated."""
-    labels = [(name, _worded(pattern)) for name, pattern in LABELS]
-    down, up, change = _worded(DOWN), _worded(UP), re.compile(CHANGE, re.I)
-    out = []
-    for text in window.fillna(""):
-        ends = [(m.end(), m.end() - m.start(), name) for name, p in labels for m in p.finditer(text)]
-        low = max((m.end() for m in down.finditer(text)), default=-1)
-        high = max((m.end() for m in up.finditer(text)), default=-1)
-        way = None if low == high == -1 else "down" if low > high else "up"
-        out.append((max(ends)[2] if ends else None, way, bool(way and change.search(text.rstrip()))))
-    return pd.DataFrame(out, columns=["label", "direction", "change"])
+    kind = T.StructType([T.StructField("label", T.StringType()), T.StructField("direction", T.StringType()),
+                         T.StructField("change", T.BooleanType())])
+    return F.pandas_udf(read, kind)(window)
 
 
 def _groups(name: Column) -> Column:
@@ -168,7 +170,7 @@ def misattributed(claims: DataFrame, evidence: DataFrame, context: DataFrame, ke
     c = F.col
     years = context.select(key, "magnitude", "is_year")
     sizes = evidence.select(key, F.abs("value").cast(VALUE).alias("magnitude")).distinct().withColumn("grounded", F.lit(True))
-    read = claims.withColumn("r", reading("window")).select("*", "r.label", "r.direction", "r.change").drop("r")
+    read = claims.withColumn("r", reading(c("window"))).select("*", "r.label", "r.direction", "r.change").drop("r")
     read = read.join(years, [key, "magnitude"], "left").join(sizes, [key, "magnitude"], "left")
     read = read.filter(~(F.coalesce("is_year", F.lit(False)) & ~c("scaled")) & (
         c("grounded").isNotNull() | (c("is_year").isNotNull() & c("label").isNull())))
@@ -197,5 +199,5 @@ def misattributed(claims: DataFrame, evidence: DataFrame, context: DataFrame, ke
 
 def overreach(answers: DataFrame, text: str, query: str) -> DataFrame:
     """Answers to filtered queries that describe the figure as the whole scope."""
-    filtered = F.upper(query).contains("WHERE")
+    filtered = F.upper(F.col(query)).contains("WHERE")
     return answers.filter(filtered & F.col(text).rlike(OVERREACH)).withColumn("found", F.regexp_extract(text, OVERREACH, 0))

@@ -56,10 +56,8 @@ def verify_chain(log: DataFrame, keys: Sequence[str] = (), order: str = "id", bu
     ids are cut into buckets so that even one long chain spreads over many tasks.
     """
     bucket = F.floor(F.col(order) / F.lit(bucket_rows))
-    rows = with_previous(keyed(log).withColumnRenamed("event_key", "recomputed_key").join(
-        log.select(*keys, order, "event_key"), [*keys, order]) if "event_key" not in log.columns else
-        log.withColumn("recomputed_key", event_key(F.col("actor"), *[F.col(f) for f in FACTS])),
-        keys, order, "event_hash", bucket, "expected_previous")
+    fresh = log.withColumn("recomputed_key", event_key(F.col("actor"), *[F.col(f) for f in FACTS]))
+    rows = with_previous(fresh, keys, order, "event_hash", bucket, "expected_previous")
     altered = F.col("recomputed_key") != F.col("event_key")
     unlinked = ~F.nullif("previous_hash", F.lit("")).eqNullSafe(F.col("expected_previous"))
     unchained = chain_hash(F.col("expected_previous"), F.col("recomputed_key")) != F.col("event_hash")
@@ -74,7 +72,8 @@ def chain_verdict(log: DataFrame, broken: DataFrame, keys: Sequence[str] = (), o
     total = log.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
     bad = broken.groupBy(*keys).agg(F.count(F.lit(1)).alias("broken"), F.min(order).alias("broken_at"))
     if not keys:
-        return total.withColumn("one", F.lit(1)).join(bad.withColumn("one", F.lit(1)), "one").drop("one").withColumn("ok", F.col("broken") == 0)
+        found = bad.agg(F.struct(F.sum("broken").alias("broken"), F.min("broken_at").alias("broken_at"))).scalar()
+        return total.withColumn("f", found).select("rows", "f.*").withColumn("ok", F.col("broken") == 0)
     joined = total.join(bad, list(keys), "left").withColumn("broken", F.coalesce("broken", F.lit(0).cast("long")))
     return joined.withColumn("ok", F.col("broken") == 0)
 
@@ -135,22 +134,20 @@ def transition_violations(log: DataFrame, rules: DataFrame, roles: DataFrame, bu
 
     ``log``: entity, id, actor, state, requested_by. The state before comes from the log itself.
     """
-    moves = with_previous(log, ["entity"], "id", "state", bucket, "from_state")
+    before = log.withColumn("__now", F.struct("state", "actor"))
+    moves = with_previous(before, ["entity"], "id", "__now", bucket, "was").withColumns(
+        {"from_state": F.col("was.state"), "from_actor": F.col("was.actor")}).drop("__now", "was")
     moves = moves.filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("state")))
     declared = rules.select("from_state", F.col("to_state").alias("state")).distinct().withColumn("declared", F.lit(True))
     allowed = roles.join(rules, "role_code").select(
         F.col("user_id").alias("actor"), "from_state", F.col("to_state").alias("state")).distinct().withColumn("allowed", F.lit(True))
-    approver = log.filter(F.col("state") == "APPROVED").groupBy("entity").agg(F.max_by("actor", "id").alias("approved_by"))
-    joined = (
-        moves.join(declared, ["from_state", "state"], "left").join(allowed, ["actor", "from_state", "state"], "left")
-        .join(approver, "entity", "left")
-    )
+    joined = moves.join(declared, ["from_state", "state"], "left").join(allowed, ["actor", "from_state", "state"], "left")
     state, actor = F.col("state"), F.col("actor")
     problems = F.filter(F.array(
         F.when(F.col("declared").isNull(), "undeclared move"),
         F.when(F.col("declared").isNotNull() & F.col("allowed").isNull(), "role missing"),
         F.when((state == "APPROVED") & (actor == F.col("requested_by")), "requester approved"),
-        F.when((state == "LOCKED") & actor.eqNullSafe(F.col("approved_by")), "approver locked"),
+        F.when((state == "LOCKED") & (F.col("from_state") == "APPROVED") & (actor == F.col("from_actor")), "approver locked"),
     ), lambda v: v.isNotNull())
     return joined.withColumn("violation", F.explode(problems)).select("entity", "id", "actor", "from_state", "state", "violation")
 
@@ -177,13 +174,15 @@ def status_violations(log: DataFrame, people: DataFrame, bucket: Column) -> Data
 # -- access gates ----------------------------------------------------------------------------------
 
 
-def report_visible(citations: DataFrame, scope: DataFrame, report: str = "report_id") -> DataFrame:
-    """Per (user, report): visible only when every cited company is in the user's scope."""
-    cited = citations.select(report, "company").distinct()
-    wanted = cited.groupBy(report).agg(F.count(F.lit(1)).alias("cited"))
-    seen = cited.join(scope.select("user_id", "company").distinct(), "company").groupBy("user_id", report).agg(
-        F.count(F.lit(1)).alias("seen"))
-    return seen.join(wanted, report).withColumn("visible", F.col("seen") == F.col("cited"))
+def report_visible(asked: DataFrame, citations: DataFrame, scope: DataFrame) -> DataFrame:
+    """Per asked (user, report): visible only when it has citations and all their companies are in the user's scope."""
+    cited = citations.select("report_id", "company").distinct()
+    mine = scope.select("user_id", "company").distinct().withColumn("mine", F.lit(True))
+    return (
+        asked.select("user_id", "report_id").distinct().join(cited, "report_id", "left").join(mine, ["user_id", "company"], "left")
+        .groupBy("user_id", "report_id").agg(F.every(F.coalesce("mine", F.lit(False))).alias("visible"), F.count("company").alias("cited"))
+        .withColumn("visible", F.col("visible") & (F.col("cited") > 0))
+    )
 
 
 def refused_countries(asked: DataFrame, scope: DataFrame, companies: DataFrame) -> DataFrame:

@@ -227,7 +227,7 @@ _LEG_CENTS = {**{leg: even(leg) for leg in ("price", "fx", "rate", "efficiency")
 view("node2", node_sql(["practice", "geo_region"]))
 
 
-@query("bridge_report_rows", f"""
+REPORT_ROWS = f"""
 SELECT row_number() OVER (ORDER BY practice NULLS FIRST, geo_region NULLS FIRST) AS line_no, plan, actual,
        {', '.join(f'{leg}_' + ' AS ' + leg for leg in _LEG_CENTS)},
        CAST(actual - plan - ({' + '.join(f'{leg}_' for leg in _LEG_CENTS)}) AS DECIMAL(28,2)) AS residual, level,
@@ -240,7 +240,11 @@ FROM (SELECT *, {even('plan_amount')} AS plan, {even('actual_amount')} AS actual
              '{{' || coalesce('"practice":"' || practice || '",', '') || coalesce('"geo_region":"' || geo_region || '",', '')
              || '"level":' || level || '}}' AS dimension_key
       FROM node2 n)
-""")
+"""
+view("report_row", REPORT_ROWS)
+
+
+@query("bridge_report_rows", REPORT_ROWS)
 def bridge_report_rows(cube):
     levels = ["practice", "geo_region"]
     return bridge.report_rows(bridge.decompose(lines_of(cube, *levels), levels), levels)
