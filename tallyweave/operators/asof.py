@@ -79,10 +79,19 @@ def live_at(ledger: DataFrame, vintage: Column) -> DataFrame:
     return latest(ledger.filter(F.col("_version") <= vintage), IDENTITY, order).filter(F.col("_is_deleted") == 0)
 
 
+def carried(names: Sequence[str]) -> list[Column]:
+    """Columns that the grain determines: dimensions (hashed into it) and the company's currency.
+
+    They ride along as aggregates, so the rollup is partitioned by the grain alone and the join to
+    the plan needs no second shuffle or sort.
+    """
+    return [F.min(n).alias(n) for n in dict.fromkeys(["functional_currency", *names]) if n not in GRAIN]
+
+
 def ledger_rollup(live: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Live postings summed to the signature grain; price is amount over quantity."""
-    keys = list(dict.fromkeys([*GRAIN, "functional_currency", *dims]))
-    return live.groupBy(*keys).agg(
+    return live.groupBy(*GRAIN).agg(
+        *carried(dims),
         F.sum("quantity").cast("decimal(16,4)").alias("quantity"),
         F.sum("amount_functional").cast("decimal(18,2)").alias("amount_functional"),
         ratio(F.sum("amount_functional"), F.sum("quantity")).alias("unit_price"),
@@ -96,7 +105,6 @@ def two_closes(ledger: DataFrame, left: int, right: int, dims: Sequence[str] = (
     ``max(struct(version, amount, quantity, …))`` under ``version <= close`` is the same pick
     as the ordered read, and both closes share its shuffle.
     """
-    keys = list(dict.fromkeys([*GRAIN, "functional_currency", *dims]))
     pick = F.struct(*VERSION_ORDER, "_is_deleted")
 
     def seen(close: int) -> Column:
@@ -104,14 +112,15 @@ def two_closes(ledger: DataFrame, left: int, right: int, dims: Sequence[str] = (
 
     picked = (
         ledger.filter(F.col("_version") <= max(left, right))
-        .groupBy(*keys, "voucher_no").agg(seen(left).alias("left"), seen(right).alias("right"))
+        .groupBy(*IDENTITY).agg(*carried(dims), seen(left).alias("left"), seen(right).alias("right"))
     )
 
     def total(side: str, field: str, kind: str) -> Column:
         live = F.col(f"{side}._is_deleted") == 0
         return F.sum(F.when(live, F.col(f"{side}.{field}"))).cast(kind).alias(f"{side}_{field}")
 
-    return picked.groupBy(*keys).agg(
+    return picked.groupBy(*GRAIN).agg(
+        *carried(dims),
         total("left", "quantity", "decimal(16,4)"), total("left", "amount_functional", "decimal(18,2)"),
         total("right", "quantity", "decimal(16,4)"), total("right", "amount_functional", "decimal(18,2)"),
     )
@@ -123,10 +132,12 @@ def latest_revision(plan: DataFrame) -> DataFrame:
 
 
 def plan_current(plan: DataFrame, plan_version: str, scenario: str | None = None) -> DataFrame:
+    """One version's published lines, of one scenario or all: keys fixed by the filter are left out of
+    the shuffle, so a later join on the grain finds the lines in place."""
     lines = plan.filter(F.col("plan_version") == plan_version)
-    if scenario is not None:
-        lines = lines.filter(F.col("scenario_id") == scenario)
-    return latest_revision(lines)
+    if scenario is None:
+        return latest(lines, ["scenario_id", *GRAIN], [F.desc("revision")])
+    return latest(lines.filter(F.col("scenario_id") == scenario), GRAIN, [F.desc("revision")])
 
 
 def drivers_as_of(drivers: DataFrame, moment: Column) -> DataFrame:

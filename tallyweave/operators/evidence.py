@@ -95,11 +95,17 @@ def numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     raw = F.regexp_replace(F.regexp_extract("claim", NUMBER, 1), ",", "")
     scale = F.lower(F.trim(F.regexp_replace(F.regexp_extract("claim", NUMBER, 2), r"\s", "")))
     rows = rows.withColumns({"raw": raw, "scale": scale})
-    unit = F.coalesce(*[F.when(c("scale") == k, F.lit(f"1e{p}").cast("decimal(14,2)")) for k, p in SCALES.items()],
-                      F.lit(1).cast("decimal(14,2)"))
-    plain = F.expr("try_cast(raw as decimal(24,8))")
+    by = {k: F.lit(10 ** p).cast("decimal(10,0)") for k, p in SCALES.items() if p > 0}
+    unit = F.coalesce(*[F.when(c("scale") == k, u) for k, u in by.items()])
+    size = (
+        F.when(c("scale") == "", F.expr("try_cast(raw as decimal(38,10))"))
+        .when(c("scale") == "%", F.expr("try_cast(raw as decimal(26,8))") * F.lit("0.01").cast("decimal(2,2)"))
+        .otherwise(F.expr("try_cast(raw as decimal(24,10))") * unit)
+    )
+    # Finer than any evidence value can be: such a claim equals none, so it keeps no size.
+    places = F.length(F.regexp_extract("raw", r"\.(\d+)$", 1)) + F.when(c("scale") == "%", 2).otherwise(0)
     return rows.withColumns({
-        "magnitude": (F.abs(plain) * unit).cast(VALUE), "negative": c("raw").startswith("-"), "scaled": c("scale") != ""})
+        "magnitude": F.when(places <= 10, F.abs(size).cast(VALUE)), "negative": c("raw").startswith("-"), "scaled": c("scale") != ""})
 
 
 def evidence_values(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tallyweave.model import BASE_SCENARIO, GRAIN, PLAN_GRAIN
 from tallyweave.operators.asof import latest_revision
 from tallyweave.operators.ordered import first_at_or_after
-from tallyweave.session import cut
+from tallyweave.session import bounded, broadcast_if, cut
 
 SCOPE = ("companies", "months")
 LINE_KEY = ("scenario_id", *GRAIN)
@@ -168,17 +168,20 @@ def covers(part: Column) -> Column:
         (F.size(part["months"]) == 0) | F.array_contains(part["months"], month))
 
 
+MAX_BROADCAST_FACTORS = 100_000
+
+
 def with_factors(lines: DataFrame, factors: DataFrame) -> DataFrame:
     """Lines with the array of factors that apply to them.
 
     Factors are folded to one row per account (their number is set by bindings and scopes, not by
-    lines), so lines keep their place: the optimizer broadcasts the small side by its size and no
-    line is multiplied or shuffled.
+    lines) and counted; up to the bound they are broadcast, so no line moves or is multiplied.
     """
+    kept, small = bounded(factors, MAX_BROADCAST_FACTORS)
     parts = F.array_sort(F.collect_list(F.struct("companies", "months", "target", "factor", "sources")))
-    per_account = factors.groupBy(F.col("account_code").alias("account")).agg(parts.alias("__all"))
+    per_account = kept.groupBy(F.col("account_code").alias("account")).agg(parts.alias("__all"))
     return (
-        lines.join(per_account, "account")
+        lines.join(broadcast_if(per_account, small), "account")
         .withColumn("factors", F.filter("__all", covers)).drop("__all")
         .filter(F.size("factors") > 0)
     )
@@ -186,9 +189,9 @@ def with_factors(lines: DataFrame, factors: DataFrame) -> DataFrame:
 
 def in_dirty(lines: DataFrame, scopes: DataFrame) -> DataFrame:
     """Lines inside some (accounts, companies, months) scope."""
-    per_account = scopes.select(F.explode("accounts").alias("account"), *SCOPE).groupBy("account").agg(
-        F.collect_set(F.struct(*SCOPE)).alias("__scopes"))
-    return lines.join(per_account, "account").filter(F.exists("__scopes", covers)).drop("__scopes")
+    kept, small = bounded(scopes.select(F.explode("accounts").alias("account"), *SCOPE), MAX_BROADCAST_FACTORS)
+    per_account = kept.groupBy("account").agg(F.collect_set(F.struct(*SCOPE)).alias("__scopes"))
+    return lines.join(broadcast_if(per_account, small), "account").filter(F.exists("__scopes", covers)).drop("__scopes")
 
 
 def dirty_counts(baseline: DataFrame, scopes: DataFrame) -> DataFrame:

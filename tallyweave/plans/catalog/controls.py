@@ -10,6 +10,8 @@ from tallyweave.operators import asof, bridge, evidence, integrity
 from tallyweave.plans import planning_model as model
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.bridges import REPORT_ROWS, lines_of
+from tallyweave.plans.catalog.reads import DEL, REV
+from tallyweave.session import cut
 from tallyweave.sources import sinks
 from tallyweave.sources.testcube import PLAN_VERSION
 
@@ -316,18 +318,57 @@ def _answers(cube):
 
 
 def _claim_inputs(cube):
-    answers = _answers(cube)
+    answers = cut(_answers(cube))
     claims = evidence.numbers(answers, "answer_id", "answer")
     facts = evidence.evidence_values(answers, "answer_id", ["revenue", "cost", "gap", "margin"])
     return claims, facts, evidence.period_years(answers, "answer_id", "asked")
 
 
-@query("claim_grounding")
+# The number pattern without look-around: a word boundary does the same beside digits and letters.
+_NUMBER = (r"(?:(?:\b|\B-)(?:\d{1,3}(?:,\d{3})+|\d+)|\B-?\.\d+)(?:\.\d+)?"
+           r"(?:\s*(?:billion|million|thousand|[kKmMbB])\b|\s*%\B|\b)")
+
+
+def _claims_sql(source: str, key: str, text: str) -> str:
+    raw = r"replace(regexp_extract(claim, '^-?[0-9.,]+'), ',', '')"
+    scale = r"lower(trim(regexp_replace(claim, '^-?[0-9.,]+', ''), E' \t\n\r\f'))"
+    return f"""
+SELECT {key}, place, claim, CASE WHEN fine > 10 THEN NULL ELSE CAST(abs(CASE scale WHEN '' THEN TRY_CAST(raw AS DECIMAL(38,10))
+         WHEN '%' THEN TRY_CAST(raw AS DECIMAL(26,8)) * CAST(0.01 AS DECIMAL(2,2))
+         ELSE TRY_CAST(raw AS DECIMAL(24,10)) * CAST(CASE WHEN scale IN ('k', 'thousand') THEN 1000 WHEN scale IN ('m', 'million') THEN 1000000
+              ELSE 1000000000 END AS DECIMAL(10,0)) END) AS DECIMAL(38,10)) END AS magnitude, scale <> '' AS scaled
+FROM (SELECT *, {raw} AS raw, {scale} AS scale, length(regexp_extract({raw}, '[.]([0-9]+)$', 1)) + CASE WHEN {scale} = '%' THEN 2 ELSE 0 END AS fine
+      FROM (SELECT {key}, CAST(generate_subscripts(c, 1) - 1 AS INTEGER) AS place, unnest(c) AS claim
+            FROM (SELECT {key}, regexp_extract_all({text}, '{_NUMBER}') AS c FROM {source})))"""
+
+
+view("answers", f"""
+SELECT *, CASE month(period_month) % 6 WHEN 0 THEN 'Revenue fell by ' || abs(gap) || ' while costs were ' || cost || '.'
+    WHEN 1 THEN 'Sales reached ' || CAST(revenue * CAST(0.001 AS DECIMAL(4,3)) AS DECIMAL(22,5)) || ' thousand; delivery cost across '
+         || strftime(period_month, '%Y') || ' held.'
+    WHEN 2 THEN 'The gap was ' || gap || ' and revenue fell by ' || revenue || '.'
+    WHEN 3 THEN 'Margin of ' || revenue || ': cost 12,345.67 and 8% lower.'
+    WHEN 4 THEN 'These figures are for the caller''s whole scope: sales ' || revenue || '; the shortfall grew by ' || abs(gap)
+    ELSE 'Revenue of ' || revenue || ' against cost of ' || cost || '; margin ' || margin END AS answer,
+  practice || '/' || geo_country || '/' || strftime(period_month, '%Y-%m') AS answer_id, year(period_month) AS asked_year
+FROM (SELECT *, CAST(revenue - planned AS DECIMAL(18,2)) AS gap, CAST(revenue - cost AS DECIMAL(18,2)) AS margin FROM (
+  SELECT practice, geo_country, period_month, CAST(coalesce(sum(CASE WHEN account IN {REV} THEN amount_functional END), 0) AS DECIMAL(18,2)) AS revenue,
+         CAST(coalesce(sum(CASE WHEN account IN {DEL} THEN amount_functional END), 0) AS DECIMAL(18,2)) AS cost FROM live GROUP BY ALL)
+  JOIN (SELECT practice, geo_country, period_month, CAST(coalesce(sum(CASE WHEN account IN {REV} THEN amount_functional END), 0) AS DECIMAL(18,2)) AS planned
+        FROM plan WHERE scenario_id = 'base' GROUP BY ALL) USING (practice, geo_country, period_month))""")
+
+
+@query("claim_grounding", f"""
+SELECT answer_id, place, claim, magnitude FROM ({_claims_sql('answers', 'answer_id', 'answer')}) c JOIN answers a USING (answer_id)
+WHERE NOT (NOT scaled AND magnitude = asked_year) AND magnitude NOT IN (abs(revenue), abs(cost), abs(gap), abs(margin))""")
 def claim_grounding(cube):
     return evidence.ungrounded(*_claim_inputs(cube), "answer_id").select("answer_id", "place", "claim", "magnitude")
 
 
-@query("claim_grounding_documents")
+@query("claim_grounding_documents", f"""
+SELECT doc_id, place, claim, magnitude FROM ({_claims_sql('documents', 'doc_id', 'text')}) c
+WHERE NOT EXISTS (SELECT 1 FROM documents d LEFT JOIN labels l USING (doc_id) WHERE d.doc_id = c.doc_id
+                  AND (magnitude = n_chars OR magnitude = quality OR magnitude = toxic))""")
 def claim_grounding_documents(cube):
     """Every number in the documents that is neither the document's length nor a label of it."""
     docs = cube.table("documents")

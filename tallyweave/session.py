@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -47,3 +48,14 @@ def cut(df: DataFrame) -> DataFrame:
     """Compute once and keep in the shared folder: for small results that several later steps read."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def bounded(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
+    """A computed-once table and whether it has at most ``rows`` rows."""
+    kept = cut(df)
+    return kept, kept.limit(rows + 1).count() <= rows
+
+
+def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
+    """A broadcast side when its size was checked; otherwise a plain join, which AQE splits where skewed."""
+    return F.broadcast(df) if small else df

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.keys import dim_signature
 from tallyweave.functions.money import amount_of
-from tallyweave.model import BASE_SCENARIO, SCENARIOS, VINTAGE_SCHEMA
+from tallyweave.model import BASE_SCENARIO, GRAIN, SCENARIOS, VINTAGE_SCHEMA
+from tallyweave.operators.asof import carried
 
 PLAN_VERSION = "PV-1"
 CUBE_DIMS = ("business_unit", "geo_country", "geo_region", "grade", "intercompany_flag", "practice")
@@ -128,8 +129,9 @@ class TestCube:
         """Plan lines, revision 1, for the named scenarios."""
         base = (
             self.postings.filter(F.col("l_partkey") % 20 != 0)
-            .groupBy("company", "period_month", "account", "dim_signature_hash", *CUBE_DIMS, "functional_currency")
+            .groupBy(*GRAIN)
             .agg(
+                *carried(CUBE_DIMS),
                 (F.sum("quantity").cast("decimal(12,4)")
                  + (F.sum("l_partkey") % 7 - 3).cast("decimal(4,0)")).cast("decimal(12,4)").alias("q"),
                 F.max("unit_price").alias("p"),
