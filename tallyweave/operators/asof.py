@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import ratio
 from tallyweave.functions.periods import add_months
-from tallyweave.model import GRAIN, IDENTITY, PLAN_GRAIN
+from tallyweave.model import BY_HASH, GRAIN, IDENTITY, PLAN_GRAIN
 
 
 def _moment(as_of: str | datetime) -> Column:
@@ -90,7 +90,7 @@ def carried(names: Sequence[str]) -> list[Column]:
 
 def ledger_rollup(live: DataFrame, dims: Sequence[str] = ()) -> DataFrame:
     """Live postings summed to the signature grain; price is amount over quantity."""
-    return live.groupBy(*GRAIN).agg(
+    return live.groupBy(*BY_HASH).agg(
         *carried(dims),
         F.sum("quantity").cast("decimal(16,4)").alias("quantity"),
         F.sum("amount_functional").cast("decimal(18,2)").alias("amount_functional"),
@@ -119,7 +119,7 @@ def two_closes(ledger: DataFrame, left: int, right: int, dims: Sequence[str] = (
         live = F.col(f"{side}._is_deleted") == 0
         return F.sum(F.when(live, F.col(f"{side}.{field}"))).cast(kind).alias(f"{side}_{field}")
 
-    return picked.groupBy(*GRAIN).agg(
+    return picked.groupBy(*BY_HASH).agg(
         *carried(dims),
         total("left", "quantity", "decimal(16,4)"), total("left", "amount_functional", "decimal(18,2)"),
         total("right", "quantity", "decimal(16,4)"), total("right", "amount_functional", "decimal(18,2)"),
@@ -136,8 +136,8 @@ def plan_current(plan: DataFrame, plan_version: str, scenario: str | None = None
     the shuffle, so a later join on the grain finds the lines in place."""
     lines = plan.filter(F.col("plan_version") == plan_version)
     if scenario is None:
-        return latest(lines, ["scenario_id", *GRAIN], [F.desc("revision")])
-    return latest(lines.filter(F.col("scenario_id") == scenario), GRAIN, [F.desc("revision")])
+        return latest(lines, [*BY_HASH, "scenario_id"], [F.desc("revision")])
+    return latest(lines.filter(F.col("scenario_id") == scenario), BY_HASH, [F.desc("revision")])
 
 
 def drivers_as_of(drivers: DataFrame, moment: Column) -> DataFrame:

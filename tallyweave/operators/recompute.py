@@ -13,13 +13,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.model import BASE_SCENARIO, GRAIN, PLAN_GRAIN
+from tallyweave.model import BASE_SCENARIO, BY_HASH
 from tallyweave.operators.asof import latest_revision
 from tallyweave.operators.ordered import first_at_or_after
 from tallyweave.session import bounded, broadcast_if, cut
 
 SCOPE = ("companies", "months")
-LINE_KEY = ("scenario_id", *GRAIN)
+LINE_KEY = (*BY_HASH, "scenario_id")
 
 
 @dataclass(frozen=True)
@@ -273,7 +273,7 @@ def stage(recomputed: DataFrame, revision: int, columns: Sequence[str]) -> DataF
 
 def preimage(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
     """The published rows a revision is about to replace."""
-    keys = ["plan_version", *LINE_KEY]
+    keys = [*LINE_KEY, "plan_version"]
     replaced = staged.filter(F.col("revision") == revision).select(*keys)
     return latest_revision(live).join(replaced, keys, "left_semi").withColumn("preimage_for_revision", F.lit(revision))
 

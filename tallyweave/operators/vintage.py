@@ -16,16 +16,10 @@ SIDES = ("left", "right")
 
 
 def delta_lines(lines: DataFrame) -> DataFrame:
-    """Gap per matched line at each close, from lines with ``left_``/``right_`` actuals (NULL: not matched)."""
+    """Matched lines present at either close, from lines with ``left_``/``right_`` actuals (NULL: not matched)."""
     c = F.col
-    plan_usd = c("plan_amount") * c("plan_fx")
-
-    def gap(side: str) -> Column:
-        return (c(f"{side}_amount_functional") * c("actual_fx") - plan_usd).cast("decimal(30,6)")
-
     return lines.withColumns({
         "is_cost": c("account_type").isin(*COST_TYPES),
-        "left_gap": gap("left"), "right_gap": gap("right"),
         "has_left": c("left_amount_functional").isNotNull(), "has_right": c("right_amount_functional").isNotNull(),
     }).filter(c("has_left") | c("has_right"))
 
@@ -39,23 +33,39 @@ def key_full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str], value
     return joined.withColumns({f"has_{s}": F.coalesce(f"has_{s}", F.lit(False)) for s in SIDES})
 
 
+def _added(value: Column) -> Column:
+    return F.coalesce(F.sum(value), F.lit(0)).cast("decimal(22,2)")
+
+
 def vintage_delta(lines: DataFrame, levels: Sequence[str] = (), margin: bool | None = None) -> DataFrame:
     """Per node: both gaps and the change as restated, reversed and new lines; the parts sum to the change."""
     c = F.col
-    both, only_left, only_right = (c("has_left") & c("has_right"), c("has_left") & ~c("has_right"), ~c("has_left") & c("has_right"))
-    moved = (c("right_gap") - c("left_gap")).cast("decimal(31,6)")
-    restated = both & (moved != 0)
+    was, now, plan = c("left_amount_functional"), c("right_amount_functional"), c("plan_amount")
+    both, gone, fresh = c("has_left") & c("has_right"), c("has_left") & ~c("has_right"), ~c("has_left") & c("has_right")
+    restated = both & (now != was) & (c("actual_fx") != 0)
+    # part: (lines it takes, their actual amounts, how often the plan amount counts)
     parts = {
-        "left_gap": (c("has_left"), c("left_gap")), "right_gap": (c("has_right"), c("right_gap")),
-        "restated": (restated, moved), "reversed": (only_left, -c("left_gap")), "new": (only_right, c("right_gap")),
+        "left_gap": (c("has_left"), was, 1), "right_gap": (c("has_right"), now, 1), "restated": (restated, now - was, 0),
+        "reversed": (gone, -was, -1), "new": (fresh, now, 1),
     }
-    counts = {"restated_lines": restated, "reversed_lines": only_left, "new_lines": only_right}
-    side = {"r": ~c("is_cost"), "c": c("is_cost")}
-    cells = lines.groupBy(*levels).agg(
-        *[F.count_if(s).alias(f"{p}_lines") for p, s in side.items()],
-        *[F.coalesce(F.sum(F.when(s & on, v)), F.lit(0)).cast("decimal(38,6)").alias(f"{p}_{n}")
-          for p, s in side.items() for n, (on, v) in parts.items()],
+    counts = {"restated_lines": restated, "reversed_lines": gone, "new_lines": fresh}
+    # Per path and rate pair first: a gap is actual x actual rate - plan x plan rate, so sums are translated, not lines.
+    sums = lines.groupBy(*levels, "is_cost", "plan_fx", "actual_fx").agg(
+        F.count(F.lit(1)).alias("lines"),
+        *[_added(F.when(on, amount)).alias(f"{n}_actual") for n, (on, amount, _) in parts.items()],
+        *[_added(F.when(on, plan * F.lit(times))).alias(f"{n}_plan") for n, (on, _, times) in parts.items() if times],
         *[F.count_if(on).alias(n) for n, on in counts.items()])
+
+    def usd(n: str) -> Column:
+        value = c(f"{n}_actual") * c("actual_fx")
+        return (value - c(f"{n}_plan") * c("plan_fx") if parts[n][2] else value).cast("decimal(30,6)")
+
+    side = {"r": ~c("is_cost"), "c": c("is_cost")}
+    cells = sums.withColumns({n: usd(n) for n in parts}).groupBy(*levels).agg(
+        *[F.coalesce(F.sum(F.when(s, c("lines"))), F.lit(0)).alias(f"{p}_lines") for p, s in side.items()],
+        *[F.coalesce(F.sum(F.when(s, c(n))), F.lit(0)).cast("decimal(38,6)").alias(f"{p}_{n}")
+          for p, s in side.items() for n in parts],
+        *[F.sum(n).alias(n) for n in counts])
     cells = cells if margin is not None else cut(cells)
     flag = F.lit(margin) if margin is not None else cells.agg(
         ((F.sum("r_lines") > 0) & (F.sum("c_lines") > 0)).alias("m")).scalar()

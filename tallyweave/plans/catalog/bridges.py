@@ -11,6 +11,7 @@ from tallyweave.operators import asof, bridge, vintage
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.reads import AUGUST, DEL, JULY, MEASURE_SQL, REV, rnd
 from tallyweave.plans.metric import metric_query
+from tallyweave.session import cut
 from tallyweave.sources.testcube import CUBE_DIMS, PLAN_VERSION
 
 PLAN = (PLAN_VERSION, "base")
@@ -55,7 +56,7 @@ SELECT *, account_type <> 'Revenue' AS is_cost,
        {dec(28, 6, 'plan_amount * plan_fx')} AS plan_usd, {dec(28, 6, 'actual_amount * actual_fx')} AS actual_usd,
        {dec(36, 14, price)} AS price_effect, {dec(36, 14, quantity)} AS quantity_effect,
        {dec(28, 6, 'actual_amount * (actual_fx - plan_fx)')} AS fx_effect, {dec(36, 14, weight)} AS weight,
-       {dec(18, 4, 'actual_quantity - plan_quantity')} AS delta_quantity
+       {dec(20, 6, 'actual_quantity - plan_quantity')} AS delta_quantity
 FROM matched_priced WHERE account IN {MARGIN_ACCOUNTS}
 """
 
@@ -88,9 +89,9 @@ def node_sql(levels: list[str], source: str = "leg", extra: str = "", margin: st
 
     def s(value: str, scale: int, side: str = "") -> str:
         pick = {"": value, "r": f"CASE WHEN NOT is_cost THEN {value} END", "c": f"CASE WHEN is_cost THEN {value} END"}[side]
-        return f"CAST(coalesce(sum({pick}), 0) AS DECIMAL({ {14: 32, 6: 28, 4: 28}[scale]},{scale}))"
+        return f"CAST(coalesce(sum({pick}), 0) AS DECIMAL({ {14: 32, 6: 28}[scale]},{scale}))"
 
-    avg = (f"coalesce(CAST({s('weight', 14, 'r')} AS DOUBLE) / nullif(CAST({s('plan_quantity', 4, 'r')} AS DOUBLE), 0), 0)")
+    avg = (f"coalesce(CAST({s('weight', 14, 'r')} AS DOUBLE) / nullif(CAST({s('plan_quantity', 6, 'r')} AS DOUBLE), 0), 0)")
     return f"""
 SELECT {head}level, line_count, plan_amount, actual_amount, gap, price, volume, CAST(quantity_variance AS DOUBLE) - volume AS mix,
        fx, rate, efficiency, quantity_variance, avg_plan_price,
@@ -102,7 +103,7 @@ FROM (SELECT *, CAST(actual_amount - plan_amount AS DECIMAL(28,6)) AS gap,
          {s('sgn * plan_usd', 6)} AS plan_amount, {s('sgn * actual_usd', 6)} AS actual_amount, {s('sgn * fx_effect', 6)} AS fx,
          {s('price_effect', 14, 'r')} AS price, {s('sgn * price_effect', 14, 'c')} AS rate,
          {s('sgn * quantity_effect', 14, 'c')} AS efficiency, {s('quantity_effect', 14, 'r')} AS quantity_variance,
-         {s('delta_quantity', 4, 'r')} AS dq, {avg} AS avg_plan_price,
+         {s('delta_quantity', 6, 'r')} AS dq, {avg} AS avg_plan_price,
          CAST(greatest(1, count(*) * 0.01::DECIMAL(3,2)) AS DECIMAL(22,2)) AS tolerance
   FROM (SELECT *, CASE WHEN is_cost AND {flag} THEN -1 ELSE 1 END AS sgn FROM {source} WHERE {where})
   GROUP BY {group}))
@@ -301,7 +302,7 @@ FROM leg WHERE practice = 'ECONOMY') ORDER BY abs(contribution) DESC, practice,
 def bridge_contributions(cube):
     """A page of the rows that moved one practice's mix most."""
     levels = ["practice", "geo_region"]
-    out = bridge.contributions(lines_of(cube, *levels), levels, ["ECONOMY"], "mix", limit=1000, offset=50)
+    out = bridge.contributions(cut(lines_of(cube, *levels)), levels, ["ECONOMY"], "mix", limit=1000, offset=50)
     return out.select(*CONTRIBUTION_COLUMNS)
 
 
@@ -310,7 +311,7 @@ for _leg in ("volume", "rate", "fx"):
         @query(f"bridge_contributions_{leg}", contribution_sql(leg))
         def run(cube):
             levels = ["practice", "geo_region"]
-            return bridge.contributions(lines_of(cube, *levels), levels, ["ECONOMY"], leg).select(*CONTRIBUTION_COLUMNS)
+            return bridge.contributions(cut(lines_of(cube, *levels)), levels, ["ECONOMY"], leg).select(*CONTRIBUTION_COLUMNS)
 
     _contribution(_leg)
 
@@ -318,7 +319,7 @@ for _leg in ("volume", "rate", "fx"):
 @query("bridge_calculation_text")
 def bridge_calculation_text(cube):
     levels = ["practice", "geo_region"]
-    rows = bridge.contributions(lines_of(cube, *levels), levels, ["ECONOMY"], "efficiency")
+    rows = bridge.contributions(cut(lines_of(cube, *levels)), levels, ["ECONOMY"], "efficiency")
     return bridge.calculation(rows, "efficiency").select(
         *GRAIN, "contribution", "label", "formula", "substitution", "inputs", "note")
 

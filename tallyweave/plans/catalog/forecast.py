@@ -420,7 +420,7 @@ SELECT *, CAST(plan_amount * plan_fx AS DECIMAL(28,6)) AS plan_usd, CAST(actual_
        CAST(CAST((actual_quantity - plan_quantity) * plan_unit_price AS DECIMAL(27,10)) * plan_fx AS DECIMAL(36,14)) AS quantity_effect,
        CAST(0 AS DECIMAL(28,6)) AS fx_effect,
        CAST(CAST(plan_quantity * plan_unit_price AS DECIMAL(27,10)) * plan_fx AS DECIMAL(36,14)) AS weight,
-       CAST(actual_quantity - plan_quantity AS DECIMAL(18,4)) AS delta_quantity
+       CAST(actual_quantity - plan_quantity AS DECIMAL(20,6)) AS delta_quantity
 FROM paired""")
 
 
