@@ -122,16 +122,17 @@ def period_years(queries: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, key: str) -> DataFrame:
-    """Claims whose size equals no value of their evidence rows; years the query names are exempt.
+    """Claims whose size equals no value of their evidence rows.
 
+    A number the query names is not a claim when it reads as a year, or when no measure word is near it.
     Equality is a join on (text, size), so a text with many claims never pairs them with all its rows.
     """
     sizes = evidence.select(key, F.abs("value").cast(VALUE).alias("magnitude")).distinct()
-    years = context.filter("is_year").select(key, "magnitude")
-    return (
-        claims.join(years.withColumn("scaled", F.lit(False)), [key, "magnitude", "scaled"], "left_anti")
-        .join(sizes, [key, "magnitude"], "left_anti")
-    )
+    open_claims = claims.join(sizes, [key, "magnitude"], "left_anti").join(context, [key, "magnitude"], "left")
+    year = F.coalesce("is_year", F.lit(False)) & ~F.col("scaled")
+    named = F.col("is_year").isNotNull()
+    read = open_claims.filter(~year).withColumn("label", reading(F.col("window"))["label"])
+    return read.filter(~(named & F.col("label").isNull())).drop("is_year", "label")
 
 
 def reading(window: Column) -> Column:
