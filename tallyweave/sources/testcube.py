@@ -38,7 +38,7 @@ WIDE_TABLES = ("lineitem", "events", "documents", "conversations")
 def spread(df: DataFrame) -> DataFrame:
     """Rows dealt out to all cores when the files have fewer splits than that; at scale they do not."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
 
 
 class TestCube:
@@ -66,9 +66,10 @@ class TestCube:
         seller = t("nation").select(
             F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("company"),
             F.col("n_regionkey").alias("seller_region"))
+        part = part.select("p_partkey", "p_type", F.col("p_retailprice").cast("decimal(10,2)").alias("list_price"))
+        # Narrow types on purpose: up to 18 digits Spark multiplies decimals as longs.
         price = (
-            F.col("p_retailprice").cast("decimal(10,2)") * (100 - F.col("l_linenumber")).cast("decimal(4,0)")
-            * F.lit(Decimal("0.01")).cast("decimal(3,2)")
+            F.col("list_price") * (100 - F.col("l_linenumber")).cast("decimal(3,0)") * F.lit(Decimal("0.01")).cast("decimal(2,2)")
         ).cast("decimal(14,4)")
         # One chain over base tables: the size of each is known from its files, so the optimizer
         # picks broadcast or sort-merge per join by real sizes, not by estimates of joined sides.
