@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.model import GRAIN, REVENUE_ACCOUNTS
+from tallyweave.model import REVENUE_ACCOUNTS
 
 MIRROR_ACCOUNT = "51500"
 
@@ -56,6 +56,3 @@ def intercompany_unpaired(ledger: DataFrame) -> DataFrame:
         .filter(F.col("sales") != F.col("mirrors"))
     )
 
-
-def grain_amount(df: DataFrame) -> DataFrame:
-    return df.groupBy(*GRAIN).agg(F.sum("amount_functional").cast("decimal(28,2)").alias("amount_functional"))

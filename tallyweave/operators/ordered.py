@@ -42,10 +42,9 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], le
     line = events.unionByName(asks, allowMissingColumns=True).withColumn("__bucket", bucket(F.col("__t")))
     inside = Window.partitionBy(*keys, "__bucket").orderBy("__t", "__kind", "__item").rowsBetween(0, Window.unboundedFollowing)
     near = line.withColumn("__near", F.first("__item", ignorenulls=True).over(inside))
-    firsts = line.filter(F.col("__kind") == 1).groupBy(*keys, "__bucket").agg(F.min("__item").alias("__first"))
-    buckets = line.select(*keys, "__bucket").distinct().join(firsts, [*keys, "__bucket"], "left")
+    firsts = line.groupBy(*keys, "__bucket").agg(F.min("__item").alias("__first"))
     later = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
-    carried = buckets.withColumn("__later", F.first("__first", ignorenulls=True).over(later)).drop("__first")
+    carried = firsts.withColumn("__later", F.first("__first", ignorenulls=True).over(later)).drop("__first")
     return (
         near.filter(F.col("__kind") == 0).join(carried, [*keys, "__bucket"])
         .select("__ask.*", F.coalesce("__near", "__later").alias("found"))

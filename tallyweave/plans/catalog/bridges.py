@@ -316,7 +316,18 @@ for _leg in ("volume", "rate", "fx"):
     _contribution(_leg)
 
 
-@query("bridge_calculation_text")
+_FILLED = "'(' || actual_quantity || ' - ' || plan_quantity || ') x ' || plan_unit_price || ' x ' || plan_fx"
+
+
+@query("bridge_calculation_text", f"""
+SELECT company, period_month, account, dim_signature_hash, 'Efficiency' AS label,
+       CASE WHEN is_cost THEN {even('-quantity_effect')} ELSE CAST(0 AS DECIMAL(28,2)) END AS contribution,
+       CASE WHEN is_cost THEN '(actual quantity - plan quantity) x plan unit price x plan FX rate' ELSE 'contribution = 0 (effect does not apply)' END AS formula,
+       CASE WHEN is_cost THEN '-1 x (' || {_FILLED} || ')' ELSE '0' END AS substitution,
+       '{{"actual_quantity":"' || actual_quantity || '","plan_quantity":"' || plan_quantity || '","plan_unit_price":"' || plan_unit_price
+       || '","plan_fx":"' || plan_fx || '"}}' AS inputs,
+       CASE WHEN is_cost THEN 'cost counts negative in a margin bridge' ELSE 'this effect does not apply to this account type' END AS note
+FROM leg WHERE practice = 'ECONOMY'""")
 def bridge_calculation_text(cube):
     levels = ["practice", "geo_region"]
     rows = bridge.contributions(cut(lines_of(cube, *levels)), levels, ["ECONOMY"], "efficiency")

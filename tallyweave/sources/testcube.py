@@ -12,6 +12,7 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tallyweave.functions.keys import dim_signature
 from tallyweave.functions.money import amount_of
@@ -35,10 +36,14 @@ TRUED_UP_ACCOUNTS = ("51000", "51050", "51100")
 WIDE_TABLES = ("lineitem", "events", "documents", "conversations")
 
 
-def spread(df: DataFrame) -> DataFrame:
+# Schema and split count of each table, asked once per path instead of once per query.
+_SEEN: dict[str, tuple[StructType, int]] = {}
+
+
+def spread(df: DataFrame, splits: int) -> DataFrame:
     """Rows dealt out to all cores when the files have fewer splits than that; at scale they do not."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores, df.columns[0]) if splits < cores else df
 
 
 class TestCube:
@@ -51,8 +56,13 @@ class TestCube:
         self.folder = folder
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in WIDE_TABLES else df
+        path = f"{self.folder}/{name}.parquet"
+        if path not in _SEEN:
+            df = self.spark.read.parquet(path)
+            _SEEN[path] = df.schema, df.rdd.getNumPartitions()
+        schema, splits = _SEEN[path]
+        df = self.spark.read.schema(schema).parquet(path)
+        return spread(df, splits) if name in WIDE_TABLES else df
 
     @cached_property
     def postings(self) -> DataFrame:
