@@ -39,12 +39,12 @@ _BAND = mix(np.arange(1, BANDS + 1, dtype=U64) << U64(20))
 SIGNED = "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, bits array<long>"
 
 
-def minima(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Per run of ``values`` that begins at ``starts`` its smallest value under each of 96 permutations."""
+def minima(values: np.ndarray, starts: np.ndarray, count: int = MINIMA) -> np.ndarray:
+    """Per run of ``values`` that begins at ``starts`` its smallest value under each of ``count`` permutations."""
     low = (values >> U64(32)).astype(np.uint32)
-    out = np.empty((len(starts), MINIMA), np.uint32)
+    out = np.empty((len(starts), count), np.uint32)
     work = np.empty_like(low)
-    for k in range(MINIMA):
+    for k in range(count):
         np.bitwise_xor(low, _FLIP[k], out=work)
         np.multiply(work, _FACTOR[k], out=work)
         out[:, k] = np.minimum.reduceat(work, starts)

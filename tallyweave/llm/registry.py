@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import fingerprint, neardup
+from tallyweave.llm import decontaminate, fingerprint, neardup
 from tallyweave.llm.common import table
 
 
@@ -18,9 +18,16 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op6_near_duplicates": op6_near_duplicates,
+    "op10_contaminated": op10_contaminated,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op10_contaminated": decontaminate.SQL,
+}
