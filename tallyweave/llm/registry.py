@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, neardup
+from tallyweave.llm import decontaminate, fingerprint, neardup, url_filter
 from tallyweave.llm.common import table
 
 
@@ -22,12 +22,18 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_url_rules": op3_url_rules,
     "op6_near_duplicates": op6_near_duplicates,
     "op10_contaminated": op10_contaminated,
 }
 
 SQL: dict[str, str] = {
+    "op3_url_rules": url_filter.SQL,
     "op10_contaminated": decontaminate.SQL,
 }
