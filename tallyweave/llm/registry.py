@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, neardup, url_filter
+from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, url_filter
 from tallyweave.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.with_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonym.with_pseudonyms(docs)
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
@@ -29,6 +34,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_url_rules": op3_url_rules,
+    "op4_pseudonyms": op4_pseudonyms,
     "op6_near_duplicates": op6_near_duplicates,
     "op10_contaminated": op10_contaminated,
 }
