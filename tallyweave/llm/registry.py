@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, url_filter
+from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, url_filter, warc
 from tallyweave.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived(table(spark, sf_dir, "pages"))
+
+
 def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,10 +40,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_url_rules": op3_url_rules,
     "op4_pseudonyms": op4_pseudonyms,
     "op6_near_duplicates": op6_near_duplicates,
+    "op9_warc": op9_warc,
     "op10_contaminated": op10_contaminated,
 }
 
 SQL: dict[str, str] = {
     "op3_url_rules": url_filter.SQL,
+    "op9_warc": warc.SQL,
     "op10_contaminated": decontaminate.SQL,
 }
