@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, url_filter, warc
+from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, quality, url_filter, warc
 from tallyweave.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op4_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonym.with_pseudonyms(docs)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
@@ -39,6 +44,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_url_rules": op3_url_rules,
     "op4_pseudonyms": op4_pseudonyms,
+    "op5_quality": op5_quality,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_warc": op9_warc,
     "op10_contaminated": op10_contaminated,
