@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, neardup, pseudonym, quality, url_filter, warc
+from tallyweave.llm import decontaminate, fingerprint, main_text, neardup, pseudonym, quality, url_filter, warc
 from tallyweave.llm.common import table
 
 
@@ -36,12 +36,18 @@ def op10_contaminated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return main_text.with_main_text(pages, main_text.learn(pages))
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_main_text": op2_main_text,
     "op3_url_rules": op3_url_rules,
     "op4_pseudonyms": op4_pseudonyms,
     "op5_quality": op5_quality,
