@@ -173,12 +173,12 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def with_fingerprints(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): its fingerprint, that of its edited text, and both likenesses.
 
-    Rows stand in descending doc_id, equal ids by text, null ids last; the row after the last is the first. They are
+    Rows stand in descending doc_id, equal ids by a hash of the text, null ids last; the row after the last is the first. They are
     range-partitioned and sorted; the last row of a partition meets the first of the next in a small join. A single
     row is its own next. No rows give none.
     """
     rows = docs.select("doc_id", "text")
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc_nulls_first()]
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     kept = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, KEPT))
     firsts = kept.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     lasts = kept.filter("edge = 'last'").select("doc_id", "text", "part")
