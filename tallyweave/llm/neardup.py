@@ -5,9 +5,11 @@ four bits are packed into six longs, and the share of equal groups of bits, corr
 estimates the similarity of a candidate pair. What could still reach the threshold is confirmed on the full sets.
 
 Groups of copies are not expanded into pairs. Equal sets become one class first. In a bucket all members meet its
-smallest one; a bucket whose members then lie in one component is done. In the others further members are picked to
-meet the rest, eight times as many each round, until all have met or share a component. So no bucket is capped, and a
-group of copies that hangs together costs a pair per member.
+smallest one; a bucket whose members then lie in one component is done. In the others a shingle that no other member
+of an unfinished bucket has can be in no intersection: a member with too many of those can reach no partner of the
+bucket's sizes and leaves. Of what remains, further members are picked to meet the rest, eight times as many each
+round, where both counts allow the threshold, until all have met or share a component. So no bucket is capped, all
+pruning is exact, and a group of copies that hangs together costs a pair per member.
 
 A pair at exactly 80 % shares no band with probability 3e-6 and less above; the bit count then passes over one with
 a probability below 1e-6.
@@ -135,6 +137,24 @@ def estimate(one: str, two: str) -> F.Column:
     return F.greatest(F.lit(0.0), (equal_groups(one, two) / MINIMA - 2.0**-BITS) / (1 - 2.0**-BITS))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            values = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(np.full(len(values), doc_id, np.int64))],
+                                             ["shingle", "doc_id"])
+
+
+def _own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, size, own): of the sets of ``ids``, how many shingles are in none of the others."""
+    chosen = sets.join(ids, "doc_id", "left_semi")
+    own = (chosen.mapInArrow(_exploded, "shingle long, doc_id long")
+           .groupBy("shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id"))
+           .filter("docs = 1").groupBy("doc_id").agg(F.count("*").alias("own")))
+    sizes = chosen.select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("size"))
+    return stored(sizes.join(own, "doc_id", "left").select("doc_id", "size", F.coalesce("own", F.lit(0)).alias("own")))
+
+
 def _candidates(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs (a, b) whose packed signatures allow the threshold."""
     one = bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"))
@@ -150,6 +170,20 @@ def _links(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) ->
                   .mapInArrow(_confirmed(percent), "a long, b long"))
 
 
+def _open(placed: DataFrame) -> DataFrame:
+    """Buckets whose remaining members lie in several components, and their members."""
+    return (placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
+                                         F.count("*").alias("rows"))
+            .filter("low < high").select("bucket", "rows"))
+
+
+def _unfinished(untested: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows (bucket, doc_id) of unfinished buckets, with their components."""
+    placed = stored(untested.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
+    return placed.join(stored(_open(placed)).drop("rows"), "bucket")
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id (smallest linked id), kept.
 
@@ -183,20 +217,26 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     found = components(links)
     untested, width = members.filter("doc_id <> lead").select("bucket", "doc_id"), 8
     while True:
-        placed = untested.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-            "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        placed = stored(placed)
-        open_ = stored(placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"),
-                                                    F.count("*").alias("rows"))
-                       .filter("low < high").select("bucket", "rows"))
-        if not open_.limit(1).count():
+        placed = stored(_unfinished(untested, found))
+        if not placed.limit(1).count():
             break
+        counts = _own_shingles(sets, placed.select("doc_id").distinct())
+        placed = placed.join(counts, "doc_id")
+        least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
+        most = F.col("size") - F.col("own")  # the largest intersection with any other member
+        placed = placed.join(least, "bucket").filter(
+            100 * most >= percent * (F.col("size") + F.greatest("least", most) - most)).drop("least")
+        sized = stored(placed)
+        open_ = stored(_open(sized))
         draw = F.pmod(F.xxhash64("doc_id", F.lit(width)), F.lit(1 << 30)) / float(1 << 30)
-        placed = stored(placed.join(open_, "bucket")
+        placed = stored(sized.join(open_, "bucket")
                         .withColumn("pivot", draw * F.col("rows") < F.lit(float(width))).drop("rows"))
-        pivots = placed.filter("pivot").select("bucket", F.col("doc_id").alias("p"), F.col("component").alias("of"))
-        pairs = (placed.join(pivots, "bucket").filter("component <> of")
-                 .select(F.least("doc_id", "p").alias("a"), F.greatest("doc_id", "p").alias("b")).distinct())
+        pivots = placed.filter("pivot").select("bucket", *(F.col(k).alias(f"p_{k}") for k in (
+            "doc_id", "component", "size", "own")))
+        both = F.least(F.col("size") - F.col("own"), F.col("p_size") - F.col("p_own"))
+        pairs = (placed.join(pivots, (placed["bucket"] == pivots["bucket"]) & (F.col("component") != F.col("p_component"))
+                             & (100 * both >= percent * (F.col("size") + F.col("p_size") - both)))
+                 .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct())
         links = links.unionByName(_links(pairs, bits, sets, percent))
         found = components(links)
         untested, width = placed.filter(~F.col("pivot")).select("bucket", "doc_id"), width * 8
