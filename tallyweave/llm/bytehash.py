@@ -37,12 +37,21 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
+def prefix_sums(values: np.ndarray) -> np.ndarray:
+    """Sums from which the hash of any span of 64-bit ``values`` follows."""
+    sums = np.zeros(len(values) + 1, U64)
+    np.cumsum(values * _powers(len(values) + 1)[0][:len(values)], out=sums[1:])
+    return sums
+
+
+def from_sums(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    down = _powers(len(sums))[1]
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes, wherever it stands: a polynomial from prefix sums."""
-    up, down = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[raw] * up[: len(raw)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    return from_sums(prefix_sums(_BYTE[raw]), starts, ends)
 
 
 def word_spans(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
