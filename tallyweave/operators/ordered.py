@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyweave.session import cut
+
 
 def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, bucket: Column, name: str) -> DataFrame:
     """Add ``name``: ``value`` of the row before, by ``order`` inside ``keys``. ``bucket`` must grow with the order."""
@@ -49,3 +51,26 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], le
         near.filter(F.col("__kind") == 0).join(carried, [*keys, "__bucket"])
         .select("__ask.*", F.coalesce("__near", "__later").alias("found"))
     )
+
+
+def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with a column ``name``: the place of each row, from 1, among those of its group in ``order``.
+
+    Rows are range-partitioned over group and order together and counted per partition, so a group that holds most
+    rows spreads over many tasks; only one count per group and partition meets in a window.
+    """
+    keys = [*group, *order]
+    at, part, first = f"_{name}_at", f"_{name}_part", f"_{name}_first"
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+                 .withColumn(at, F.monotonically_increasing_id())
+                 .withColumn(part, F.spark_partition_id()))
+    counts = placed.groupBy(*group, part).agg(F.min(at).alias(first), F.count("*").alias(name))
+    before = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn(name, F.coalesce(F.sum(name).over(before), F.lit(0)))
+    other = [F.col(k).alias(f"_{k}") for k in group]
+    counts = counts.select(*other, F.col(part).alias(f"_{part}"), first, F.col(name))
+    same = F.col(part) == F.col(f"_{part}")
+    for k in group:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return placed.join(counts, same).select(
+        *df.columns, (F.col(name) + F.col(at) - F.col(first) + 1).alias(name))
