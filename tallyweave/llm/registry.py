@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, main_text, neardup, pieces, pseudonym, quality, url_filter, warc
+from tallyweave.llm import decontaminate, fingerprint, main_text, neardup, pieces, pseudonym, quality, quotes, url_filter, warc
 from tallyweave.llm.common import table
 
 
@@ -28,6 +28,10 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
 
 
+def op7_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.linked(table(spark, sf_dir, "conversations"))
+
+
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.sampled(table(spark, sf_dir, "documents"), 2)
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pseudonyms": op4_pseudonyms,
     "op5_quality": op5_quality,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_reply_order": op7_reply_order,
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_warc": op9_warc,
     "op10_contaminated": op10_contaminated,
@@ -63,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op3_url_rules": url_filter.SQL,
+    "op7_reply_order": quotes.SQL,
     "op9_warc": warc.SQL,
     "op10_contaminated": decontaminate.SQL,
 }
