@@ -245,3 +245,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return classed.join(groups, "first", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "first").alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, that ``near_duplicates`` keeps: of each group the smallest id.
+
+    Rows with the same id are one document: they stay or go together.
+    """
+    gone = stored(near_duplicates(docs, n, percent).filter("NOT kept").select("doc_id").distinct())
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
