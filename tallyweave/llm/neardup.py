@@ -199,7 +199,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
                                                                       F.count("*").alias("rows"))
                     .filter("rows > 1").drop("rows"))
     classed = stored(signed.join(copies, ["set_a", "set_b", "n_shingles"], "left")
-                     .withColumn("first", F.coalesce("first", "doc_id"))
+                     .withColumn("first", F.when(F.col("doc_id").isNotNull(), F.coalesce("first", "doc_id")))
                      .select("doc_id", "n_shingles", "first", *(
                          F.when((F.col("doc_id") == F.col("first")) & (F.col("n_shingles") > 0), F.col(k)).alias(k)
                          for k in ("bands", "bits"))))
