@@ -61,7 +61,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     named = listed.select(F.concat("host", "path").alias("rule"), "verdict").withColumn("digest", F.sha2("rule", 256))
     keyed = (named.groupBy(F.left("digest", F.lit(SHORT)).alias("short"))
              .agg(F.collect_list(F.struct("digest", "rule", "verdict")).alias("rules")))  # those that share 32 bits
-    same = F.filter("rules", lambda r: r["digest"] == F.col("digest"))[0]
+    same = F.get(F.filter("rules", lambda r: r["digest"] == F.col("digest")), F.lit(0))
     best = F.max(F.when(same.isNotNull(), F.struct(F.length(same["rule"]).alias("chars"), same["rule"].alias("rule"),
                                                    same["verdict"].alias("verdict"))))
     return (expanded.join(keyed, "short", "left")
