@@ -34,6 +34,8 @@ def token_bounds(token: str) -> tuple[date, date]:
 
 def bounds(period: str) -> tuple[date, date]:
     parts = period.split("..")
+    if len(parts) > 2:
+        raise ValueError(f"not a period: {period!r}")
     start, end = token_bounds(parts[0])[0], token_bounds(parts[-1])[1]
     if start >= end:
         raise ValueError("period range must end after it starts")

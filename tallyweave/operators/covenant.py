@@ -9,26 +9,27 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.money import ratio
 from tallyweave.model import DELIVERY_ACCOUNTS, REVENUE_ACCOUNTS
+from tallyweave.operators.fx import checked_rate, with_rate
 from tallyweave.operators.recompute import live_with_staged
 
 
-def figures(live: DataFrame, staged: DataFrame, fx_plan: DataFrame, companies: Sequence[str] = (),
-            months: Sequence[str] = ()) -> DataFrame:
+def figures(live: DataFrame, staged: DataFrame, fx_plan: DataFrame, plan_version: str, revision: int,
+            companies: Sequence[str] = (), months: Sequence[str] = ()) -> DataFrame:
     """Revenue and delivery cost in USD before and after, per scenario, for the request's slice and the whole plan.
 
-    "Before" is the plan as published, "after" the same plan with the staged rows in place.
+    "Before" is the plan version as published, "after" the same with the revision's staged rows in place. Rates are
+    those of the plan version; a line without one positive rate is refused.
     """
     inside = F.lit(True)
     if companies:
         inside = inside & F.col("company").isin(*companies)
     if months:
         inside = inside & F.date_format("period_month", "yyyy-MM-dd").isin(*months)
-    rates = fx_plan.select("period_month", F.col("from_currency").alias("functional_currency"), "rate")
-    rows = live_with_staged(live, staged).join(rates, ["period_month", "functional_currency"], "left")
+    rows = with_rate(live_with_staged(live, staged, plan_version, revision), fx_plan, plan_version)
     scopes = F.when(inside, F.array(F.lit("PLAN"), F.lit("REQUEST"))).otherwise(F.array(F.lit("PLAN")))
 
     def total(amount: str, accounts: Sequence[str]) -> Column:
-        usd = (F.col(amount) * F.col("rate")).cast("decimal(28,6)")
+        usd = (F.col(amount) * checked_rate()).cast("decimal(28,6)")
         return F.coalesce(F.sum(F.when(F.col("account").isin(*accounts), usd)), F.lit(0)).cast("decimal(38,6)")
 
     return rows.withColumn("scope", F.explode(scopes)).groupBy("scenario_id", "scope").agg(
@@ -44,6 +45,7 @@ def metric_value(side: str) -> Column:
         F.when(F.col("metric") == "services_revenue", revenue)
         .when(F.col("metric") == "delivery_cost", cost)
         .when(F.col("metric") == "gross_margin_pct", ratio(revenue - cost, revenue) * F.lit(100.0))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown covenant metric "), F.col("metric"))))
     )
 
 
@@ -53,9 +55,11 @@ def checks(rules: DataFrame, measured: DataFrame) -> DataFrame:
     joined = rules.withColumn("scenario_id", F.explode("scenarios")).drop("scenarios").join(measured, ["scenario_id", "scope"])
     joined = joined.withColumns({"before_value": metric_value("before"), "after_value": metric_value("after")})
     change = ratio(c("after_value") - c("before_value"), F.abs("before_value")) * F.lit(100.0)
-    joined = joined.withColumn("measured_value", F.when(c("measure") == "LEVEL", c("after_value")).when(c("measure") == "CHANGE_PCT", change))
+    joined = joined.withColumn("measured_value", F.when(c("measure") == "LEVEL", c("after_value")).when(c("measure") == "CHANGE_PCT", change)
+                               .otherwise(F.raise_error(F.concat(F.lit("unknown covenant measure "), c("measure")))))
     passed = F.when(c("comparator") == ">=", c("measured_value") >= c("threshold")).when(
-        c("comparator") == "<=", c("measured_value") <= c("threshold"))
+        c("comparator") == "<=", c("measured_value") <= c("threshold")).otherwise(
+        F.raise_error(F.concat(F.lit("unknown covenant comparator "), c("comparator"))))
     out = joined.withColumn("passed", F.coalesce(passed, F.lit(False)))
     out = out.withColumns({n: F.bround(n, 6) for n in ("before_value", "after_value", "measured_value")})
     return out.select("rule_code", "scenario_id", "scope", "metric", "measure", "before_value", "after_value",

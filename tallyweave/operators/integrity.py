@@ -62,7 +62,7 @@ def verify_chain(log: DataFrame, keys: Sequence[str] = (), order: str = "id", bu
     unlinked = ~F.nullif("previous_hash", F.lit("")).eqNullSafe(F.col("expected_previous"))
     unchained = chain_hash(F.col("expected_previous"), F.col("recomputed_key")) != F.col("event_hash")
     problems = F.filter(F.array(
-        F.when(altered, "facts altered"), F.when(unlinked, "link broken"), F.when(unchained, "hash does not chain")),
+        F.when(F.col(order).isNull(), "no id"), F.when(altered, "facts altered"), F.when(unlinked, "link broken"), F.when(unchained, "hash does not chain")),
         lambda p: p.isNotNull())
     return rows.withColumn("problems", problems).filter(F.size("problems") > 0).drop("recomputed_key", "expected_previous")
 

@@ -7,6 +7,7 @@ across buckets only one row per (group, bucket) is looked at.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ def with_previous(df: DataFrame, keys: Sequence[str], order: str, value: str, bu
     carried = last.select(
         *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__bucket").alias("__b"),
         F.lag("__last").over(before).alias("__carried"))
-    match = F.col("__bucket") == F.col("__b")
+    match = F.col("__bucket").eqNullSafe(F.col("__b"))
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = rows.join(carried, match)
@@ -35,8 +36,12 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], le
                       payload: Sequence[str], bucket) -> DataFrame:
     """Each left row with ``found``: the earliest right row of its group at or after its time.
 
-    Rows of both sides share one time line, so a group is walked once instead of paired with itself.
+    Rows of both sides share one time line, so a group is walked once instead of paired with itself. A left row with a
+    NULL key or time stays and finds nothing; a right row with one is found by none.
     """
+    known = reduce(lambda a, k: a & F.col(k).isNotNull(), keys, F.col(left_time).isNotNull())
+    right = right.dropna(subset=[*keys, right_time])
+    left, rest = left.filter(known), left.filter(~known)
     names = left.columns
     item = F.struct(F.col(right_time).alias("at"), *payload)
     events = right.select(*keys, F.col(right_time).alias("__t"), F.lit(1).alias("__kind"), item.alias("__item"))
@@ -47,10 +52,9 @@ def first_at_or_after(left: DataFrame, right: DataFrame, keys: Sequence[str], le
     firsts = line.groupBy(*keys, "__bucket").agg(F.min("__item").alias("__first"))
     later = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(1, Window.unboundedFollowing)
     carried = firsts.withColumn("__later", F.first("__first", ignorenulls=True).over(later)).drop("__first")
-    return (
-        near.filter(F.col("__kind") == 0).join(carried, [*keys, "__bucket"])
-        .select("__ask.*", F.coalesce("__near", "__later").alias("found"))
-    )
+    met = (near.filter(F.col("__kind") == 0).join(carried, [*keys, "__bucket"])
+           .select("__ask.*", F.coalesce("__near", "__later").alias("found")))
+    return met.unionByName(rest.withColumn("found", F.lit(None).cast(met.schema["found"].dataType)))
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:

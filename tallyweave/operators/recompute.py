@@ -14,12 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.model import BASE_SCENARIO, BY_HASH
-from tallyweave.operators.asof import latest_revision
+from tallyweave.operators.asof import latest_revision, plan_current
 from tallyweave.operators.ordered import first_at_or_after
-from tallyweave.session import bounded, broadcast_if, cut
+from tallyweave.operators.fx import checked_rate, rates_to
+from tallyweave.session import cut
 
 SCOPE = ("companies", "months")
-LINE_KEY = (*BY_HASH, "scenario_id")
+LINE_KEY = ("plan_version", *BY_HASH, "scenario_id")
 
 
 @dataclass(frozen=True)
@@ -58,16 +59,16 @@ def committed_shocks(publications: DataFrame, shocks: DataFrame) -> DataFrame:
     return shocks.join(current, ["plan_version", "revision"])
 
 
-def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """(driver, dependent) pairs reachable over (driver, depends_on) edges, each pair once.
 
     One join per level of the driver graph; every level's new pairs are kept in the shared folder,
-    so no level recomputes the ones before it.
+    so no level recomputes the ones before it. It ends, cycles or not, when a level has no new pair.
     """
     children = edges.select(F.col("depends_on").alias("dependent"), F.col("driver").alias("next"))
     frontier = roots.select(F.col("driver"), F.col("driver").alias("dependent")).distinct()
     reached: DataFrame | None = None
-    for _ in range(max_depth):
+    while True:
         step = frontier.join(children, "dependent").select("driver", F.col("next").alias("dependent")).distinct()
         if reached is not None:
             step = step.join(reached, ["driver", "dependent"], "left_anti")
@@ -76,8 +77,6 @@ def closure(edges: DataFrame, roots: DataFrame, max_depth: int = 100) -> DataFra
             break
         reached = step if reached is None else reached.unionByName(step)
         frontier = step
-    else:
-        raise ValueError(f"driver graph is deeper than {max_depth}")
     return reached if reached is not None else roots.select("driver", F.col("driver").alias("dependent")).limit(0)
 
 
@@ -112,9 +111,10 @@ def evaluate_ratios(grid: DataFrame, drivers: Sequence[Driver], keys: Sequence[s
         pin_old, pin_new = F.col(f"from_{d.code}"), F.col(f"to_{d.code}")
         hit = pin_old.isNotNull()
         dirty = reduce(lambda a, p: a | F.col(f"dirty_{p}"), d.depends, hit)
+        inherited = reduce(lambda a, p: a * F.when(F.col(f"dirty_{p}"), F.col(f"ratio_{p}")).otherwise(F.lit(1.0)),
+                           d.depends, F.lit(1.0))
         if d.formula is None:
-            upstream = [F.when(F.col(f"dirty_{p}"), F.col(f"ratio_{p}")) for p in d.depends]
-            ratio = F.coalesce(pin_new / F.nullif(pin_old, F.lit(0.0)), *upstream, F.lit(1.0))
+            ratio = F.coalesce(pin_new / F.nullif(pin_old, F.lit(0.0)), inherited)
             out = out.withColumns({f"old_{d.code}": pin_old, f"new_{d.code}": pin_new})
         else:
             old = d.formula({p: F.col(f"old_{p}") for p in d.depends}).cast("double")
@@ -123,8 +123,6 @@ def evaluate_ratios(grid: DataFrame, drivers: Sequence[Driver], keys: Sequence[s
             out = out.withColumns({
                 f"old_{d.code}": F.when(hit, pin_old).when(failed, F.lit(0.0)).otherwise(old),
                 f"new_{d.code}": F.when(hit, pin_new).when(failed, F.lit(0.0)).otherwise(new)})
-            inherited = reduce(lambda a, p: a * F.when(F.col(f"dirty_{p}"), F.col(f"ratio_{p}")).otherwise(F.lit(1.0)),
-                               d.depends, F.lit(1.0))
             ratio = F.coalesce(F.col(f"new_{d.code}") / F.nullif(F.col(f"old_{d.code}"), F.lit(0.0)), inherited)
         out = out.withColumns({f"dirty_{d.code}": dirty, f"ratio_{d.code}": ratio, f"hit_{d.code}": hit})
     entry = F.explode(F.array(*[
@@ -161,63 +159,84 @@ def dirty_scopes(factors: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 # -- lines -------------------------------------------------------------------------------------
 
 
-def covers(part: Column) -> Column:
-    """Whether a (companies, months) scope holds the current line."""
-    month = F.date_format("period_month", "yyyy-MM-dd")
-    return ((F.size(part["companies"]) == 0) | F.array_contains(part["companies"], F.col("company"))) & (
-        (F.size(part["months"]) == 0) | F.array_contains(part["months"], month))
+TARGETS = ("quantity", "unit_price")
+#: A scope limits companies, months, both or neither; each kind is looked up by its own key.
+KINDS = (("company", "month"), ("company",), ("month",), ())
 
 
-MAX_BROADCAST_FACTORS = 100_000
+def per_key(scoped: DataFrame) -> DataFrame:
+    """Rows with (companies, months) lists as one row per company and month; NULL where the scope is open."""
+    return (scoped.withColumn("company", F.explode_outer(F.array_distinct("companies")))
+            .withColumn("month", F.explode_outer(F.array_distinct("months"))))
 
 
-def with_factors(lines: DataFrame, factors: DataFrame) -> DataFrame:
-    """Lines with the array of factors that apply to them.
+def looked_up(lines: DataFrame, entries: DataFrame, columns: Sequence[Column], names: Sequence[str]) -> DataFrame:
+    """Lines with, for each kind of scope, the aggregates of the entries that cover them (``name_kind``).
 
-    Factors are folded to one row per account (their number is set by bindings and scopes, not by
-    lines) and counted; up to the bound they are broadcast, so no line moves or is multiplied.
+    Entries are unique per key once aggregated, so lines are never multiplied; each lookup is a plain left join.
     """
-    kept, small = bounded(factors, MAX_BROADCAST_FACTORS)
-    parts = F.array_sort(F.collect_list(F.struct("companies", "months", "target", "factor", "sources")))
-    per_account = kept.groupBy(F.col("account_code").alias("account")).agg(parts.alias("__all"))
-    return (
-        lines.join(broadcast_if(per_account, small), "account")
-        .withColumn("factors", F.filter("__all", covers)).drop("__all")
-        .filter(F.size("factors") > 0)
-    )
+    out = lines.withColumn("month", F.date_format("period_month", "yyyy-MM-dd"))
+    for n, kind in enumerate(KINDS):
+        part = entries
+        for axis in ("company", "month"):
+            part = part.filter(F.col(axis).isNotNull() if axis in kind else F.col(axis).isNull())
+        part = part.groupBy("account", *kind).agg(*[c.alias(f"{name}_{n}") for c, name in zip(columns, names, strict=True)])
+        out = out.join(part, ["account", *kind], "left")
+    return out.drop("month")
+
+
+def with_factors(lines: DataFrame, factors: DataFrame, sources: bool = False) -> DataFrame:
+    """Lines that some factor covers, with the product of their factors per target.
+
+    ``sources`` also adds ``factors``: the factors themselves, in order, for a trace.
+    """
+    entries = per_key(factors.withColumnRenamed("account_code", "account"))
+    columns = [F.product(F.when(F.col("target") == t, F.col("factor"))) for t in TARGETS]
+    columns.append(F.count(F.lit(1)))
+    names = [*TARGETS, "covered"]
+    names[:2] = [f"{t}_factor" for t in TARGETS]
+    if sources:
+        columns.append(F.collect_list(F.struct("companies", "months", "target", "factor", "sources")))
+        names.append("factors")
+    found = looked_up(lines, entries, columns, names)
+    kinds = range(len(KINDS))
+
+    def product(name: str) -> Column:
+        return reduce(lambda a, n: a * F.coalesce(f"{name}_{n}", F.lit(1.0)), kinds, F.lit(1.0))
+
+    out = found.filter(F.coalesce(*[f"covered_{n}" for n in kinds]).isNotNull()).withColumns(
+        {f"{t}_factor": product(f"{t}_factor") for t in TARGETS})
+    if sources:
+        empty = F.array().cast(out.schema["factors_0"].dataType)
+        out = out.withColumn("factors", F.array_sort(F.concat(*[F.coalesce(f"factors_{n}", empty) for n in kinds])))
+    return out.drop(*[f"{name}_{n}" for name in names for n in kinds])
 
 
 def in_dirty(lines: DataFrame, scopes: DataFrame) -> DataFrame:
     """Lines inside some (accounts, companies, months) scope."""
-    kept, small = bounded(scopes.select(F.explode("accounts").alias("account"), *SCOPE), MAX_BROADCAST_FACTORS)
-    per_account = kept.groupBy("account").agg(F.collect_set(F.struct(*SCOPE)).alias("__scopes"))
-    return lines.join(broadcast_if(per_account, small), "account").filter(F.exists("__scopes", covers)).drop("__scopes")
+    entries = per_key(scopes.select(F.explode("accounts").alias("account"), *SCOPE))
+    found = looked_up(lines, entries, [F.count(F.lit(1))], ["covered"])
+    names = [f"covered_{n}" for n in range(len(KINDS))]
+    return found.filter(F.coalesce(*names).isNotNull()).select(*lines.columns)
 
 
 def dirty_counts(baseline: DataFrame, scopes: DataFrame) -> DataFrame:
     return in_dirty(baseline, scopes).groupBy("scenario_id", "period_month").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def composed(target: str) -> Column:
-    """Product of a line's factors for one target."""
-    return F.aggregate(F.filter("factors", lambda f: f["target"] == target), F.lit(1.0), lambda a, f: a * f["factor"])
-
-
 MOVED = "decimal(18,6)"
 
 
-def recompute_lines(baseline: DataFrame, factors: DataFrame, scopes: DataFrame | None = None) -> DataFrame:
+def recompute_lines(baseline: DataFrame, factors: DataFrame, scopes: DataFrame | None = None,
+                    sources: bool = False) -> DataFrame:
     """New quantity, price and amount of the dirty lines, under every factor that applies to them.
 
     Inputs are rounded to six places half up, then their product to cents. ``scopes`` limits which
-    lines are rewritten (the requested moves) without limiting the moves they carry.
+    lines are rewritten (the requested moves) without limiting the moves they carry. A trace needs ``sources``.
     """
     lines = baseline if scopes is None else in_dirty(baseline, scopes)
-    moved = with_factors(lines, factors)
-    out = moved.withColumns({
-        "quantity_factor": composed("quantity"), "unit_price_factor": composed("unit_price"),
-        "baseline_quantity": F.col("quantity"), "baseline_unit_price": F.col("unit_price"),
-    })
+    out = with_factors(lines, factors, sources).withColumns(
+        {"baseline_quantity": F.col("quantity"), "baseline_unit_price": F.col("unit_price")})
     out = out.withColumns({
         "quantity": (F.col("quantity").cast("double") * F.col("quantity_factor")).cast(MOVED),
         "unit_price": (F.col("unit_price").cast("double") * F.col("unit_price_factor")).cast(MOVED)})
@@ -273,9 +292,8 @@ def stage(recomputed: DataFrame, revision: int, columns: Sequence[str]) -> DataF
 
 def preimage(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
     """The published rows a revision is about to replace."""
-    keys = [*LINE_KEY, "plan_version"]
-    replaced = staged.filter(F.col("revision") == revision).select(*keys)
-    return latest_revision(live).join(replaced, keys, "left_semi").withColumn("preimage_for_revision", F.lit(revision))
+    replaced = staged.filter(F.col("revision") == revision).select(*LINE_KEY)
+    return latest_revision(live).join(replaced, list(LINE_KEY), "left_semi").withColumn("preimage_for_revision", F.lit(revision))
 
 
 def publish_mismatch(staged: DataFrame, plan_version: str, revision: int, expected: int | Column) -> DataFrame:
@@ -293,51 +311,56 @@ def publish_mismatch(staged: DataFrame, plan_version: str, revision: int, expect
 
 
 def publish(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
-    """The plan with a revision in place. Publishing twice is publishing once: the grain keeps one row."""
-    return latest_revision(live.unionByName(staged.filter(F.col("revision") == revision)))
+    """The published plan with a revision in place: its rows, and the live ones that it does not replace.
+
+    Publishing twice is publishing once: the second time the revision's rows replace themselves.
+    """
+    fresh = staged.filter(F.col("revision") == revision)
+    return live.join(fresh.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns).unionByName(fresh)
 
 
 def unpublish(live: DataFrame, preimages: DataFrame, revision: int) -> DataFrame:
     """The plan as it was before a revision: its rows out, the replaced rows back in."""
     kept = live.filter(F.col("revision") != revision)
     back = preimages.filter(F.col("preimage_for_revision") == revision).select(*live.columns)
-    return latest_revision(kept.unionByName(back))
+    return kept.join(back.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns).unionByName(back)
 
 
 def discard(staged: DataFrame, revision: int) -> DataFrame:
     return staged.filter(F.col("revision") != revision)
 
 
-def live_with_staged(live: DataFrame, staged: DataFrame) -> DataFrame:
-    """Every live line with the amount it would have if the staged rows replaced theirs."""
-    moved = staged.select(*LINE_KEY, F.col("amount_functional").alias("staged_amount"))
+def live_with_staged(live: DataFrame, staged: DataFrame, plan_version: str, revision: int) -> DataFrame:
+    """Every published line of a plan with the amount it would have if the revision's staged rows replaced theirs."""
+    live = plan_current(live, plan_version)
+    moved = _of(staged, plan_version, revision).select(*LINE_KEY, F.col("amount_functional").alias("staged_amount"))
     return live.join(moved, list(LINE_KEY), "left").withColumn(
         "after_amount", F.coalesce("staged_amount", "amount_functional"))
 
 
-def baseline_vs_staged(baseline: DataFrame, staged: DataFrame, fx_plan: DataFrame, accounts: DataFrame) -> DataFrame:
-    """Frozen and recomputed lines side by side, as a bridge's plan and actual.
+def _of(rows: DataFrame, plan_version: str, revision: int) -> DataFrame:
+    return rows.filter((F.col("plan_version") == plan_version) & (F.col("revision") == revision))
+
 
-    The rate is a left join on purpose: a missing one is reported by ``bad_rates``, not dropped.
+def baseline_vs_staged(baseline: DataFrame, staged: DataFrame, fx_plan: DataFrame, accounts: DataFrame,
+                       plan_version: str, revision: int) -> DataFrame:
+    """A plan's frozen lines and a revision's recomputed ones side by side, as a bridge's plan and actual.
+
+    A line without one positive rate is refused when it is read.
     """
-    rates = fx_plan.filter(F.col("to_currency") == "USD").select(
-        "period_month", F.col("from_currency").alias("functional_currency"), F.col("rate").alias("plan_fx"))
-    was = baseline.select(*LINE_KEY, "functional_currency", F.col("quantity").alias("plan_quantity"),
+    rates = rates_to(fx_plan, plan_version=plan_version)
+    was = baseline.filter(F.col("plan_version") == plan_version).select(*LINE_KEY, "functional_currency", F.col("quantity").alias("plan_quantity"),
                           F.col("unit_price").alias("plan_unit_price"), F.col("amount_functional").alias("plan_amount"))
-    now = staged.select(*LINE_KEY, F.col("quantity").alias("actual_quantity"), F.col("unit_price").alias("actual_unit_price"),
+    now = _of(staged, plan_version, revision).select(*LINE_KEY, F.col("quantity").alias("actual_quantity"), F.col("unit_price").alias("actual_unit_price"),
                         F.col("amount_functional").alias("actual_amount"))
     return (
         was.join(now, list(LINE_KEY))
         .join(accounts.select("account", "account_type"), "account")
         .join(rates, ["period_month", "functional_currency"], "left")
-        .withColumn("actual_fx", F.col("plan_fx"))
+        .withColumn("plan_fx", checked_rate()).withColumn("actual_fx", F.col("plan_fx")).drop("rates", "rate")
     )
 
 
-def bad_rates(lines: DataFrame) -> DataFrame:
-    return lines.filter(F.col("plan_fx").isNull() | (F.col("plan_fx") <= 0))
-
-
 # -- requests ----------------------------------------------------------------------------------
 
 

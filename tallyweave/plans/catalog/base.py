@@ -55,7 +55,7 @@ def with_views(sql: str) -> str:
     visit(body)
     if not used:
         return body
-    views = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in used)
+    views = ",\n".join(f"{name} AS MATERIALIZED ({VIEWS[name]})" for name in used)
     if body[:5].upper() == "WITH ":
         recursive = body[5:15].upper() == "RECURSIVE "
         rest = body[15:] if recursive else body[5:]
@@ -155,7 +155,8 @@ def _fx(start: str, step: str) -> str:
 SELECT CAST(m AS DATE) AS period_month, 'CUR_' || r_regionkey AS from_currency, 'USD' AS to_currency,
        CAST(CAST({start} AS DECIMAL(4,2)) + CAST(0.10 AS DECIMAL(4,2)) * CAST(r_regionkey AS DECIMAL(3,0)){step}
             AS DECIMAL(8,4)) AS rate
-FROM region, generate_series(DATE '1990-01-01', DATE '2029-12-01', INTERVAL 1 MONTH) g(m)
+FROM region, (SELECT unnest(generate_series(min(date_trunc('month', o_orderdate)), max(date_trunc('month', o_orderdate)),
+                                            INTERVAL 1 MONTH)) AS m FROM orders)
 """
 
 

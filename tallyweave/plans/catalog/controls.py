@@ -112,9 +112,9 @@ judged AS (SELECT entity_id, id, list_filter([CASE WHEN fresh <> event_key THEN
 def _stored(cube):
     """A chained log with altered payloads, a broken link and rows taken out."""
     log = _log(cube)
-    return log.join(integrity.build_chain(log, ["entity_id"]), ["entity_id", "id"]).filter(F.col("k") != 77).withColumns({
+    return cut(log.join(integrity.build_chain(log, ["entity_id"]), ["entity_id", "id"]).filter(F.col("k") != 77).withColumns({
         "payload": F.when(F.col("k") == 13, F.concat("payload", F.lit(" "))).otherwise(F.col("payload")),
-        "previous_hash": F.when(F.col("k") == 57, F.col("event_hash")).otherwise(F.col("previous_hash"))})
+        "previous_hash": F.when(F.col("k") == 57, F.col("event_hash")).otherwise(F.col("previous_hash"))}))
 
 
 @query("hash_chain_verify", f"{STORED} SELECT entity_id, id, problems FROM judged WHERE len(problems) > 0")

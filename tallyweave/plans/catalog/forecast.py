@@ -257,7 +257,7 @@ SELECT companies, months, account_code AS account, target, product(1.0::DOUBLE +
 FROM shock_ratio JOIN binding USING (driver_code) GROUP BY ALL""")
 _APPLIES = ("(len(f.companies) = 0 OR list_contains(f.companies, p.company)) "
             "AND (len(f.months) = 0 OR list_contains(f.months, CAST(p.period_month AS VARCHAR)))")
-KEY = "scenario_id, company, period_month, account, dim_signature_hash"
+KEY = "plan_version, scenario_id, company, period_month, account, dim_signature_hash"
 view("line_factor", f"""
 SELECT {', '.join('p.' + k for k in KEY.split(', '))},
        coalesce(product(factor) FILTER (target = 'quantity'), 1) AS quantity_factor,
@@ -323,7 +323,7 @@ def recompute_requested_only(cube):
 @query("derivation_trace")
 def derivation_trace(cube):
     factors, ratios = _factors(cube)
-    lines = recompute.recompute_lines(cube.plan(), factors)
+    lines = recompute.recompute_lines(cube.plan(), factors, sources=True)
     return recompute.derivation_trace(lines, ratios).select(*recompute.LINE_KEY, "amount_functional", "trace")
 
 
@@ -399,11 +399,11 @@ def discard_staged(cube):
 
 
 @query("live_with_staged", f"""
-SELECT p.scenario_id, p.company, p.period_month, p.account, p.dim_signature_hash, p.amount_functional, s.amount_functional AS staged_amount,
+SELECT p.plan_version, p.scenario_id, p.company, p.period_month, p.account, p.dim_signature_hash, p.amount_functional, s.amount_functional AS staged_amount,
        coalesce(s.amount_functional, p.amount_functional) AS after_amount
 FROM plan p LEFT JOIN staged s USING ({KEY})""")
 def live_with_staged(cube):
-    return recompute.live_with_staged(cube.plan(), _staged(cube)).select(
+    return recompute.live_with_staged(cube.plan(), _staged(cube), PLAN_VERSION, REVISION).select(
         *recompute.LINE_KEY, "amount_functional", "staged_amount", "after_amount")
 
 
@@ -428,7 +428,7 @@ FROM paired""")
 SELECT {KEY}, account_type, plan_quantity, plan_unit_price, plan_amount, actual_quantity, actual_unit_price, actual_amount, plan_fx
 FROM paired""")
 def baseline_vs_staged(cube):
-    return recompute.baseline_vs_staged(cube.plan(), _staged(cube), cube.fx_plan, cube.accounts).drop("actual_fx", "functional_currency")
+    return recompute.baseline_vs_staged(cube.plan(), _staged(cube), cube.fx_plan, cube.accounts, PLAN_VERSION, REVISION).drop("actual_fx", "functional_currency")
 
 
 _REFORECAST = ("level, line_count, plan_amount, actual_amount, gap, fx, "
@@ -446,7 +446,7 @@ def _reforecast(nodes, *keys):
 SELECT account, company, {_REFORECAST} FROM ({node_sql(['account', 'company'], 'paired_leg', where="scenario_id = 'base'")})""")
 def bridge_reforecast(cube):
     """Why the base plan moved: the frozen baseline against the staged revision."""
-    lines = recompute.baseline_vs_staged(cube.base_plan, _staged(cube, ("base",)), cube.fx_plan, cube.accounts)
+    lines = recompute.baseline_vs_staged(cube.base_plan, _staged(cube, ("base",)), cube.fx_plan, cube.accounts, PLAN_VERSION, REVISION)
     return _reforecast(bridge.decompose(lines, ["account", "company"]), "account", "company")
 
 
@@ -454,7 +454,7 @@ def bridge_reforecast(cube):
 SELECT scenario_id, account, company, period_month, {_REFORECAST}
 FROM ({node_sql(['account', 'company', 'period_month'], 'paired_leg', extra='scenario_id')})""")
 def bridge_reforecast_by_scenario(cube):
-    lines = recompute.baseline_vs_staged(cube.plan(), _staged(cube), cube.fx_plan, cube.accounts)
+    lines = recompute.baseline_vs_staged(cube.plan(), _staged(cube), cube.fx_plan, cube.accounts, PLAN_VERSION, REVISION)
     levels = ["account", "company", "period_month"]
     return _reforecast(bridge.decompose(lines, levels, extra=["scenario_id"]), "scenario_id", *levels)
 
@@ -685,7 +685,7 @@ UNION ALL SELECT scenario_id, 'REQUEST', {_FIGURE} FROM rated WHERE inside GROUP
 
 
 def _figures(cube):
-    return covenant.figures(cube.plan(), _staged(cube), cube.fx_plan, ASKED_COMPANIES, ASKED_MONTHS)
+    return covenant.figures(cube.plan(), _staged(cube), cube.fx_plan, PLAN_VERSION, REVISION, ASKED_COMPANIES, ASKED_MONTHS)
 
 
 @query("covenant_figures", "SELECT * FROM figure")
@@ -748,14 +748,14 @@ def fx_validity(cube):
     zero = (currency == "CUR_2") & (month == F.lit("1996-05-01").cast("date"))
     broken = rates.filter(~gap).withColumn("rate", F.when(zero, F.lit(0).cast("decimal(8,4)")).otherwise(F.col("rate"))).unionByName(
         rates.filter((currency == "CUR_1") & (month == F.lit("1997-03-01").cast("date"))))
-    return fx.invalid_rates(cube.base_plan, broken).select(*GRAIN, "problem")
+    return fx.invalid_rates(cube.base_plan, broken, PLAN_VERSION).select(*GRAIN, "problem")
 
 
 @query("commitment_rollup", """
 SELECT scenario_id, plan_line_type, CAST(round(sum(CAST(amount_functional * rate AS DECIMAL(28,6))), 2) AS DECIMAL(28,2)) AS amount_usd
 FROM plan_live p JOIN fx_plan f ON f.period_month = p.period_month AND f.from_currency = p.functional_currency GROUP BY ALL""")
 def commitment_rollup(cube):
-    return fx.commitments(asof.plan_current(cube.plan_history(), PLAN_VERSION), cube.fx_plan)
+    return fx.commitments(asof.plan_current(cube.plan_history(), PLAN_VERSION), cube.fx_plan, PLAN_VERSION)
 
 
 view("internal_trade", """

@@ -192,7 +192,7 @@ def citation_rows(cube):
     """Rows behind every grain key that carries several postings, at the July close."""
     keys = cube.postings.groupBy(*GRAIN).count().filter(F.col("count") > 1)
     scope = cube.companies.filter(F.col("country") != "ASIA")
-    return asof.citation_rows(cube.ledger, cube.vintages, keys, JULY, scope)
+    return asof.citation_rows(cube.ledger, cube.vintages, keys.join(scope, "company", "left_semi"), JULY, scope)
 
 
 @query("lost_vintage_check", """

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 LOCAL_CONF = {
     "spark.ui.enabled": "false",
@@ -33,11 +33,13 @@ def local_session(cores: int = 8, app: str = "tallyweave") -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors see: the session's ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests) is a local one made.
+    Only a local session that names none gets a temporary one; on a cluster that is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="tallyweave-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(named)
@@ -49,13 +51,3 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
-
-def bounded(df: DataFrame, rows: int) -> tuple[DataFrame, bool]:
-    """A computed-once table and whether it has at most ``rows`` rows."""
-    kept = cut(df)
-    return kept, kept.limit(rows + 1).count() <= rows
-
-
-def broadcast_if(df: DataFrame, small: bool) -> DataFrame:
-    """A broadcast side when its size was checked; otherwise a plain join, which AQE splits where skewed."""
-    return F.broadcast(df) if small else df

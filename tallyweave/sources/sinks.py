@@ -35,9 +35,10 @@ def freeze_baseline(plan: DataFrame, plan_version: str, path: str) -> DataFrame:
     spark = plan.sparkSession
     target = f"{path}/plan_version={plan_version}"
     if not exists(spark, target):
-        plan_current(plan, plan_version).drop("plan_version").write.mode("errorifexists").parquet(target)
-        if not exists(spark, target):
+        lines = plan_current(plan, plan_version).drop("plan_version")
+        if lines.isEmpty():
             raise ValueError(f"no plan lines for {plan_version}; nothing to freeze")
+        lines.write.mode("overwrite").parquet(target)  # what is there holds no rows
     return spark.read.parquet(target).withColumn("plan_version", F.lit(plan_version))
 
 

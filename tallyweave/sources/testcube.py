@@ -12,7 +12,6 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from tallyweave.functions.keys import dim_signature
 from tallyweave.functions.money import amount_of
@@ -32,20 +31,10 @@ TRUE_UP = Decimal("1.35")
 TRUED_UP_ACCOUNTS = ("51000", "51050", "51100")
 
 
-# Tables that arrive as one file with one row group, which a scan cannot split.
+# Test tables that arrive as one file with one row group, which a scan cannot split; a stored cube needs none of this.
 WIDE_TABLES = ("lineitem", "events", "documents", "conversations")
 
 
-# Schema and split count of each table, asked once per path instead of once per query.
-_SEEN: dict[str, tuple[StructType, int]] = {}
-
-
-def spread(df: DataFrame, splits: int) -> DataFrame:
-    """Rows dealt out to all cores when the files have fewer splits than that; at scale they do not."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, df.columns[0]) if splits < cores else df
-
-
 class TestCube:
     """Cube views over one folder of test tables."""
 
@@ -54,15 +43,14 @@ class TestCube:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        path = f"{self.folder}/{name}.parquet"
-        if path not in _SEEN:
-            df = self.spark.read.parquet(path)
-            _SEEN[path] = df.schema, df.rdd.getNumPartitions()
-        schema, splits = _SEEN[path]
-        df = self.spark.read.schema(schema).parquet(path)
-        return spread(df, splits) if name in WIDE_TABLES else df
+        if name not in self._tables:
+            df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            # whatever the size, rows in turn: one long key is never one task
+            self._tables[name] = df.repartition(self.spark.sparkContext.defaultParallelism) if name in WIDE_TABLES else df
+        return self._tables[name]
 
     @cached_property
     def postings(self) -> DataFrame:
@@ -199,9 +187,10 @@ class TestCube:
         )
 
     def _rates(self, start: str) -> DataFrame:
-        """One rate per (month, currency): regions times a fixed calendar, so the size is bounded."""
-        month = F.explode(F.sequence(F.lit("1990-01-01").cast("date"), F.lit("2029-12-01").cast("date"),
-                                     F.expr("interval 1 month")))
+        """One rate per currency and month from the first order's to the last one's."""
+        day = self.table("orders").agg(F.struct(F.min("o_orderdate").alias("first"), F.max("o_orderdate").alias("last")))
+        first, last = (F.trunc(day.scalar()[end], "month") for end in ("first", "last"))
+        month = F.explode(F.sequence(first, last, F.expr("interval 1 month")))
         step = (F.month("period_month") % 3).cast("decimal(2,0)") * F.lit(Decimal("0.01")).cast("decimal(3,2)")
         rate = (F.lit(Decimal(start)).cast("decimal(4,2)")
                 + F.lit(Decimal("0.10")).cast("decimal(4,2)") * F.col("r_regionkey").cast("decimal(3,0)"))

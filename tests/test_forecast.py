@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 from decimal import Decimal as D
+from functools import reduce
 
 import pytest
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.formula import divide
@@ -107,7 +109,7 @@ def test_only_requested_lines_are_rewritten_but_all_moves_apply(spark):
 
 def test_traces_name_driver_formula_and_inputs(spark):
     made, moved = factors(spark, ("utilisation", 0.75, 0.72))
-    out = recompute.derivation_trace(recompute.recompute_lines(lines(spark), made), moved)
+    out = recompute.derivation_trace(recompute.recompute_lines(lines(spark), made, sources=True), moved)
     row = out.select("scenario_id", F.get_json_object("trace", "$.driver").alias("driver"), F.get_json_object("trace", "$.formula").alias("formula"),
                      F.get_json_object("trace", "$.inputs.baseline.quantity").alias("was"),
                      F.get_json_object("trace", "$.result.quantity").alias("now")).collect()
@@ -169,12 +171,77 @@ def test_currency_checks(spark):
     assert {r.amount_usd for r in fx.commitments(lines(spark), rates.limit(1)).collect()} == {1000}
 
 
+RATES = "period_month date, from_currency string, to_currency string, rate decimal(8,4), plan_version string"
+
+
+def two_versions(spark):
+    """Two plans of one grain, two staged revisions of each, and rates of two versions and two currencies."""
+    month = date(2026, 7, 1)
+    live = lines(spark).unionByName(lines(spark).withColumn("plan_version", F.lit("PV2")))
+    staged = reduce(DataFrame.unionByName, [
+        live.withColumns({"plan_version": F.lit(v), "revision": F.lit(r), "amount_functional": F.lit(D(a)).cast("decimal(18,2)")})
+        .filter("scenario_id = 'base'").distinct() for v, r, a in (("PV", 2, 1100), ("PV", 3, 1200), ("PV2", 2, 7))])
+    rates = spark.createDataFrame([(month, "PLN", "USD", D("0.25"), "PV"), (month, "PLN", "USD", D("0.30"), "PV2"),
+                                   (month, "PLN", "EUR", D("0.20"), "PV"), (month, "EUR", "USD", D("1.1"), "PV")], RATES)
+    return live, staged, rates
+
+
+def test_plans_revisions_and_rates_are_kept_apart(spark):
+    live, staged, rates = two_versions(spark)
+    got = recompute.live_with_staged(live, staged, "PV", 2).collect()
+    assert len(got) == 8 and {(r.scenario_id, r.after_amount) for r in got} == {("base", 1100), ("stretch", 1000)}
+    side = recompute.baseline_vs_staged(live, staged, rates, spark.createDataFrame([("41000", "Revenue"), ("63200", "OpEx")],
+                                        "account string, account_type string"), "PV", 3).collect()
+    assert len(side) == 4 and {(r.plan_amount, r.actual_amount, r.plan_fx) for r in side} == {(1000, 1200, D("0.25"))}
+    got = {r.scenario_id: (r.before_revenue, r.after_revenue) for r in covenant.figures(live, staged, rates, "PV", 2).collect()}
+    assert got == {"base": (500, 550), "stretch": (500, 500)}
+    assert {r.amount_usd for r in fx.commitments(live.filter("plan_version = 'PV2'"), rates, "PV2").collect()} == {1200}
+
+
+def test_lines_without_one_rate_are_refused(spark):
+    live, staged, rates = two_versions(spark)
+    accounts = spark.createDataFrame([("41000", "Revenue"), ("63200", "OpEx")], "account string, account_type string")
+    for bad in (rates.filter("from_currency = 'EUR'"), rates.unionByName(rates), rates.withColumn("rate", -F.col("rate"))):
+        for wrong in (fx.commitments(live, bad, "PV"), covenant.figures(live, staged, bad, "PV", 2),
+                      recompute.baseline_vs_staged(live, staged, bad, accounts, "PV", 2)):
+            with pytest.raises(Exception, match="no single positive rate for PLN in 2026-07-01"):
+                wrong.collect()
+
+
+def test_a_driver_without_formula_takes_the_product_of_its_inputs(spark):
+    drivers = (recompute.Driver("a"), recompute.Driver("b"), recompute.Driver("c", depends=("a", "b")))
+    grid = recompute.shock_grid(shocks(spark, ("a", 1.0, 2.0), ("b", 1.0, 3.0)), drivers, recompute.SCOPE)
+    got = {r.driver_code: r.ratio for r in recompute.evaluate_ratios(grid, drivers, recompute.SCOPE).collect()}
+    assert got == {"a": 2.0, "b": 3.0, "c": 6.0}
+
+
+def test_a_deep_driver_chain_is_followed_to_its_end(spark):
+    edges = spark.createDataFrame([(f"d{k + 1}", f"d{k}") for k in range(12)] + [("d0", "d12")], "driver string, depends_on string")
+    got = recompute.closure(edges, spark.createDataFrame([("d0",)], "driver string"))
+    assert {r.dependent for r in got.collect()} == {f"d{k}" for k in range(13)}
+
+
+def test_an_empty_plan_does_not_block_the_next_freeze(spark, tmp_path):
+    for _ in range(2):
+        with pytest.raises(ValueError, match="nothing to freeze"):
+            sinks.freeze_baseline(lines(spark).limit(0), "PV", str(tmp_path / "b"))
+    assert sinks.freeze_baseline(lines(spark), "PV", str(tmp_path / "b")).count() == 8
+
+
+def test_unknown_covenant_terms_are_errors(spark):
+    rules = model.covenants(spark)
+    for column in ("metric", "measure", "comparator"):
+        with pytest.raises(Exception, match=f"unknown covenant {column}"):
+            covenant.checks(rules.withColumn(column, F.lit("odd")), figures(spark, 1, 1, 1, 1)).collect()
+
+
 def test_internal_trade_nets_to_zero_after_translation(spark):
     schema = ("company string, account string, dim_signature_hash string, period_month date, functional_currency string, "
               "amount_functional decimal(18,2), intercompany_flag string")
     month = date(2026, 7, 1)
     rows = [("A", "41000", "h", month, "PLN", D(400), "Yes"), ("B", "51500", "h", month, "EUR", D(80), "Yes"), ("A", "41000", "k", month, "PLN", D(9), "Yes")]
-    rates = spark.createDataFrame([(month, "PLN", D("0.25")), (month, "EUR", D("1.25"))], "period_month date, from_currency string, rate decimal(8,4)")
+    rates = spark.createDataFrame([(month, "PLN", "USD", D("0.25")), (month, "EUR", "USD", D("1.25")), (month, "EUR", "CHF", D("9"))],
+                                  "period_month date, from_currency string, to_currency string, rate decimal(8,4)")
     ledger = spark.createDataFrame(rows, schema)
     assert fx.intercompany_net(ledger.filter("dim_signature_hash = 'h'"), rates, "period_month").head().net_usd == 0
     assert [(r.dim_signature_hash, r.sales, r.mirrors) for r in fx.intercompany_unpaired(ledger).collect()] == [("k", 1, 0)]
