@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyweave.llm.bytehash import U64, from_sums, mix, prefix_sums
+from tallyweave.llm.common import slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -64,7 +65,7 @@ class Vocabulary:
         sums = prefix_sums(mix(flat.astype(U64)))
         hashes = from_sums(sums, starts, ends)
         order = np.argsort(hashes)
-        self.hashes, self.ids, self.scores = hashes[order], np.array(usual)[order], score[order]
+        self.hashes, self.ids, self.scores = hashes[order], np.array(usual, np.int32)[order], score[order]
         self.seen = np.zeros(1 << 20, bool)
         self.seen[(self.hashes & _FILTER).astype(np.int64)] = True
         self.single = np.zeros(0x110000, bool)  # characters that are a piece
@@ -133,7 +134,7 @@ class Lattice:
         points = points[np.repeat(start - (ends - size), size) + np.arange(size.sum())]
         of = np.repeat(np.arange(kinds), size)
         left = ends[of] - np.arange(len(points))  # characters to the end of the stretch
-        node = np.arange(len(points)) + of
+        node = (np.arange(len(points)) + of).astype(np.int32)
         values = mix(points.astype(U64))
         sums = prefix_sums(values)
         found = []
@@ -147,14 +148,14 @@ class Lattice:
             k = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
             real = vocab.hashes[k] == hashes
             at, k = at[real], k[real]
-            found.append((node[at], node[at] + length, vocab.ids[k], vocab.scores[k]))
+            found.append((node[at], node[at] + np.int32(length), vocab.ids[k], vocab.scores[k]))
         strange = np.flatnonzero(~vocab.single[points])
         code = points[strange].astype(np.int64)
         width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
-        found.append((node[strange], node[strange] + 1, -1 - code, width * vocab.byte_score))
+        found.append((node[strange], node[strange] + np.int32(1), (-1 - code).astype(np.int32), width * vocab.byte_score))
         begin, end, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
-        depth = end - base[np.searchsorted(base, end, side="right") - 1]
-        order = np.argsort(depth << 40 | end)
+        depth = (np.arange(base[-1]) - np.repeat(base[:-1], size + 1)).astype(np.int32)[end]
+        order = np.argsort(depth.astype(np.int64) << 40 | end)
         begin, end, ids, score, depth = (x[order] for x in (begin, end, ids, score, depth))
         total = np.full(base[-1], -np.inf)
         total[base[:-1]] = 0.0
@@ -170,7 +171,7 @@ class Lattice:
         order = np.argsort(end - 0.999 * np.exp(part))  # by node, the likeliest edge first
         self.begin, self.end, self.ids, self.log = begin[order], end[order], ids[order], part[order]
         self.low = np.concatenate(([0], np.cumsum(np.bincount(self.end, minlength=base[-1]))))
-        self.share = np.exp(self.log)
+        self.share = np.exp(self.log)  # what a draw is compared with
 
     def pick(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each node, by its probability."""
@@ -351,17 +352,6 @@ FIELDS = "doc_id long, sample int, ids array<int>, n_pieces long, log_prob doubl
          "log_inclusion double"
 
 
-def _runs(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > SLICE:
-            yield start, k
-            start, size = k, 0
-        size += len(text) + 1
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> DataFrame:
     """Up to ``k`` distinct segmentations of each text, drawn without replacement: rows (doc_id, sample from 1, ids,
     n_pieces, log_prob, perturbed, log_inclusion) in falling order of their perturbed score.
@@ -376,10 +366,10 @@ def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> D
         vocab = vocabulary(data)
         for batch in batches:
             keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in _runs(texts):
+            for a, b in slices(text_bytes(batch.column(1))[1], SLICE):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
                 seeds = mix(keys[a:b].view(U64)) ^ mix(np.full(b - a, seed, np.int64).view(U64))
-                sampler = Sampler(vocab, texts[a:b], seeds)
+                sampler = Sampler(vocab, texts, seeds)
                 paths, scores, following = sampler.take(k)
                 for n, path in enumerate(paths):
                     ids, bounds = _ids(vocab, sampler, path)
@@ -390,6 +380,8 @@ def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> D
                         pa.array(log_inclusion(path.log_prob, following))],
                         ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
                     yield out.filter(pa.array(scores[n] > -np.inf))
+                del sampler, paths, texts, ids, out
+            pa.default_memory_pool().release_unused()
 
     return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
 
