@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Columns that must not leave unmasked.
 SENSITIVE = ("resource_employee", "national_id", "compensation", "customer", "customer_name", "employee",
@@ -131,36 +128,29 @@ def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, key:
     open_claims = claims.join(sizes, [key, "magnitude"], "left_anti").join(context, [key, "magnitude"], "left")
     year = F.coalesce("is_year", F.lit(False)) & ~F.col("scaled")
     named = F.col("is_year").isNotNull()
-    read = open_claims.filter(~year).withColumn("label", reading(F.col("window"))["label"])
+    # only a number that the query names needs its words read
+    read = open_claims.filter(~year).withColumn("label", F.when(named, reading(F.col("window"))["label"]))
     return read.filter(~(named & F.col("label").isNull())).drop("is_year", "label")
 
 
-def reading(window: Column) -> Column:
-    """The measure word nearest before a number, the direction nearest before it, and whether a change is stated.
+def _last(text: Column, pattern: str) -> tuple[Column, Column]:
+    """Where the last match of a worded pattern ends (NULL without one), and its length."""
+    worded = rf"(?isuU)^(.*)((?<![A-Za-z])(?:{pattern})(?![A-Za-z]))"
+    found = F.length(F.regexp_extract(text, worded, 2))
+    return F.when(found > 0, F.length(F.regexp_extract(text, worded, 1)) + found), found
 
-    The helper is a closure, so it travels to the tasks with its patterns.
-    """
-    def worded(pattern: str) -> str:
-        return rf"(?<![A-Za-z])(?:{pattern})(?![A-Za-z])"
-
-    label_patterns = [(name, worded(pattern)) for name, pattern in LABELS]
-    down_pattern, up_pattern, change_pattern = worded(DOWN), worded(UP), CHANGE
-
-    def read(windows: pd.Series) -> pd.DataFrame:
-        labels = [(name, re.compile(p, re.I)) for name, p in label_patterns]
-        down, up, change = (re.compile(p, re.I) for p in (down_pattern, up_pattern, change_pattern))
-        out = []
-        for text in windows.fillna(""):
-            ends = [(m.end(), m.end() - m.start(), name) for name, p in labels for m in p.finditer(text)]
-            low = max((m.end() for m in down.finditer(text)), default=-1)
-            high = max((m.end() for m in up.finditer(text)), default=-1)
-            way = None if low == high == -1 else "down" if low > high else "up"
-            out.append((max(ends)[2] if ends else None, way, bool(way and change.search(text.rstrip()))))
-        return pd.DataFrame(out, columns=["label", "direction", "change"])
-
-    kind = T.StructType([T.StructField("label", T.StringType()), T.StructField("direction", T.StringType()),
-                         T.StructField("change", T.BooleanType())])
-    return F.pandas_udf(read, kind)(window)
+
+def reading(window: Column) -> Column:
+    """The measure word nearest before a number, the direction nearest before it, and whether a change is stated."""
+    text = F.coalesce(window, F.lit(""))
+    ends = []
+    for name, pattern in LABELS:
+        end, size = _last(text, pattern)
+        ends.append(F.when(end.isNotNull(), F.struct(end.alias("end"), size.alias("size"), F.lit(name).alias("name"))))
+    low, high = _last(text, DOWN)[0], _last(text, UP)[0]
+    way = F.when(low.isNotNull() & (high.isNull() | (low > high)), "down").when(high.isNotNull(), "up")
+    return F.struct(F.greatest(*ends)["name"].alias("label"), way.alias("direction"),
+                    (way.isNotNull() & text.rlike("(?i)" + CHANGE)).alias("change"))
 
 
 def _groups(name: Column) -> Column:
