@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm.bytehash import LOWER, SLICE, U64, row_sets, shingles, span_hashes, word_spans
-from tallyweave.llm.common import slices, text_bytes
+from tallyweave.llm.common import released, slices, text_bytes
 from tallyweave.llm.neardup import minima
 
 MINIMA = 48
@@ -135,7 +135,7 @@ def _item_sets(n: int) -> Callable:
 def _blocks(items: DataFrame, n: int) -> Iterator[ItemBlock]:
     """Item sets in blocks of a bounded expected size."""
     sets = items.select("item_id", "text").mapInArrow(
-        _item_sets(n), "item_id long, words long, size long, shingles binary").filter("size > 0")
+        released(_item_sets(n)), "item_id long, words long, size long, shingles binary").filter("size > 0")
     total = sets.agg(F.sum("size")).first()[0] or 0
     count = -(-total // BLOCK)
     for k in range(count):
@@ -176,7 +176,7 @@ def contained_items(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
     schema = "doc_id long, item_id long, n_shingles long, n_shared long, containment double"
     out = None
     for block in _blocks(items, n):
-        part = docs.select("doc_id", "text").mapInArrow(run(block), schema)
+        part = docs.select("doc_id", "text").mapInArrow(released(run(block)), schema)
         out = part if out is None else out.unionByName(part)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
@@ -194,7 +194,7 @@ def without_items(docs: DataFrame, items: DataFrame, n: int = 5) -> DataFrame:
         return judge
 
     for block in _blocks(items, n):
-        docs = docs.mapInArrow(run(block), T.StructType(docs.schema.fields))
+        docs = docs.mapInArrow(released(run(block)), T.StructType(docs.schema.fields))
     return docs
 
 

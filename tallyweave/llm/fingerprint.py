@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bytehash import SLICE, U64, mix, span_hashes
-from tallyweave.llm.common import stored
+from tallyweave.llm.common import released, stored
 
 LEAST, USUAL, MOST = 32, 96, 320
 STRICT, LOOSE = np.uint32(24), np.uint32(27)
@@ -179,7 +179,7 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text")
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
-    kept = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, KEPT))
+    kept = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(released(_neighbours), KEPT))
     firsts = kept.filter("edge = 'first'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     lasts = kept.filter("edge = 'last'").select("doc_id", "text", "part")
     parts = kept.filter("edge = 'first'").select("part").agg(F.sort_array(F.collect_list("part")).alias("parts"))
@@ -188,6 +188,6 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
         "part", F.col("parts")[(F.col("at") + 1) % F.size("parts")].alias("next_part"))
     ends = lasts.join(following, "part").join(firsts, "next_part").select("doc_id", "text", "next_text")
     inner = kept.filter("edge IS NULL").select([c.split()[0] for c in RESULT.split(", ")])
-    return inner.unionByName(ends.mapInArrow(_pairs, RESULT)).select(
+    return inner.unionByName(ends.mapInArrow(released(_pairs), RESULT)).select(
         "doc_id", "n_chars", "edited_sha256", F.lower(F.hex("print")).alias("fingerprint"),
         F.lower(F.hex("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next")

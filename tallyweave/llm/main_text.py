@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm.common import released
+
 #: Most pages and blocks that the classifier is fitted on.
 SAMPLE_PAGES, SAMPLE_BLOCKS = 500, 20_000
 #: Smoothness: neighbours under one element, other neighbours, a block and its element, an element and the next up.
@@ -369,7 +371,7 @@ def learn(pages: DataFrame) -> np.ndarray:
     chosen = (pages.select("page_id").filter("page_id IS NOT NULL").distinct()
               .orderBy(F.xxhash64("page_id"), "page_id").limit(SAMPLE_PAGES))
     rows = (pages.select("page_id", "html").join(F.broadcast(chosen), "page_id", "left_semi").select("html")
-            .mapInArrow(_labelled, "label int, row array<double>"))
+            .mapInArrow(released(_labelled), "label int, row array<double>"))
     got = rows.orderBy(F.xxhash64("row"), "label").limit(SAMPLE_BLOCKS).toArrow().combine_chunks()
     labels = got["label"].to_numpy()
     flat = got["row"].combine_chunks().flatten().to_numpy() if len(labels) else np.zeros(0)
@@ -386,4 +388,4 @@ def with_main_text(pages: DataFrame, weights: np.ndarray) -> DataFrame:
                  pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(
-        run, "page_id long, url string, text string, n_chars long")
+        released(run), "page_id long, url string, text string, n_chars long")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm.bytehash import SLICE, U64, mix, row_sets
-from tallyweave.llm.common import slices, stored, text_bytes
+from tallyweave.llm.common import released, slices, stored, text_bytes
 from tallyweave.llm.components import components
 
 BANDS, ROWS = 24, 4
@@ -148,7 +148,7 @@ def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
     """(doc_id, size, own): of the sets of ``ids``, how many shingles are in none of the others."""
     chosen = sets.join(ids, "doc_id", "left_semi")
-    own = (chosen.mapInArrow(_exploded, "shingle long, doc_id long")
+    own = (chosen.mapInArrow(released(_exploded), "shingle long, doc_id long")
            .groupBy("shingle").agg(F.count("*").alias("docs"), F.min("doc_id").alias("doc_id"))
            .filter("docs = 1").groupBy("doc_id").agg(F.count("*").alias("own")))
     sizes = chosen.select("doc_id", (F.octet_length("shingles") / 8).cast("long").alias("size"))
@@ -167,7 +167,7 @@ def _links(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) ->
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
     close = stored(_candidates(pairs, bits))
     return stored(close.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
-                  .mapInArrow(_confirmed(percent), "a long, b long"))
+                  .mapInArrow(released(_confirmed(percent)), "a long, b long"))
 
 
 def _open(placed: DataFrame) -> DataFrame:
@@ -193,7 +193,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     linked with nothing and kept. Other columns are ignored.
     """
     texts = docs.select("doc_id", "text")
-    signed = stored(texts.mapInArrow(_signed(n), SIGNED))
+    signed = stored(texts.mapInArrow(released(_signed(n)), SIGNED))
     known = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     copies = stored(known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("first"),
                                                                       F.count("*").alias("rows"))
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     members = stored(entries.join(shared, "bucket"))
     ids = stored(members.select("doc_id").distinct())
     bits = stored(classed.filter("bits IS NOT NULL").select("doc_id", "bits").join(ids, "doc_id", "left_semi"))
-    sets = stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(_full_sets(n), "doc_id long, shingles binary"))
+    sets = stored(texts.join(ids, "doc_id", "left_semi").mapInArrow(released(_full_sets(n)), "doc_id long, shingles binary"))
 
     pairs = members.filter("doc_id <> lead").select(F.col("doc_id").alias("b"), F.col("lead").alias("a")).distinct()
     links = _links(pairs, bits, sets, percent)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallyweave.llm.bytehash import U64, from_sums, mix, prefix_sums
-from tallyweave.llm.common import slices, text_bytes
+from tallyweave.llm.common import released, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -381,9 +381,8 @@ def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> D
                         ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
                     yield out.filter(pa.array(scores[n] > -np.inf))
                 del sampler, paths, texts, ids, out
-            pa.default_memory_pool().release_unused()
 
-    return docs.select("doc_id", "text").mapInArrow(run, FIELDS)
+    return docs.select("doc_id", "text").mapInArrow(released(run), FIELDS)
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -400,4 +399,4 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
                                              [*batch.schema.names, "text"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("text", T.StringType())]))
+    return base.mapInArrow(released(run), T.StructType([*base.schema.fields, T.StructField("text", T.StringType())]))

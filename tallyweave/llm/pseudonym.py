@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallyweave.llm.common import released
+
 ROUNDS = 10
 KINDS = ("email", "phone", "card", "account", "person_number", "address", "date", "secret")
 DEMO_KEY = b"replace this key"
@@ -255,4 +257,4 @@ def with_pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True)
                 columns += [pa.array([f.count(k) for f in found], pa.int64()) for k in KINDS]
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names + names)
 
-    return base.mapInArrow(run, T.StructType(fields))
+    return base.mapInArrow(released(run), T.StructType(fields))

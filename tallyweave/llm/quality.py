@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyweave.llm.bytehash import SLICE, U64, mix, span_hashes, word_spans
-from tallyweave.llm.common import slices, text_bytes
+from tallyweave.llm.common import released, slices, text_bytes
 
 BUCKETS, RANK = 4096, 8
 #: Most labelled texts that a model is fitted on, and their bytes that are sent to the driver as features at most.
@@ -170,7 +170,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
               .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` ids and labels
     rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-            .mapInArrow(_featured, "doc_id long, label int, columns array<int>, values array<float>"))
+            .mapInArrow(released(_featured), "doc_id long, label int, columns array<int>, values array<float>"))
     table = rows.toArrow().combine_chunks().sort_by("doc_id")
     return fitted([(c.values.to_numpy(), v.values.to_numpy(), y) for c, v, y in zip(
         table["columns"], table["values"], table["label"].to_pylist(), strict=True)])
@@ -191,7 +191,7 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_scores(batch, 1, machine).astype(float))],
                                              ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double").select(
+    return docs.select("doc_id", "text").mapInArrow(released(run), "doc_id long, score double").select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -204,4 +204,4 @@ def accepted(docs: DataFrame, machine: Machine, least: float = 0.5) -> DataFrame
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, at, machine) >= least))
 
-    return docs.mapInArrow(run, T.StructType(docs.schema.fields))
+    return docs.mapInArrow(released(run), T.StructType(docs.schema.fields))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import stored
+from tallyweave.llm.common import released, stored
 from tallyweave.operators.ordered import numbered
 
 QUOTED = re.compile(r"[ \t]{0,3}((?:>[ \t]?)+)(.*)", re.S)
@@ -90,7 +90,7 @@ def linked(messages: DataFrame) -> DataFrame:
     conversation and turn are one message and get neighbouring positions; a row without conversation or turn is linked
     with nothing. Null and empty texts have empty content. Other columns are ignored.
     """
-    parts = stored(messages.select("conv_id", "turn", "role", "text").mapInArrow(_parts, PARTS))
+    parts = stored(messages.select("conv_id", "turn", "role", "text").mapInArrow(released(_parts), PARTS))
     quoted = parts.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
         "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.line").alias("line"))
     wanted = stored(quoted.select("conv_id", "line").distinct())

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm.common import stored
+from tallyweave.llm.common import released, stored
 from tallyweave.session import shared_dir
 
 LEAST = 1000
@@ -200,7 +200,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST) -> DataFra
         files.move(own, final)
         yield pa.RecordBatch.from_pydict({"path": [final], "records": [count]})
 
-    return stored(tagged.mapInArrow(write, "path string, records long"))
+    return stored(tagged.mapInArrow(released(write), "path string, records long"))
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -231,7 +231,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
     schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
     tasks = max(1, index.count())
-    got = stored(index.repartition(tasks).mapInArrow(read, schema))
+    got = stored(index.repartition(tasks).mapInArrow(released(read), schema))
     named = got.filter("record_type = 'revisit'").select(F.col("refers_to").alias("page_id")).distinct()
     known = stored(got.filter("record_type = 'response'").join(named, "page_id", "left_semi")
                    .select(F.col("page_id").alias("refers_to"), F.col("payload_bytes").alias("full"),
