@@ -8,8 +8,9 @@ Groups of copies are not expanded into pairs. Equal sets become one class first.
 smallest one; a bucket whose members then lie in one component is done. In the others a shingle that no other member
 of an unfinished bucket has can be in no intersection: a member with too many of those can reach no partner of the
 bucket's sizes and leaves. Of what remains, further members are picked to meet the rest, eight times as many each
-round, where both counts allow the threshold, until all have met or share a component. So no bucket is capped, all
-pruning is exact, and a group of copies that hangs together costs a pair per member.
+round, where both counts allow the threshold, until all have met or share a component. Two documents meet in the first
+of their common buckets only. So no bucket is capped, all pruning is exact, and a group of copies that hangs together
+costs a pair per member.
 
 A pair at exactly 80 % shares no band with probability 3e-6 and less above; the bit count then passes over one with
 a probability below 1e-6.
@@ -220,8 +221,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         placed = stored(_unfinished(untested, found))
         if not placed.limit(1).count():
             break
-        counts = _own_shingles(sets, placed.select("doc_id").distinct())
-        placed = placed.join(counts, "doc_id")
+        present = stored(placed.select("doc_id").distinct())
+        lists = (members.join(present, "doc_id", "left_semi").groupBy("doc_id")
+                 .agg(F.collect_set("bucket").alias("buckets")))  # one per band at most
+        placed = placed.join(_own_shingles(sets, present), "doc_id").join(lists, "doc_id")
         least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
         most = F.col("size") - F.col("own")  # the largest intersection with any other member
         placed = placed.join(least, "bucket").filter(
@@ -231,11 +234,12 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         draw = F.pmod(F.xxhash64("doc_id", F.lit(width)), F.lit(1 << 30)) / float(1 << 30)
         placed = stored(sized.join(open_, "bucket")
                         .withColumn("pivot", draw * F.col("rows") < F.lit(float(width))).drop("rows"))
-        pivots = placed.filter("pivot").select("bucket", *(F.col(k).alias(f"p_{k}") for k in (
-            "doc_id", "component", "size", "own")))
+        pivots = placed.filter("pivot").select(*(F.col(k).alias(f"p_{k}") for k in (
+            "bucket", "doc_id", "component", "size", "own", "buckets")))
         both = F.least(F.col("size") - F.col("own"), F.col("p_size") - F.col("p_own"))
-        pairs = (placed.join(pivots, (placed["bucket"] == pivots["bucket"]) & (F.col("component") != F.col("p_component"))
-                             & (100 * both >= percent * (F.col("size") + F.col("p_size") - both)))
+        pairs = (placed.join(pivots, (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component"))
+                             & (100 * both >= percent * (F.col("size") + F.col("p_size") - both))
+                             & (F.array_min(F.array_intersect("buckets", "p_buckets")) == F.col("bucket")))
                  .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct())
         links = links.unionByName(_links(pairs, bits, sets, percent))
         found = components(links)
