@@ -391,8 +391,10 @@ def current_value(slices: DataFrame, shocks: DataFrame, keys: Sequence[str]) ->
 
     A move that only partly overlaps the slice has no single current value; the row is refused.
     """
-    moves = shocks.select("plan_version", "driver_code", (F.col("to_value") / F.col("from_value")).alias("ratio"),
-                          F.col("companies").alias("by_companies"), F.col("months").alias("by_months"))
+    # moves of one scope act as one: a slice meets scopes, not moves
+    moves = shocks.groupBy("plan_version", "driver_code", F.array_sort("companies").alias("by_companies"),
+                           F.array_sort("months").alias("by_months")).agg(
+        F.product(F.col("to_value") / F.col("from_value")).alias("ratio"))
     scope = [F.col(c) for c in ("companies", "months", "by_companies", "by_months")]
     joined = slices.join(moves, ["plan_version", "driver_code"], "left")
     hit = F.col("ratio").isNotNull()
@@ -451,11 +453,17 @@ def version_lineage(versions: DataFrame) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("successors"), F.max(F.struct("revision", F.col("plan_version").alias("v")))["v"].alias("newest_successor"))
     )
     return (
-        versions.join(source, "supersedes", "left").join(successors, "plan_version", "left")
+        _with_source(versions, source).join(successors, "plan_version", "left")
         .withColumn("successors", F.coalesce("successors", F.lit(0).cast("long")))
     )
 
 
+def _with_source(versions: DataFrame, source: DataFrame) -> DataFrame:
+    """Versions with what is known of the one they supersede; first versions have none and stay out of the join."""
+    later = versions.filter(F.col("supersedes").isNotNull()).join(source, "supersedes", "left")
+    return later.unionByName(versions.filter(F.col("supersedes").isNull()), allowMissingColumns=True)
+
+
 def version_successors(versions: DataFrame, of: DataFrame) -> DataFrame:
     """The versions that replace the given ones, one row each."""
     chain = versions.filter(F.col("supersedes").isNotNull()).select(
@@ -470,7 +478,7 @@ def supersede(versions: DataFrame) -> DataFrame:
         .groupBy("supersedes").agg(F.max("revision").alias("locked_revision"))
     )
     as_source = top.select(F.col("supersedes").alias("plan_version"), F.lit(True).alias("is_source"))
-    joined = versions.join(as_source, "plan_version", "left").join(top, "supersedes", "left")
+    joined = _with_source(versions.join(as_source, "plan_version", "left"), top)
     retired = (F.col("state") == "LOCKED") & (
         F.coalesce("is_source", F.lit(False)) | F.coalesce(F.col("revision") < F.col("locked_revision"), F.lit(False)))
     return joined.withColumn("state_after", F.when(retired, "SUPERSEDED").otherwise(F.col("state"))).drop(
