@@ -224,7 +224,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         present = stored(placed.select("doc_id").distinct())
         lists = (members.join(present, "doc_id", "left_semi").groupBy("doc_id")
                  .agg(F.collect_set("bucket").alias("buckets")))  # one per band at most
-        placed = placed.join(_own_shingles(sets, present), "doc_id").join(lists, "doc_id")
+        facts = stored(_own_shingles(sets, present).join(lists, "doc_id"))
+        placed = stored(placed.join(facts, "doc_id"))
         least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
         most = F.col("size") - F.col("own")  # the largest intersection with any other member
         placed = placed.join(least, "bucket").filter(
