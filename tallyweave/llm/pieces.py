@@ -10,6 +10,8 @@ the rest of its path is drawn, and it is divided in turn. All randomness comes f
 The lattice falls apart where no piece can reach across (before a space after another character, around characters
 that stand in no longer piece), so equal stretches of a batch share one lattice and all are drawn in step.
 
+A U+2581 of a text's own is spelled in bytes, because its piece stands for a space; so decoding gives back every text.
+
 ``log_inclusion`` is the logarithm of ``1 - exp(-exp(log_prob - next))`` with ``next`` the score of the first
 segmentation left out: the probability that this one is among those taken, given that score.
 """
@@ -22,6 +24,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -30,6 +33,7 @@ from tallyweave.llm.common import released, slices, text_bytes
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
+LITERAL = 0xD800  # stands for a text's own U+2581 in a lattice; no text holds a surrogate
 SLICE = 1 << 19
 _FILTER = U64((1 << 20) - 1)
 _STEP, _DRAW = U64(0x9E3779B97F4A7C15), U64(0xD1B54A32D192ED03)
@@ -78,11 +82,31 @@ class Vocabulary:
             self.spelled[i] = self.pieces[i].replace(chr(SPACE), " ").encode()
         for b, i in enumerate(self.bytes_at):
             self.spelled[i] = bytes((b,))
+        self._flat = np.frombuffer(b"".join(self.spelled), np.uint8)
+        self._width = np.array([len(x) for x in self.spelled])
+        self._begin = np.cumsum(self._width) - self._width
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation: pieces spelled out, without the space that encoding puts in front."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
 
+    def texts(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """The texts of many segmentations, laid end to end, as ``decode`` gives them."""
+        width = self._width[ids]
+        ends = np.concatenate(([0], np.cumsum(width)))
+        data = self._flat[np.repeat(self._begin[ids] - ends[:-1], width) + np.arange(ends[-1])]
+        offs = ends[bounds]
+        front = offs[:-1][np.diff(offs) > 0]
+        front = front[data[front] == 0x20]
+        data = np.delete(data, front)
+        offs = (offs - np.searchsorted(front, offs)).astype(np.int32)
+        out = pa.StringArray.from_buffers(len(offs) - 1, pa.py_buffer(offs), pa.py_buffer(data))
+        try:
+            out.validate(full=True)
+        except pa.ArrowInvalid:
+            return pa.array([self.decode(ids[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.string())
+        return out
+
 
 @lru_cache(maxsize=2)
 def vocabulary(model: bytes) -> Vocabulary:
@@ -105,7 +129,7 @@ class Lattice:
     """The lattices of a few texts: stretches, the distinct ones' nodes, and edges sorted by the node they end in."""
 
     def __init__(self, vocab: Vocabulary, texts: list[str]) -> None:
-        marked = [chr(SPACE) + t.replace(" ", chr(SPACE)) if t else "" for t in texts]
+        marked = [chr(SPACE) + t.replace(chr(SPACE), chr(LITERAL)).replace(" ", chr(SPACE)) if t else "" for t in texts]
         points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32)
         bounds = np.concatenate(([0], np.cumsum([len(t) for t in marked])))
         begin = np.zeros(len(points), bool)
@@ -151,6 +175,8 @@ class Lattice:
             found.append((node[at], node[at] + np.int32(length), vocab.ids[k], vocab.scores[k]))
         strange = np.flatnonzero(~vocab.single[points])
         code = points[strange].astype(np.int64)
+        code[code == SPACE] = 0x20
+        code[code == LITERAL] = SPACE
         width = 1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF)
         found.append((node[strange], node[strange] + np.int32(1), (-1 - code).astype(np.int32), width * vocab.byte_score))
         begin, end, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -352,37 +378,86 @@ FIELDS = "doc_id long, sample int, ids array<int>, n_pieces long, log_prob doubl
          "log_inclusion double"
 
 
-def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> DataFrame:
+NAMES = ("ids", "n_pieces", "log_prob", "perturbed", "log_inclusion", "text")
+
+
+def _draws(vocab: Vocabulary, batch: pa.RecordBatch, k: int, seed: int, spell: bool) -> Iterator[tuple[pa.Array, Iterator]]:
+    """By slice of a batch its doc_ids, and for each sample in turn the columns NAMES and the rows that have it."""
+    keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for a, b in slices(text_bytes(batch.column(1))[1], SLICE):
+        texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+        seeds = mix(keys[a:b].view(U64)) ^ mix(np.full(b - a, seed, np.int64).view(U64))
+
+        def samples(texts: list[str] = texts, seeds: np.ndarray = seeds) -> Iterator[tuple[list[pa.Array], pa.Array]]:
+            sampler = Sampler(vocab, texts, seeds)
+            paths, scores, following = sampler.take(k)
+            for n, path in enumerate(paths):
+                ids, bounds = _ids(vocab, sampler, path)
+                columns = [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
+                           pa.array(np.diff(bounds)), pa.array(path.log_prob), pa.array(scores[n]),
+                           pa.array(log_inclusion(path.log_prob, following))]
+                yield columns + ([vocab.texts(ids, bounds)] if spell else []), pa.array(scores[n] > -np.inf)
+
+        yield batch.column(0).slice(a, b - a), samples()
+
+
+def sampled(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL, spell: bool = False) -> DataFrame:
     """Up to ``k`` distinct segmentations of each text, drawn without replacement: rows (doc_id, sample from 1, ids,
     n_pieces, log_prob, perturbed, log_inclusion) in falling order of their perturbed score.
 
     The draw of a row depends on its doc_id (null: as 0) and ``seed`` only, so repeated rows get equal results. A text
-    with fewer segmentations gives fewer rows; a null or empty one gives its one, empty, with log_prob 0.
+    with fewer segmentations gives fewer rows; a null or empty one gives its one, empty, with log_prob 0. ``spell``
+    decodes each segmentation where it is drawn: a last column text, as ``decoded`` adds it.
     """
     with open(model, "rb") as file:
         data = file.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(data)
+        names = ["doc_id", "sample", *NAMES[:5 + spell]]
+        for batch in batches:
+            for keys, samples in _draws(vocab, batch, k, seed, spell):
+                for n, (columns, there) in enumerate(samples):
+                    number = pa.array(np.full(len(keys), n + 1, np.int32))
+                    yield pa.RecordBatch.from_arrays([keys, number, *columns], names).filter(there)
+
+    return docs.select("doc_id", "text").mapInArrow(released(run), FIELDS + ", text string" * spell)
+
+
+def gathered(docs: DataFrame, k: int = 2, seed: int = 0, model: str = MODEL) -> DataFrame:
+    """The rows of ``sampled`` with their decoded texts, one row per document: the first sample in columns, the further
+    ones in the array ``others``, in order."""
+    with open(model, "rb") as file:
+        data = file.read()
+    fields = ["sample int", "ids array<int>", "n_pieces long", "log_prob double", "perturbed double",
+              "log_inclusion double", "text string"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = vocabulary(data)
+        names = ["sample", *NAMES]
         for batch in batches:
-            keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            for a, b in slices(text_bytes(batch.column(1))[1], SLICE):
-                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                seeds = mix(keys[a:b].view(U64)) ^ mix(np.full(b - a, seed, np.int64).view(U64))
-                sampler = Sampler(vocab, texts, seeds)
-                paths, scores, following = sampler.take(k)
-                for n, path in enumerate(paths):
-                    ids, bounds = _ids(vocab, sampler, path)
-                    out = pa.RecordBatch.from_arrays([
-                        batch.column(0).slice(a, b - a), pa.array(np.full(b - a, n + 1, np.int32)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype(np.int32))),
-                        pa.array(np.diff(bounds)), pa.array(path.log_prob), pa.array(scores[n]),
-                        pa.array(log_inclusion(path.log_prob, following))],
-                        ["doc_id", "sample", "ids", "n_pieces", "log_prob", "perturbed", "log_inclusion"])
-                    yield out.filter(pa.array(scores[n] > -np.inf))
-                del sampler, paths, texts, ids, out
-
-    return docs.select("doc_id", "text").mapInArrow(released(run), FIELDS)
+            for keys, samples in _draws(vocab, batch, k, seed, True):
+                rows, first, parts, there = len(keys), None, [], []
+                for n, (columns, some) in enumerate(samples):
+                    columns = [pa.array(np.full(rows, n + 1, np.int32)), *columns]
+                    if n:
+                        parts.append(pa.StructArray.from_arrays(columns, names))
+                        there.append(some.to_numpy(zero_copy_only=False))
+                    else:
+                        first = columns
+                if parts:
+                    at = np.stack(there, axis=1)  # by row and sample
+                    row, n = np.nonzero(at)
+                    items = pa.concat_arrays(parts).take(pa.array(n * rows + row))
+                    offs = np.concatenate(([0], np.cumsum(at.sum(axis=1))))
+                else:
+                    items = pa.StructArray.from_arrays([c.slice(0, 0) for c in first], names)
+                    offs = np.zeros(rows + 1)
+                others = pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), items)
+                yield pa.RecordBatch.from_arrays([keys, *first, others], ["doc_id", *names, "others"])
+
+    nested = f"others array<struct<{', '.join(f.replace(' ', ': ', 1) for f in fields)}>>"
+    return docs.select("doc_id", "text").mapInArrow(released(run), ", ".join(["doc_id long", *fields, nested]))
 
 
 def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
@@ -395,8 +470,14 @@ def decoded(rows: DataFrame, model: str = MODEL) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(data)
         for batch in batches:
-            texts = [None if ids is None else vocab.decode(ids) for ids in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],
-                                             [*batch.schema.names, "text"])
+            column = batch.column(at)
+            bounds = np.concatenate(([0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+            for a, b in slices(bounds, SLICE):
+                part = column.slice(a, b - a)
+                texts = vocab.texts(part.flatten().to_numpy(zero_copy_only=False), bounds[a:b + 1] - bounds[a])
+                if part.null_count:
+                    texts = pc.if_else(part.is_null(), pa.scalar(None, pa.string()), texts)
+                yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns), texts],
+                                                 [*batch.schema.names, "text"])
 
     return base.mapInArrow(released(run), T.StructType([*base.schema.fields, T.StructField("text", T.StringType())]))

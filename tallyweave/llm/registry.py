@@ -33,7 +33,7 @@ def op7_reply_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.sampled(table(spark, sf_dir, "documents"), 2)
+    return pieces.sampled(table(spark, sf_dir, "documents"), 2, spell=True)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

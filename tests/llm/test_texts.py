@@ -14,7 +14,7 @@ import duckdb
 import numpy as np
 import pytest
 
-from tallyweave.llm import main_text, pieces, pseudonym, quality, quotes, url_filter, warc
+from tallyweave.llm import main_text, pieces, pseudonym, quality, quotes, registry, url_filter, warc
 from tallyweave.llm.bytehash import U64, mix
 from tests.llm.helpers import awkward, docs
 
@@ -209,6 +209,26 @@ def test_segmentations_of_awkward_rows(spark):
     assert pieces.sampled(docs(spark, []), 2).collect() == []
 
 
+def test_whole_texts_come_back_from_the_query(spark, tmp_path):
+    rows = [(1, "\u2581 own mark \u2581\u2581x"), (2, "\u2581"), (3, " "), (4, "b\u00fftes \U0001f600\ue000 \x00"), (5, "long one " * 30000),
+            (6, ""), (7, None), (8, "  two \u2581 spaces  "), (9, "\u65e5\u672c" * 500), (None, "no id"), (1, "\u2581 own mark \u2581\u2581x")]
+    docs(spark, rows, clash=False).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.op8_sampled_pieces(spark, str(tmp_path)).collect()
+    want = {i: t or "" for i, t in rows}
+    assert all(r.text == want[r.doc_id] for r in got) and {r.doc_id for r in got} == set(want)
+    assert Counter(r.doc_id for r in got)[5] == 2 and Counter(r.doc_id for r in got)[1] == 4
+    given = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    got = registry.op8_sampled_pieces(spark, SF).select("doc_id", "text").collect()
+    assert all(r.text == given[r.doc_id] for r in got) and len(got) == 2 * len(given)
+
+
+def test_decoding_of_any_ids(spark, vocab):
+    rows = [(1, [vocab.bytes_at[0xE2]]), (2, None), (3, []), (4, [vocab.bytes_at[0x20], vocab.bytes_at[0x20]]), (5, list(range(300, 400)))]
+    got = {r.k: r.text for r in pieces.decoded(spark.createDataFrame(rows, "k long, ids array<int>")).collect()}
+    assert got == {k: None if ids is None else vocab.decode(ids) for k, ids in rows}
+    assert got[1] == "\ufffd" and got[2] is None and got[4] == " "
+
+
 # main text
 
 ARTICLE = """<!doctype html><html><head><title>T</title><script>var a="</p>";</script></head><body class="has-sidebar">
