@@ -1,7 +1,7 @@
 """A training corpus from raw documents: five stages, each written as Parquet and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and decides over all rows that its predecessor kept. All but the last return
-the columns of documents; the last returns the sampled segmentation of each remaining text.
+the columns of documents; the last returns two sampled segmentations of each remaining text, with the texts they decode to.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ def pseudonym_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def segmentation_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of one sampled segmentation of every document."""
-    return pieces.sampled(docs, 1)
+    """Two segmentations of every document, sampled without replacement and decoded again; one row per document."""
+    return pieces.gathered(docs, 2)
 
 
 STAGES = [

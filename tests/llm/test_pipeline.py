@@ -42,3 +42,24 @@ def test_stages_keep_columns_and_take_awkward_tables(spark):
             assert stage(spark, table, SF).columns == table.columns
             stage(spark, table, SF).collect()
         corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+
+
+def test_last_stage_draws_without_replacement_and_decodes(spark):
+    from tests.llm.helpers import awkward, docs
+    rows = awkward(300) + [(60, "x"), (70, "\u2581 own \u2581")]
+    table = docs(spark, rows)
+    got = corpus_pipeline.STAGES[-1][1](spark, table, SF).collect()
+    assert len(got) == len(rows)
+    flat = {(r.doc_id, r.sample): r for r in pieces.sampled(table, 2).collect() if r.doc_id is not None}
+    want = dict(rows)
+    for r in got:
+        if r.doc_id is None:
+            continue
+        assert r.text == (want[r.doc_id] or "") and all(x.text == r.text for x in r.others)
+        drawn = [r, *r.others]
+        assert [x.sample for x in drawn] == sorted(n for i, n in flat if i == r.doc_id)
+        assert all(x.ids == flat[r.doc_id, x.sample].ids and x.perturbed == flat[r.doc_id, x.sample].perturbed for x in drawn)
+        assert len({tuple(x.ids) for x in drawn}) == len(drawn)
+    assert max(len(r.others) for r in got) == 1 and any(not r.others for r in got)
+    assert [r.others for r in pieces.gathered(table, 1).collect()] == [[]] * len(rows)
+    assert all(len(r.others) == 2 for r in pieces.gathered(table.filter("doc_id = 1"), 3).collect())
