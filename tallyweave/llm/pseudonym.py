@@ -22,12 +22,13 @@ from pyspark.sql import types as T
 from tallyweave.llm.common import released
 
 ROUNDS = 10
+BLOCK = 128
 KINDS = ("email", "phone", "card", "account", "person_number", "address", "date", "secret")
 DEMO_KEY = b"replace this key"
 FOUND = re.compile(r"""
   (?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@(?=[\w.-]{3,255})[\w-]{1,63}(?:\.[\w-]{1,63})+(?![\w-]))
 | (?P<secret>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}(?:[0-9a-f]{24})?)(?![A-Za-z0-9])
-  |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?)["']?(?P<value>[\w./+-]{8,128}))
+  |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?)["']?(?P<value>[^\s"'<>,;&|(){}\[\]]*\w))
 | (?P<address>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
 | (?P<date>(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d))
 | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)
@@ -125,7 +126,12 @@ def _secret(f: Feistel, m: re.Match) -> str:
             return "AKIA" + _spelled(f, m[0][4:], "key")
         return _spelled(f, m[0], "secret", hexadecimal=True)
     value = m["value"]
-    return m[0][: m.start("value") - m.start()] + _spelled(f, value, "secret", bool(re.fullmatch("[0-9a-f]+", value)))
+    hexadecimal, out, before = bool(re.fullmatch("[0-9a-f]+", value)), [], b""
+    for k in range(0, len(value), BLOCK):  # a long value by blocks, each keyed by what stands before it
+        block = value[k:k + BLOCK]
+        out.append(_spelled(f, block, "secret" + before.hex(), hexadecimal))
+        before = hashlib.blake2b(before + block.encode(), digest_size=16).digest()
+    return m[0][: m.start("value") - m.start()] + "".join(out)
 
 
 def _address(f: Feistel, m: re.Match) -> str | None:

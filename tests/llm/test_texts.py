@@ -126,6 +126,21 @@ def test_what_does_not_validate_stays(text):
     assert pseudonym.replaced(pseudonym.Feistel(b"k"), text) == (text, [])
 
 
+def test_secrets_are_replaced_to_their_end():
+    f, rng = pseudonym.Feistel(b"k"), random.Random(3)
+    for size in (1, 2, 7, 8, 127, 128, 129, 300, 9000):
+        value = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHXYZ0123456789") for _ in range(size))
+        got, kinds = pseudonym.replaced(f, f"token={value}. end")
+        fresh = got.removeprefix("token=").removesuffix(". end")
+        assert kinds == ["secret"] and len(fresh) == size and [c.isdigit() for c in fresh] == [c.isdigit() for c in value]
+        blocks = [(value[k:k + 12], fresh[k:k + 12]) for k in range(0, size - 11, 12)]
+        assert all(a != b for a, b in blocks) and pseudonym.replaced(f, f'secret: "{value}"')[0] == f'secret: "{fresh}"'
+    for text, gone in (("password: hunter2", "hunter2"), ("pwd = 'q!w@9#zz'", "9#zz"), ("api_key=ab$cd~efgh%ijk", "efgh%ijk")):
+        got, kinds = pseudonym.replaced(f, text)
+        assert gone not in got and kinds == ["secret"] and len(got) == len(text)
+    assert pseudonym.replaced(f, "password: ... and token: '-'") == ("password: ... and token: '-'", [])
+
+
 def test_pseudonyms_of_awkward_rows(spark):
     rows = awkward() + [(50, "call +1 (017) 555-7713 " + "long " * 20000 + "a.b@c.example.com")]
     got = pseudonym.with_pseudonyms(docs(spark, rows).selectExpr("*", "text AS n_email")).collect()
