@@ -25,18 +25,22 @@ ROUNDS = 10
 BLOCK = 128
 KINDS = ("email", "phone", "card", "account", "person_number", "address", "date", "secret")
 DEMO_KEY = b"replace this key"
-FOUND = re.compile(r"""
-  (?P<email>(?<![\w.%+-])[\w.%+-]{1,64}@(?=[\w.-]{3,255})[\w-]{1,63}(?:\.[\w-]{1,63})+(?![\w-]))
-| (?P<secret>(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}(?:[0-9a-f]{24})?)(?![A-Za-z0-9])
-  |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?)["']?(?P<value>[^\s"'<>,;&|(){}\[\]]*\w))
-| (?P<address>(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d))
-| (?P<date>(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d))
-| (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)
-  |(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w))
-| (?P<account>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
-| (?P<person_number>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
-| (?P<card>(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w))
-""", re.X)
+#: By kind, in the order in which they are tried at a place.
+PATTERNS = {
+    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@(?=[\w.-]{3,255})[\w-]{1,63}(?:\.[\w-]{1,63})+(?![\w-])",
+    "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}(?:[0-9a-f]{24})?)(?![A-Za-z0-9])
+        |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?)["']?(?P<value>[^\s"'<>,;&|(){}\[\]]*\w)""",
+    "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
+    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d)",
+    "phone": r"""(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)
+        |(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)""",
+    "account": r"(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
+    "person_number": r"(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-])",
+    "card": r"(?<!\w)(?<!\d\.)\d(?:[ -]?\d){12,18}(?!\w)",
+    "plain_phone": r"(?<![\w+])(?<!\d\.)(?:1[ .-])?\d{3}[ .-]\d{3}[ .-]\d{4}(?!\w|\.\d)",
+}
+FOUND = re.compile("|".join(f"(?P<{kind}>{p})" for kind, p in PATTERNS.items()), re.X)
+_EACH = {kind: re.compile(p if kind == "secret" else f"(?P<value>){p}", re.X) for kind, p in PATTERNS.items()}
 #: Every find holds one of these characters.
 HINTS = "0123456789@=:"
 
@@ -217,7 +221,72 @@ def _date(f: Feistel, m: re.Match) -> str | None:
 
 _MAKERS: dict[str, Callable[[Feistel, re.Match], str | None]] = {
     "email": _email, "phone": _phone, "card": _card, "account": _account, "person_number": _person_number,
-    "address": _address, "date": _date, "secret": _secret}
+    "address": _address, "date": _date, "secret": _secret, "plain_phone": _phone}
+#: How the digits of cards are usually grouped.
+_USUAL = re.compile(r"\d{13,19}|\d{4}(?:[ -]\d{4}){2}[ -]\d{1,4}|\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5}")
+#: Kinds whose pattern may take in what stands beside a value.
+_WIDE = ("phone", "account", "card")
+
+
+def _readings(m: re.Match, kind: str) -> Iterator[re.Match]:
+    """The ways to read a find: the whole, and shorter ones up to each boundary; last those that a hyphen goes on from."""
+    text, last = m.string, []
+    for end in range(m.end(), m.start(), -1) if kind in _WIDE else (m.end(),):
+        if end == m.end() or text[end] in " -.":
+            found = m if end == m.end() else _EACH[kind].fullmatch(text, m.start(), end)
+            if found and text[end:end + 1] == "-":
+                last.append(found)
+            elif found:
+                yield found
+    yield from last
+
+
+def _cards(feistel: Feistel, text: str, at: int, usual: bool) -> Iterator[tuple[re.Match, str]]:
+    """The valid readings of a card that begins at a place."""
+    if found := _EACH["card"].match(text, at):
+        for reading in _readings(found, "card"):
+            if (not usual or _USUAL.fullmatch(reading[0])) and (fresh := _card(feistel, reading)):
+                yield reading, fresh
+
+
+def _begins(feistel: Feistel, text: str, at: int) -> bool:
+    """Whether a number that is valid by itself begins at a place."""
+    if not text[at].isdigit() or text[at - 1].isdigit():
+        return False
+    return next(_cards(feistel, text, at, True), None) is not None or any(
+        (m := _EACH[kind].match(text, at)) and _MAKERS[kind](feistel, m) is not None
+        for kind in ("address", "date", "person_number", "plain_phone"))
+
+
+def _first_valid(feistel: Feistel, m: re.Match) -> tuple[str, int, str] | None:
+    """Kind, end and pseudonym of the first valid reading at a place.
+
+    A card in an unusual grouping comes last, and not before another value that begins within it. If another
+    valid card goes on beyond the one taken, the digits up to its end are replaced too.
+    """
+    text, at, kinds = m.string, m.start(), list(PATTERNS)
+    for kind in kinds[kinds.index("secret" if m.lastgroup == "value" else m.lastgroup):]:
+        if kind != "card":
+            if found := _EACH[kind].match(text, at):
+                for reading in _readings(found, kind):
+                    if (fresh := _MAKERS[kind](feistel, reading)) is not None:
+                        return kind.removeprefix("plain_"), reading.end(), fresh
+        elif taken := next(_cards(feistel, text, at, True), None):
+            return _with_rest(feistel, *taken)
+    for taken in _cards(feistel, text, at, False):
+        if any(_begins(feistel, text, k) for k in range(at + 1, taken[0].end())):
+            return None
+        return _with_rest(feistel, *taken)
+    return None
+
+
+def _with_rest(feistel: Feistel, card: re.Match, fresh: str) -> tuple[str, int, str]:
+    text, end = card.string, card.end()
+    if not _USUAL.fullmatch(card[0]) or " " in card[0] or "-" in card[0]:
+        beyond = [r.end() for k in range(card.start() + 1, end) if text[k].isdigit() for r, _ in _cards(feistel, text, k, False)]
+        end = max([end, *beyond])
+        end = next((k for k in range(card.end(), end) if _begins(feistel, text, k)), end)  # that is replaced as itself
+    return "card", end, fresh + _spelled(feistel, text[card.end():end], "card rest")
 
 
 def replaced(feistel: Feistel, text: str) -> tuple[str, list[str]]:
@@ -225,16 +294,15 @@ def replaced(feistel: Feistel, text: str) -> tuple[str, list[str]]:
     if not any(c in text for c in HINTS):
         return text, []
     kinds: list[str] = []
-
-    def swap(m: re.Match) -> str:
-        kind = "secret" if m.lastgroup == "value" else m.lastgroup
-        fresh = _MAKERS[kind](feistel, m)
-        if fresh is None:
-            return m[0]
-        kinds.append(kind)
-        return fresh
-
-    return FOUND.sub(swap, text), kinds
+    out, done, at = [], 0, 0
+    while m := FOUND.search(text, at):
+        if (valid := _first_valid(feistel, m)) is None:
+            at = m.start() + 1  # a valid value may begin within the find
+            continue
+        kinds.append(valid[0])
+        out += text[done:m.start()], valid[2]
+        done = at = valid[1]
+    return "".join(out) + text[done:], kinds
 
 
 def with_pseudonyms(docs: DataFrame, key: bytes = DEMO_KEY, counts: bool = True) -> DataFrame:

@@ -126,6 +126,34 @@ def test_what_does_not_validate_stays(text):
     assert pseudonym.replaced(pseudonym.Feistel(b"k"), text) == (text, [])
 
 
+CARD, ACCOUNT = "4785380592391139", "ES9121000418450200051332"
+
+
+@pytest.mark.parametrize("text, hidden", [
+    (f"{CARD} 12", CARD), (f"{CARD} 123", CARD), (f"12 {CARD}", CARD), ("4785 3805 9239 1139 12/25", "4785 3805 9239 1139"),
+    ("12 34 56 78 4785 3805 9239 1139 7", "4785 3805 9239 1139"), (f"1-{CARD}-2", CARD), (f"+{CARD}", CARD), (f"No.{CARD}", CARD),
+    (f"{ACCOUNT} EUR", ACCOUNT), (f"{ACCOUNT} PAID NOW", ACCOUNT), ("IBAN AB12 CDEF ES91 2100 0418 4502 0005 1332 EUR 100",
+    "ES91 2100 0418 4502 0005 1332"), ("call 743-555-3824 now", "743-555-3824"), ("743 555 3824", "743 555 3824"),
+    ("1.743.555.3824.", "1.743.555.3824"), ("12 743-555-3824 9", "743-555-3824")])
+def test_values_beside_other_numbers_and_words(text, hidden):
+    f = pseudonym.Feistel(b"k")
+    got, kinds = pseudonym.replaced(f, text)
+    before, after = text.split(hidden)
+    fresh = got.removeprefix(before).removesuffix(after)
+    assert len(kinds) == 1 and got == before + fresh + after and len(fresh) == len(hidden) and fresh != hidden
+    assert fresh == pseudonym.replaced(f, hidden)[0]
+
+
+def test_every_neighbour_is_replaced():
+    f = pseudonym.Feistel(b"k")
+    parts = [(CARD, "card"), ("123-45-6789", "person_number"), ("4111 1111 1111 1111", "card"), ("743-555-3824", "phone"),
+             (ACCOUNT, "account"), ("+1 (017) 555-7713", "phone")]
+    for a, first in parts:
+        for b, second in parts:
+            got, kinds = pseudonym.replaced(f, f"{a} {b}")
+            assert kinds == [first, second] and got == f"{pseudonym.replaced(f, a)[0]} {pseudonym.replaced(f, b)[0]}", (a, b)
+
+
 def test_secrets_are_replaced_to_their_end():
     f, rng = pseudonym.Feistel(b"k"), random.Random(3)
     for size in (1, 2, 7, 8, 127, 128, 129, 300, 9000):
