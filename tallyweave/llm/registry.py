@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import decontaminate, fingerprint, main_text, neardup, pieces, pseudonym, quality, quotes, url_filter, warc
+from tallyweave.llm import (alignment, decontaminate, fingerprint, kdshards, main_text, neardup, pieces, pseudonym, quality, quotes,
+                            spelling, url_filter, warc)
 from tallyweave.llm.common import table
 
 
@@ -53,6 +54,18 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.rule_table(spark))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kdshards.sharded(table(spark, sf_dir, "documents"), 24)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.summed(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_main_text": op2_main_text,
@@ -64,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sampled_pieces": op8_sampled_pieces,
     "op9_warc": op9_warc,
     "op10_contaminated": op10_contaminated,
+    "op11_spelling_variants": op11_spelling_variants,
+    "op12_kd_shards": op12_kd_shards,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 SQL: dict[str, str] = {
