@@ -5,6 +5,10 @@ compared at the current index shift: blocks of 1, 2, 4, … ends of A and B that
 jumped over at once; a block that differs is halved down to the first difference. There the smaller end is moved on
 until both sides meet again, which closes one irregular group and sets a new shift.
 
+No token of either side reaches over a single space between two other characters, so texts are encoded word by word:
+words met before are looked up, new ones are encoded and checked once. The table of words is bounded and starts anew
+when it is full.
+
 A token pair is linked where its byte ranges overlap. Counts of linked id pairs are added up per slice of text before
 they meet, so a pair that stands in every document brings one row per slice. Back at its slice a count meets the
 documents by their place in the slice's list of pairs; no link is ever a row.
@@ -13,10 +17,13 @@ documents by their place in the slice's list of pairs; no link is ever a row.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +34,13 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import released, slices, stored, text_bytes
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, STRETCH = 1 << 20, 1 << 18
+SLICE, STRETCH = 1 << 21, 1 << 20
+WORDS, LETTERS = 1 << 18, 1 << 22  # most words and characters of the table
 SPACE = "▁"
-_CUT = re.compile(r"(?<=[!-~]) (?=[!-~])")  # no token of either side reaches over such a place
+#: Fixed value: how a byte-level BPE divides a text before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_BEYOND = re.compile(r"[^\x00-\u024F]")  # where engines could know different versions of Unicode
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 SPANS = "doc_id long, a_ids array<int>, b_ids array<int>, group_a array<int>, group_b array<int>, group_bytes array<long>"
 SLICED = ("slice long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, "
@@ -68,18 +79,19 @@ def group_ends(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return out_a, out_b
 
 
-def stretches(text: str, size: int = STRETCH) -> list[str]:
-    """``text`` with a space before it, cut before single spaces into parts of about ``size`` characters.
-
-    Each part begins with a space, and both sides encode it as they would inside the whole text. A text without
-    single spaces between plain characters stays whole.
-    """
-    out, start = [], 0
+def stretches(text: str, size: int = STRETCH) -> Iterator[str]:
+    """Parts of about ``size`` characters, cut between words. A text without single spaces is one part and one word."""
+    start = 0
     while found := _CUT.search(text, start + size):
-        out.append(" " + text[start:found.start()])
+        yield text[start:found.start()]
         start = found.end()
-    out.append(" " + text[start:])
-    return out
+    yield text[start:]
+
+
+def _gathered_runs(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Runs of ``values`` end to end."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 class Tokenizers:
@@ -106,26 +118,96 @@ class Tokenizers:
                         for k, p in enumerate(pieces)]
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
+        self.fast = self._fast_engine(a_file)
         rows = [b"%d" % k for k in range(max(size, len(pieces)))]
         self.width = len(rows)
         #: decimal ids before a comma, a bar and a semicolon
         self.written = np.array([r + mark for mark in (b",", b"|", b";") for r in rows], object)
-
-    def encoded(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of A and B per text; none where the bytes of either side are not the text after a space."""
-        parts = [stretches(t) if t else [] for t in texts]
-        flat = [p for group in parts for p in group]
-        ids_a = [e.ids for e in self.a.encode_batch_fast(flat, add_special_tokens=False)] if flat else []
-        ids_b = self.b.encode([p[1:] for p in flat], num_threads=1) if flat else []
-        out, at = [], 0
-        for group in parts:
-            got = list(zip(group, ids_a[at:at + len(group)], ids_b[at:at + len(group)], strict=True))
-            at += len(group)
-            same = all(b"".join(map(self.a_bytes.__getitem__, a)) == part.encode()
-                       == b"".join(map(self.b_bytes.__getitem__, b)) for part, a, b in got)
-            out.append(([k for _, a, _ in got for k in a], [k for _, _, b in got for k in b]) if same else ([], []))
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words."""
+        self.words: dict[str, int] = {}
+        self.letters = 0
+        self.known = [array("i"), array("i")]  # ids of all words end to end, A and B
+        self.from_ = [array("q", [0]), array("q", [0])]  # where each word's ids begin
+        self.fits = array("b")  # whether both sides' bytes are the word after a space
+
+    def _a_ids(self, words: list[str]) -> list[list[int]]:
+        """A's ids of every word after a space; plain Latin words go through the faster engine over the same merges."""
+        out: list = [self.fast(" " + w) if self.fast and not _BEYOND.search(w) else None for w in words]
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        if rest:
+            for k, e in zip(rest, self.a.encode_batch_fast([" " + words[k] for k in rest], add_special_tokens=False), strict=True):
+                out[k] = e.ids
         return out
 
+    def _fast_engine(self, a_file: str):
+        """An engine that merges by rank, if this file's merges are in the order of their ids."""
+        import tiktoken
+
+        with open(a_file, encoding="utf-8") as source:
+            model = json.load(source)["model"]
+        vocab = model["vocab"]
+        merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if merged != sorted(merged) or model.get("dropout") or model.get("ignore_merges"):
+            return None
+        ranks = {self.a_bytes[k]: k for k in vocab.values() if k not in self.a.get_added_tokens_decoder()}
+        return tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def _learn(self, new: list[str]) -> None:
+        sides = self._a_ids(new), self.b.encode(new, num_threads=1)
+        whole = [(" " + w).encode() for w in new]
+        ends = np.cumsum([len(w) for w in whole])
+        fits = np.ones(len(new), bool)
+        for known, starts, names, lengths, ids in zip(self.known, self.from_, (self.a_bytes, self.b_bytes), (self.a_len, self.b_len), sides, strict=True):
+            flat = list(chain.from_iterable(ids))
+            upto = np.cumsum([len(k) for k in ids])
+            bytes_to = np.concatenate(([0], np.cumsum(lengths[flat])))[upto]
+            if (bytes_to != ends).any() or b"".join(map(names.__getitem__, flat)) != b"".join(whole):
+                fits &= [b"".join(map(names.__getitem__, k)) == w for k, w in zip(ids, whole, strict=True)]
+            starts.extend((upto + len(known)).tolist())
+            known.extend(flat)
+        self.words.update(zip(new, range(len(self.words), len(self.words) + len(new)), strict=True))
+        self.letters += sum(map(len, new))
+        self.fits.extend(fits.tolist())
+
+    def _runs(self, texts: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """Words of all texts in runs of about a stretch, and the text of each word."""
+        words, of, size = [], [], 0
+        for k, text in enumerate(texts):
+            for part in stretches(text) if text else ():
+                found = _CUT.split(part)
+                words += found
+                of.append((k, len(found)))
+                size += len(part)
+                if size >= STRETCH:
+                    yield words, np.repeat(*np.array(of).T)
+                    words, of, size = [], [], 0
+        if words:
+            yield words, np.repeat(*np.array(of).T)
+
+    def encoded(self, texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        """Ids of A and of B of all texts end to end, and how many of each a text has: none where the bytes of either
+        side are not the text after a space."""
+        ids, counts, bad = ([np.zeros(0, np.int32)], [np.zeros(0, np.int32)]), np.zeros((2, len(texts)), np.int64), np.zeros(len(texts), bool)
+        for words, of in self._runs(texts):
+            if new := [w for w in dict.fromkeys(words) if w not in self.words]:
+                self._learn(new)
+            at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
+            bad[of[np.array(self.fits)[at] == 0]] = True
+            for side in (0, 1):
+                starts = np.array(self.from_[side])
+                n = starts[at + 1] - starts[at]
+                ids[side].append(_gathered_runs(np.array(self.known[side]), starts[at], n))
+                counts[side] += np.bincount(of, n, len(texts)).astype(np.int64)
+            if len(self.words) > WORDS or self.letters > LETTERS:
+                self.clear()
+        joined = [np.concatenate(parts) for parts in ids]
+        if bad.any():
+            joined = [found[~np.repeat(bad, n)] for found, n in zip(joined, counts, strict=True)]
+            counts[:, bad] = 0
+        return joined, counts
 
 @lru_cache(maxsize=1)
 def tokenizers(a_file: str, b_file: str) -> Tokenizers:
@@ -136,11 +218,8 @@ class Aligned:
     """The texts of one slice, encoded and aligned. Tokens of all texts stand end to end, ends are bytes of the slice."""
 
     def __init__(self, both: Tokenizers, texts: list[str]) -> None:
-        ids = both.encoded(texts)
-        self.a = np.fromiter((k for a, _ in ids for k in a), np.int64)
-        self.b = np.fromiter((k for _, b in ids for k in b), np.int64)
-        self.n_a = np.array([len(a) for a, _ in ids], np.int64)
-        self.n_b = np.array([len(b) for _, b in ids], np.int64)
+        (a, b), (self.n_a, self.n_b) = both.encoded(texts)
+        self.a, self.b = a.astype(np.int64), b.astype(np.int64)
         self.a_ends, self.b_ends = np.cumsum(both.a_len[self.a]), np.cumsum(both.b_len[self.b])
         ends = group_ends(self.a_ends.tolist(), self.b_ends.tolist())
         self.group_a, self.group_b = (np.array(e, np.int64) for e in ends)
@@ -165,9 +244,15 @@ class Aligned:
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """Id pair (A in the upper half) and text of every overlap: one for each byte range that no token end divides."""
-        ends = np.union1d(self.a_ends, self.b_ends)
-        i, j = np.searchsorted(self.a_ends, ends), np.searchsorted(self.b_ends, ends)
-        return self.a[i] << 32 | self.b[j], np.searchsorted(self.after_a, i, side="right")
+        if not len(self.a):
+            return self.a, self.a
+        size = int(self.a_ends[-1]) + 1
+        in_a, in_b = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        in_a[self.a_ends], in_b[self.b_ends] = 1, 1
+        ends = np.flatnonzero(in_a | in_b)
+        i, j = np.cumsum(in_a, dtype=np.int32)[ends - 1], np.cumsum(in_b, dtype=np.int32)[ends - 1]  # tokens that end before
+        owner = np.repeat(np.arange(len(self.n_a)), self.n_a)
+        return self.a[i] << 32 | self.b[j], owner[i]
 
 
 def _text_slices(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
