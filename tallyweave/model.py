@@ -52,6 +52,11 @@ PLAN_SCHEMA = T.StructType([
     T.StructField("quantity", QUANTITY), T.StructField("unit_price", PRICE),
     T.StructField("amount_functional", AMOUNT), *_text("functional_currency", "plan_line_type"),
 ])
+#: Recomputed lines have six places; live, frozen, staged and replaced lines are stored alike.
+MOVED = T.DecimalType(18, 6)
+STORED_PLAN_SCHEMA = T.StructType([
+    T.StructField(f.name, MOVED) if f.name in ("quantity", "unit_price") else f for f in PLAN_SCHEMA.fields])
+PREIMAGE_SCHEMA = T.StructType([T.StructField("preimage_for_revision", T.IntegerType()), *STORED_PLAN_SCHEMA.fields])
 VINTAGE_SCHEMA = T.StructType([
     T.StructField("vintage", T.IntegerType()), T.StructField("closed_at", T.TimestampNTZType()), *_text("note"),
 ])
@@ -60,11 +65,27 @@ FX_ACTUAL_SCHEMA = T.StructType([
 ])
 FX_PLAN_SCHEMA = T.StructType([*_text("plan_version"), *FX_ACTUAL_SCHEMA.fields])
 ACCOUNT_SCHEMA = T.StructType(_text("account", "account_name", "account_type", "engine_tag"))
+COMPANY_SCHEMA = T.StructType([
+    *_text("company", "company_name", "geo_country", "geo_region", "functional_currency"),
+    T.StructField("is_elimination_entity", T.IntegerType())])
+CUSTOMER_SCHEMA = T.StructType(_text("customer", "customer_name", "industry", "segment", "geo_country"))
+EMPLOYEE_SCHEMA = T.StructType([
+    *_text("resource_employee", "employee_name", "national_id", "grade", "practice", "geo_country", "delivery_shore",
+           "cost_center", "company"),
+    T.StructField("annual_loaded_cost", AMOUNT), T.StructField("standard_bill_rate", AMOUNT), T.StructField("hire_date", T.DateType())])
+PROJECT_SCHEMA = T.StructType([
+    *_text("project", "project_name", "customer", "practice", "engine", "billing_type", "company"),
+    T.StructField("start_date", T.DateType()), T.StructField("end_date", T.DateType())])
 
 TABLE_SCHEMAS = {
     "ledger": LEDGER_SCHEMA, "plan": PLAN_SCHEMA, "vintage": VINTAGE_SCHEMA,
-    "fx_actual": FX_ACTUAL_SCHEMA, "fx_plan": FX_PLAN_SCHEMA, "account": ACCOUNT_SCHEMA,
+    "fx_actual": FX_ACTUAL_SCHEMA, "fx_plan": FX_PLAN_SCHEMA, "account": ACCOUNT_SCHEMA, "company": COMPANY_SCHEMA,
+    "customer": CUSTOMER_SCHEMA, "employee": EMPLOYEE_SCHEMA, "project": PROJECT_SCHEMA,
+    "baseline": STORED_PLAN_SCHEMA, "staged": STORED_PLAN_SCHEMA, "preimage": PREIMAGE_SCHEMA,
 }
+#: The column that names one row of each master.
+MASTER_KEYS = {"company": "company", "account": "account", "customer": "customer", "employee": "resource_employee",
+               "project": "project"}
 
 # Ledger accounts each measure adds up.
 REVENUE_ACCOUNTS = ("41000", "41010", "41020", "41400")

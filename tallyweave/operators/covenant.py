@@ -15,21 +15,27 @@ from tallyweave.operators.recompute import live_with_staged
 
 def figures(live: DataFrame, staged: DataFrame, fx_plan: DataFrame, plan_version: str, revision: int,
             companies: Sequence[str] = (), months: Sequence[str] = ()) -> DataFrame:
+    """``figures_of`` a plan version as published and with a revision's staged rows in place."""
+    return figures_of(live_with_staged(live, staged, plan_version, revision), fx_plan, plan_version, companies, months)
+
+
+def figures_of(lines: DataFrame, fx_plan: DataFrame, plan_version: str, companies: Sequence[str] = (),
+               months: Sequence[str] = ()) -> DataFrame:
     """Revenue and delivery cost in USD before and after, per scenario, for the request's slice and the whole plan.
 
-    "Before" is the plan version as published, "after" the same with the revision's staged rows in place. Rates are
-    those of the plan version; a line without one positive rate is refused.
+    ``lines`` have ``amount_functional`` and ``after_amount``. Rates are those of the plan version; a line without one
+    positive rate is refused.
     """
     inside = F.lit(True)
     if companies:
         inside = inside & F.col("company").isin(*companies)
     if months:
         inside = inside & F.date_format("period_month", "yyyy-MM-dd").isin(*months)
-    rows = with_rate(live_with_staged(live, staged, plan_version, revision), fx_plan, plan_version)
+    rows = with_rate(lines, fx_plan, plan_version).withColumn("usd_rate", checked_rate())
     scopes = F.when(inside, F.array(F.lit("PLAN"), F.lit("REQUEST"))).otherwise(F.array(F.lit("PLAN")))
 
     def total(amount: str, accounts: Sequence[str]) -> Column:
-        usd = (F.col(amount) * checked_rate()).cast("decimal(28,6)")
+        usd = (F.col(amount) * F.col("usd_rate")).cast("decimal(28,6)")
         return F.coalesce(F.sum(F.when(F.col("account").isin(*accounts), usd)), F.lit(0)).cast("decimal(38,6)")
 
     return rows.withColumn("scope", F.explode(scopes)).groupBy("scenario_id", "scope").agg(
@@ -49,6 +55,13 @@ def metric_value(side: str) -> Column:
     )
 
 
+def require_rules(rules: DataFrame) -> DataFrame:
+    """The rules, or a refusal where there is none: nothing could show that covenants are met."""
+    if rules.isEmpty():
+        raise ValueError("no active covenant rule")
+    return rules
+
+
 def checks(rules: DataFrame, measured: DataFrame) -> DataFrame:
     """One verdict per (rule, scenario); what cannot be measured fails."""
     c = F.col
@@ -76,5 +89,7 @@ def failures(checked: DataFrame) -> DataFrame:
 
 
 def verdict(checked: DataFrame) -> DataFrame:
+    """How many checks there are and failed, and whether all passed; no check at all is refused when it is read."""
+    none = F.raise_error("no covenant check was made").cast("boolean")
     return checked.agg(F.count(F.lit(1)).alias("checks"), F.count_if(~F.col("passed")).alias("failed"),
-                       F.every("passed").alias("passed"))
+                       F.coalesce(F.every("passed"), none).alias("passed"))

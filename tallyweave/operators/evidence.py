@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Columns that must not leave unmasked.
@@ -51,6 +51,7 @@ LEG_KEYS = {
     "fx": ("fx", "fx_variance"), "rate": ("rate", "rate_variance"), "efficiency": ("efficiency", "efficiency_variance"),
     "gap": ("gap", "total_gap", "change", "delta"), "residual": ("residual",),
 }
+# Measures whose level a text may state.
 LEVEL_WORDS = ("revenue", "cost", "margin")
 # Words that name a measure in a text.
 LABELS = (
@@ -82,27 +83,25 @@ VALUE = "decimal(38,10)"
 def numbers(texts: DataFrame, key: str, text: str) -> DataFrame:
     """Every number a text states: its place, its size in units, its sign and the words since the one before.
 
-    Splitting on the same pattern gives exactly the text between two numbers.
+    ``key`` names one text. Splitting on the same pattern gives exactly the text between two numbers; ``span`` is the
+    length of that text and the number. Trailing zeros do not count. A size that has more than ten places, or 28 digits
+    before the point, is not ``comparable``: no evidence value is kept that finely, so it equals none.
     """
     c = F.col
-    found = F.regexp_extract_all(c(text), F.lit(f"({NUMBER})"), 1)
+    found, value, scale = (F.regexp_extract_all(c(text), F.lit(NUMBER), F.lit(group)) for group in range(3))
     listed = texts.select(key, F.posexplode(F.arrays_zip(
-        found.alias("claim"), F.slice(F.split(c(text), NUMBER, -1), F.lit(1), F.size(found)).alias("before"))).alias("place", "n"))
-    rows = listed.select(key, "place", "n.claim", F.element_at(F.split("n.before", r"[.;:\n]", -1), -1).alias("window"))
-    raw = F.regexp_replace(F.regexp_extract("claim", NUMBER, 1), ",", "")
-    scale = F.lower(F.trim(F.regexp_replace(F.regexp_extract("claim", NUMBER, 2), r"\s", "")))
-    rows = rows.withColumns({"raw": raw, "scale": scale})
-    by = {k: F.lit(10 ** p).cast("decimal(10,0)") for k, p in SCALES.items() if p > 0}
-    unit = F.coalesce(*[F.when(c("scale") == k, u) for k, u in by.items()])
-    size = (
-        F.when(c("scale") == "", F.expr("try_cast(raw as decimal(38,10))"))
-        .when(c("scale") == "%", F.expr("try_cast(raw as decimal(26,8))") * F.lit("0.01").cast("decimal(2,2)"))
-        .otherwise(F.expr("try_cast(raw as decimal(24,10))") * unit)
-    )
-    # Finer than any evidence value can be: such a claim equals none, so it keeps no size.
-    places = F.length(F.regexp_extract("raw", r"\.(\d+)$", 1)) + F.when(c("scale") == "%", 2).otherwise(0)
-    return rows.withColumns({
-        "magnitude": F.when(places <= 10, F.abs(size).cast(VALUE)), "negative": c("raw").startswith("-"), "scaled": c("scale") != ""})
+        found.alias("claim"), value.alias("value"), scale.alias("scale"),
+        F.slice(F.split(c(text), NUMBER, -1), F.lit(1), F.size(found)).alias("before"))).alias("place", "n"))
+    rows = listed.select(
+        key, "place", "n.claim", F.element_at(F.split("n.before", r"[.;:\n]", -1), -1).alias("window"),
+        (F.length("n.before") + F.length("n.claim")).alias("span"), F.replace(c("n.value"), F.lit(","), F.lit("")).alias("raw"),
+        F.lower(F.trim(F.regexp_replace("n.scale", r"\s", ""))).alias("scale"))
+    power = F.coalesce(*[F.when(c("scale") == k, p) for k, p in SCALES.items()], F.lit(0))
+    places = F.length(F.rtrim(F.regexp_extract("raw", r"\.(\d+)$", 1), F.lit("0")))
+    rows = rows.withColumn("size", F.concat("raw", F.lit("E"), power.cast("string")))
+    size = F.when(places - power <= 10, F.abs(F.expr(f"try_cast(size as {VALUE})")))
+    return rows.withColumns({"magnitude": size, "comparable": size.isNotNull(), "negative": c("raw").startswith("-"),
+                             "scaled": c("scale") != ""}).drop("size")
 
 
 def evidence_values(rows: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -118,7 +117,7 @@ def period_years(queries: DataFrame, key: str, text: str) -> DataFrame:
     return named.withColumn("is_year", whole)
 
 
-def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, key: str) -> DataFrame:
+def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Claims whose size equals no value of their evidence rows.
 
     A number the query names is not a claim when it reads as a year, or when no measure word is near it.
@@ -127,30 +126,67 @@ def ungrounded(claims: DataFrame, evidence: DataFrame, context: DataFrame, key:
     sizes = evidence.select(key, F.abs("value").cast(VALUE).alias("magnitude")).distinct()
     open_claims = claims.join(sizes, [key, "magnitude"], "left_anti").join(context, [key, "magnitude"], "left")
     year = F.coalesce("is_year", F.lit(False)) & ~F.col("scaled")
-    named = F.col("is_year").isNotNull()
-    # only a number that the query names needs its words read
-    read = open_claims.filter(~year).withColumn("label", F.when(named, reading(F.col("window"))["label"]))
-    return read.filter(~(named & F.col("label").isNull())).drop("is_year", "label")
-
-
-def _last(text: Column, pattern: str) -> tuple[Column, Column]:
-    """Where the last match of a worded pattern ends (NULL without one), and its length."""
-    worded = rf"(?isuU)^(.*)((?<![A-Za-z])(?:{pattern})(?![A-Za-z]))"
-    found = F.length(F.regexp_extract(text, worded, 2))
-    return F.when(found > 0, F.length(F.regexp_extract(text, worded, 1)) + found), found
-
-
-def reading(window: Column) -> Column:
-    """The measure word nearest before a number, the direction nearest before it, and whether a change is stated."""
-    text = F.coalesce(window, F.lit(""))
-    ends = []
-    for name, pattern in LABELS:
-        end, size = _last(text, pattern)
-        ends.append(F.when(end.isNotNull(), F.struct(end.alias("end"), size.alias("size"), F.lit(name).alias("name"))))
-    low, high = _last(text, DOWN)[0], _last(text, UP)[0]
-    way = F.when(low.isNotNull() & (high.isNull() | (low > high)), "down").when(high.isNotNull(), "up")
-    return F.struct(F.greatest(*ends)["name"].alias("label"), way.alias("direction"),
-                    (way.isNotNull() & text.rlike("(?i)" + CHANGE)).alias("change"))
+    open_claims = open_claims.filter(~year).withColumn("named", F.col("is_year").isNotNull()).drop("is_year")
+    # only texts with a number that the query names need their words read
+    doubtful = open_claims.filter("named").select(key).distinct()
+    words = readings(claims.join(doubtful, key, "left_semi"), texts.join(doubtful, key, "left_semi"), key, text)
+    return open_claims.join(words.select(key, "place", "label"), [key, "place"], "left").filter(
+        ~(F.col("named") & F.col("label").isNull())).drop("named", "label")
+
+
+def _alternatives(pattern: str) -> list[str]:
+    """The alternatives of a pattern, those of two words first: at one place they take more."""
+    out, depth = [""], 0
+    for sign in pattern:
+        depth += (sign == "(") - (sign == ")")
+        if sign == "|" and not depth:
+            out.append("")
+        else:
+            out[-1] += sign
+    return sorted(out, key=lambda x: " " not in x)
+
+
+def tokens(texts: DataFrame, key: str, text: str, words: Sequence[tuple[str, str]]) -> DataFrame:
+    """(key, start, size, name): every place where one of the named patterns stands as words, overlapping ones too.
+
+    A text is read once, whatever the number of patterns: it is cut before each such place, and the lengths of the parts
+    add up to where the places are.
+    """
+    options = "|".join(sorted((a for _, p in words for a in _alternatives(p)), key=lambda x: " " not in x))
+    ahead = rf"(?iuU)(?=(?<![A-Za-z])({options})(?![A-Za-z]))"
+    found, parts = F.regexp_extract_all(text, F.lit(ahead), 1), F.split(text, ahead, -1)
+    # without a match at the very start the first part belongs to none
+    first = F.when(F.size(parts) > F.size(found), F.array(F.lit(None).cast("string"))).otherwise(F.array().cast("array<string>"))
+    cut = texts.select(key, F.posexplode(F.arrays_zip(parts.alias("part"), F.concat(first, found).alias("word"))).alias("n", "t"))
+    before = Window.partitionBy(key).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cut.select(key, "t.word", F.coalesce(F.sum(F.length("t.part")).over(before), F.lit(0)).alias("start"))
+    name = F.coalesce(*[F.when(F.col("word").rlike(rf"(?iuU)^(?:{p})$"), n) for n, p in words])
+    return placed.filter(F.col("word").isNotNull()).select(key, "start", F.length("word").alias("size"), name.alias("name"))
+
+
+def readings(claims: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
+    """Claims with the measure word nearest before each, the direction nearest before it, and whether a change is stated.
+
+    Words and numbers of a text stand on one line; the nearest word before a number is the running maximum of word ends.
+    One that began before the number's own window (the last number or sentence mark) does not count.
+    """
+    c = F.col
+    upto = Window.partitionBy(key).orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    at = claims.withColumn("at", F.sum("span").over(upto) - F.length("claim"))
+    end = (c("start") + c("size")).alias("end")
+    asks = at.select(key, c("at").alias("pos"), F.lit(1).alias("kind"), F.struct(*at.columns).alias("claim"))
+    labels = tokens(texts, key, text, LABELS).select(
+        key, end.alias("pos"), F.lit(0).alias("kind"), F.struct(end, "size", "name", "start").alias("label"))
+    ways = tokens(texts, key, text, (("down", DOWN), ("up", UP))).select(
+        key, end.alias("pos"), F.lit(0).alias("kind"), F.struct(end, "name", "start").alias("way"))
+    line = asks.unionByName(labels, allowMissingColumns=True).unionByName(ways, allowMissingColumns=True)
+    seen = Window.partitionBy(key).orderBy("pos", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    near = line.withColumns({"label": F.max("label").over(seen), "way": F.max("way").over(seen)}).filter("kind = 1")
+    since = c("claim.at") - F.length("claim.window")
+    out = near.select("claim.*", F.when(c("label.start") >= since, c("label.name")).alias("label"),
+                      F.when(c("way.start") >= since, c("way.name")).alias("direction"))
+    stated = c("direction").isNotNull() & c("window").rlike("(?i)" + CHANGE)
+    return out.withColumn("change", F.coalesce(stated, F.lit(False))).drop("at")
 
 
 def _groups(name: Column) -> Column:
@@ -162,13 +198,12 @@ def _groups(name: Column) -> Column:
     return F.flatten(F.array(*[F.coalesce(part, none) for part in (*legs, *levels)]))
 
 
-def misattributed(claims: DataFrame, evidence: DataFrame, context: DataFrame, key: str) -> DataFrame:
+def misattributed(claims: DataFrame, evidence: DataFrame, context: DataFrame, texts: DataFrame, key: str, text: str) -> DataFrame:
     """Grounded claims that are not the value of the measure, or the direction, their words give them."""
     c = F.col
     years = context.select(key, "magnitude", "is_year")
     sizes = evidence.select(key, F.abs("value").cast(VALUE).alias("magnitude")).distinct().withColumn("grounded", F.lit(True))
-    read = claims.withColumn("r", reading(c("window"))).select("*", "r.label", "r.direction", "r.change").drop("r")
-    read = read.join(years, [key, "magnitude"], "left").join(sizes, [key, "magnitude"], "left")
+    read = readings(claims, texts, key, text).join(years, [key, "magnitude"], "left").join(sizes, [key, "magnitude"], "left")
     read = read.filter(~(F.coalesce("is_year", F.lit(False)) & ~c("scaled")) & (
         c("grounded").isNotNull() | (c("is_year").isNotNull() & c("label").isNull())))
     legs, levels = c("label").isin(*LEG_KEYS), c("label").isin(*LEVEL_WORDS)

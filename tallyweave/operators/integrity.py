@@ -21,14 +21,17 @@ def keyed(log: DataFrame) -> DataFrame:
     return log.withColumn("event_key", event_key(F.col("actor"), *[F.col(f) for f in FACTS]))
 
 
-def build_chain(log: DataFrame, keys: Sequence[str], order: str = "id") -> DataFrame:
-    """``previous_hash`` and ``event_hash`` per entity, folded in order.
+def build_chain(log: DataFrame, keys: Sequence[str], order: str = "id", heads: DataFrame | None = None) -> DataFrame:
+    """``previous_hash`` and ``event_hash`` per entity, folded in order, after the ``heads`` of what is chained already.
 
     A chain is sequential by definition, so each entity is walked once, batch by batch, carrying one
     hash: memory does not grow with the entity. Everything else (the keys) is hashed beforehand in
-    parallel, and only ids and keys travel.
+    parallel, and only ids and keys travel. With heads (from ``chain_heads``) only new events are walked; one that does
+    not come after its entity's head is refused.
     """
-    slim = keyed(log).select(*keys, order, "event_key")
+    slim = keyed(log).select(*keys, order, "event_key").withColumn("seed", F.lit(None).cast("string"))
+    if heads is not None:
+        slim = slim.unionByName(heads.select(*keys, order, F.col("event_hash").alias("seed")), allowMissingColumns=True)
     kinds = {f.name: f.dataType.simpleString() for f in slim.schema.fields}
     schema = ", ".join([f"{n} {kinds[n]}" for n in (*keys, order, "event_key")] + ["previous_hash string", "event_hash string"])
     names = list(keys)
@@ -36,19 +39,39 @@ def build_chain(log: DataFrame, keys: Sequence[str], order: str = "id") -> DataF
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entity, last = None, None
         for rows in batches:
-            before, after = [], []
-            for *who, key in rows[[*names, "event_key"]].itertuples(index=False, name=None):
+            before, after, new = [], [], []
+            for *who, key, seed in rows[[*names, "event_key", "seed"]].itertuples(index=False, name=None):
                 if who != entity:
                     entity, last = who, None
+                new.append(seed is None)
+                if seed is not None:
+                    if last is not None:
+                        raise ValueError(f"an event of {who} is not after what is chained already")
+                    last = seed
+                    continue
                 before.append(last)
                 last = sha256(f"{last or ''}|{key}".encode()).hexdigest()
                 after.append(last)
-            yield rows.assign(previous_hash=before, event_hash=after)
+            kept = {n: pd.Series(rows[n].to_numpy(object)[new], dtype=object) for n in (*names, order, "event_key")}
+            yield pd.DataFrame(kept | {"previous_hash": pd.Series(before, dtype=object), "event_hash": pd.Series(after, dtype=object)})
 
-    sorted_rows = slim.repartition(*keys).sortWithinPartitions(*keys, order)
+    # a new event with the id of the head stands before it, and is refused
+    sorted_rows = slim.repartition(*keys).sortWithinPartitions(*keys, order, F.col("seed").asc_nulls_first())
     return sorted_rows.mapInPandas(walk, schema)
 
 
+def chain_heads(chained: DataFrame, keys: Sequence[str], order: str = "id") -> DataFrame:
+    """The last event of every entity: where its chain goes on."""
+    return chained.groupBy(*keys).agg(F.max_by(F.struct(order, "event_hash"), order).alias("h")).select(*keys, "h.*")
+
+
+def changed_heads(chained: DataFrame, heads: DataFrame, keys: Sequence[str], order: str = "id") -> DataFrame:
+    """Heads that the stored chain does not hold any more: the event is gone, or has another hash."""
+    there = chained.select(*keys, order, F.col("event_hash").alias("stored_hash"))
+    return heads.join(there, [*keys, order], "left").filter(~F.col("stored_hash").eqNullSafe(F.col("event_hash"))).withColumn(
+        "problem", F.when(F.col("stored_hash").isNull(), "head missing").otherwise("head changed")).drop("stored_hash")
+
+
 def verify_chain(log: DataFrame, keys: Sequence[str] = (), order: str = "id", bucket_rows: int = 1_000_000) -> DataFrame:
     """Every row whose stored facts, link or hash does not hold, with the reasons.
 
@@ -129,29 +152,62 @@ def report_line_violations(rows: DataFrame, legs: Sequence[str]) -> DataFrame:
 # -- state moves -----------------------------------------------------------------------------------
 
 
+def state_moves(log: DataFrame, bucket: Column) -> DataFrame:
+    """Logged changes of state with the state and the actor before; these come from the log itself."""
+    before = log.withColumn("__now", F.struct("state", "actor"))
+    moves = with_previous(before, ["entity"], "id", "__now", bucket, "was").withColumns(
+        {"from_state": F.col("was.state"), "from_actor": F.col("was.actor")}).drop("__now", "was")
+    return moves.filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("state")))
+
+
 def transition_violations(log: DataFrame, rules: DataFrame, roles: DataFrame, bucket: Column) -> DataFrame:
     """Logged moves that break a rule: undeclared, no role for it, or one person on both sides.
 
-    ``log``: entity, id, actor, state, requested_by. The state before comes from the log itself.
+    ``log``: entity, id, actor, state, requested_by, started_by. The requester decides nothing, the starter does not
+    approve, the approver does not lock.
     """
-    before = log.withColumn("__now", F.struct("state", "actor"))
-    moves = with_previous(before, ["entity"], "id", "__now", bucket, "was").withColumns(
-        {"from_state": F.col("was.state"), "from_actor": F.col("was.actor")}).drop("__now", "was")
-    moves = moves.filter(F.col("from_state").isNotNull() & (F.col("from_state") != F.col("state")))
+    moves = state_moves(log, bucket)
     declared = rules.select("from_state", F.col("to_state").alias("state")).distinct().withColumn("declared", F.lit(True))
     allowed = roles.join(rules, "role_code").select(
         F.col("user_id").alias("actor"), "from_state", F.col("to_state").alias("state")).distinct().withColumn("allowed", F.lit(True))
     joined = moves.join(declared, ["from_state", "state"], "left").join(allowed, ["actor", "from_state", "state"], "left")
     state, actor = F.col("state"), F.col("actor")
+    own = actor == F.col("requested_by")
     problems = F.filter(F.array(
         F.when(F.col("declared").isNull(), "undeclared move"),
         F.when(F.col("declared").isNotNull() & F.col("allowed").isNull(), "role missing"),
-        F.when((state == "APPROVED") & (actor == F.col("requested_by")), "requester approved"),
+        *[F.when((state == to) & own, f"requester {duty}") for to, duty in DECISIONS.items()],
+        F.when((state == "APPROVED") & (actor == F.col("started_by")), "starter approved"),
         F.when((state == "LOCKED") & (F.col("from_state") == "APPROVED") & (actor == F.col("from_actor")), "approver locked"),
     ), lambda v: v.isNotNull())
     return joined.withColumn("violation", F.explode(problems)).select("entity", "id", "actor", "from_state", "state", "violation")
 
 
+#: What a move into a state decides.
+DECISIONS = {"APPROVED": "approved", "LOCKED": "locked", "REJECTED": "rejected"}
+#: Duties that one person may not hold together.
+APART = (("requested", "approved"), ("requested", "locked"), ("requested", "rejected"), ("started", "approved"), ("approved", "locked"))
+
+
+def duty_conflicts(log: DataFrame, bucket: Column) -> DataFrame:
+    """Per entity and person the set of duties held over its whole life, where two of them must be kept apart.
+
+    A move is judged on its own by ``transition_violations``; here an approver who locks much later, after others have
+    moved the entity, is found too. Duties are gathered per entity and person before they meet: five at most.
+    """
+    moves = state_moves(log, bucket)
+    decided = F.coalesce(*[F.when(F.col("state") == to, duty) for to, duty in DECISIONS.items()])
+    held = F.explode(F.array(
+        F.struct(F.col("requested_by").alias("person"), F.lit("requested").alias("duty")),
+        F.struct(F.col("started_by").alias("person"), F.lit("started").alias("duty")),
+        F.struct(F.col("actor").alias("person"), decided.alias("duty"))))
+    duties = moves.select("entity", held.alias("h")).select("entity", "h.*").filter("person IS NOT NULL AND duty IS NOT NULL").groupBy(
+        "entity", "person").agg(F.array_sort(F.collect_set("duty")).alias("duties"))
+    clash = F.filter(F.array(*[F.when(F.array_contains("duties", a) & F.array_contains("duties", b), f"{a} and {b}") for a, b in APART]),
+                     lambda v: v.isNotNull())
+    return duties.withColumn("conflict", F.explode(clash))
+
+
 def status_violations(log: DataFrame, people: DataFrame, bucket: Column) -> DataFrame:
     """Report status moves out of CLOSED, down from ESCALATED, or closed by someone who may not.
 

@@ -106,7 +106,7 @@ def evaluate_ratios(grid: DataFrame, drivers: Sequence[Driver], keys: Sequence[s
     zero has no ratio of its own and takes the product of its inputs' ratios; a division by zero
     makes both its values zero.
     """
-    out = grid
+    made: list[Column] = []  # later columns read earlier ones of the same select, so the plan is analysed once
     for d in drivers:
         pin_old, pin_new = F.col(f"from_{d.code}"), F.col(f"to_{d.code}")
         hit = pin_old.isNotNull()
@@ -114,17 +114,17 @@ def evaluate_ratios(grid: DataFrame, drivers: Sequence[Driver], keys: Sequence[s
         inherited = reduce(lambda a, p: a * F.when(F.col(f"dirty_{p}"), F.col(f"ratio_{p}")).otherwise(F.lit(1.0)),
                            d.depends, F.lit(1.0))
         if d.formula is None:
+            old, new = pin_old, pin_new
             ratio = F.coalesce(pin_new / F.nullif(pin_old, F.lit(0.0)), inherited)
-            out = out.withColumns({f"old_{d.code}": pin_old, f"new_{d.code}": pin_new})
         else:
-            old = d.formula({p: F.col(f"old_{p}") for p in d.depends}).cast("double")
-            new = d.formula({p: F.col(f"new_{p}") for p in d.depends}).cast("double")
-            failed = old.isNull() | new.isNull()
-            out = out.withColumns({
-                f"old_{d.code}": F.when(hit, pin_old).when(failed, F.lit(0.0)).otherwise(old),
-                f"new_{d.code}": F.when(hit, pin_new).when(failed, F.lit(0.0)).otherwise(new)})
+            was = d.formula({p: F.col(f"old_{p}") for p in d.depends}).cast("double")
+            now = d.formula({p: F.col(f"new_{p}") for p in d.depends}).cast("double")
+            failed = was.isNull() | now.isNull()
+            old = F.when(hit, pin_old).when(failed, F.lit(0.0)).otherwise(was)
+            new = F.when(hit, pin_new).when(failed, F.lit(0.0)).otherwise(now)
             ratio = F.coalesce(F.col(f"new_{d.code}") / F.nullif(F.col(f"old_{d.code}"), F.lit(0.0)), inherited)
-        out = out.withColumns({f"dirty_{d.code}": dirty, f"ratio_{d.code}": ratio, f"hit_{d.code}": hit})
+        made += [c.alias(f"{n}_{d.code}") for n, c in (("old", old), ("new", new), ("dirty", dirty), ("ratio", ratio), ("hit", hit))]
+    out = grid.select(*keys, *made)
     entry = F.explode(F.array(*[
         F.struct(F.lit(d.code).alias("driver_code"), F.col(f"old_{d.code}").alias("from_value"),
                  F.col(f"new_{d.code}").alias("to_value"), F.col(f"ratio_{d.code}").alias("ratio"),
@@ -164,6 +164,11 @@ TARGETS = ("quantity", "unit_price")
 KINDS = (("company", "month"), ("company",), ("month",), ())
 
 
+def scope_id() -> Column:
+    """A short name of a row's scope: the same companies and months, in any order, have the same."""
+    return F.substring(F.sha2(F.concat_ws("|", *[F.array_join(F.array_sort(s), ",") for s in SCOPE]), 256), 1, 16)
+
+
 def per_key(scoped: DataFrame) -> DataFrame:
     """Rows with (companies, months) lists as one row per company and month; NULL where the scope is open."""
     return (scoped.withColumn("company", F.explode_outer(F.array_distinct("companies")))
@@ -185,30 +190,31 @@ def looked_up(lines: DataFrame, entries: DataFrame, columns: Sequence[Column], n
     return out.drop("month")
 
 
-def with_factors(lines: DataFrame, factors: DataFrame, sources: bool = False) -> DataFrame:
+def with_factors(lines: DataFrame, factors: DataFrame, sources: bool = False, keep: bool = False) -> DataFrame:
     """Lines that some factor covers, with the product of their factors per target.
 
-    ``sources`` also adds ``factors``: the factors themselves, in order, for a trace.
+    ``keep`` keeps the others too, and tells in ``covered`` which is which. ``sources`` also adds ``scopes``: the ids of the scopes behind the factors, in order, for a trace.
     """
-    entries = per_key(factors.withColumnRenamed("account_code", "account"))
+    entries = per_key(factors.withColumnRenamed("account_code", "account").withColumn("scope_id", scope_id()))
     columns = [F.product(F.when(F.col("target") == t, F.col("factor"))) for t in TARGETS]
     columns.append(F.count(F.lit(1)))
     names = [*TARGETS, "covered"]
     names[:2] = [f"{t}_factor" for t in TARGETS]
     if sources:
-        columns.append(F.collect_list(F.struct("companies", "months", "target", "factor", "sources")))
-        names.append("factors")
+        columns.append(F.collect_set("scope_id"))
+        names.append("scopes")
     found = looked_up(lines, entries, columns, names)
     kinds = range(len(KINDS))
 
     def product(name: str) -> Column:
         return reduce(lambda a, n: a * F.coalesce(f"{name}_{n}", F.lit(1.0)), kinds, F.lit(1.0))
 
-    out = found.filter(F.coalesce(*[f"covered_{n}" for n in kinds]).isNotNull()).withColumns(
-        {f"{t}_factor": product(f"{t}_factor") for t in TARGETS})
+    covered = F.coalesce(*[f"covered_{n}" for n in kinds]).isNotNull()
+    found = found.withColumn("covered", covered) if keep else found.filter(covered)
+    out = found.withColumns({f"{t}_factor": product(f"{t}_factor") for t in TARGETS})
     if sources:
-        empty = F.array().cast(out.schema["factors_0"].dataType)
-        out = out.withColumn("factors", F.array_sort(F.concat(*[F.coalesce(f"factors_{n}", empty) for n in kinds])))
+        empty = F.array().cast("array<string>")
+        out = out.withColumn("scopes", F.array_sort(F.concat(*[F.coalesce(f"scopes_{n}", empty) for n in kinds])))
     return out.drop(*[f"{name}_{n}" for name in names for n in kinds])
 
 
@@ -235,47 +241,26 @@ def recompute_lines(baseline: DataFrame, factors: DataFrame, scopes: DataFrame |
     lines are rewritten (the requested moves) without limiting the moves they carry. A trace needs ``sources``.
     """
     lines = baseline if scopes is None else in_dirty(baseline, scopes)
-    out = with_factors(lines, factors, sources).withColumns(
-        {"baseline_quantity": F.col("quantity"), "baseline_unit_price": F.col("unit_price")})
+    return _moved(with_factors(lines, factors, sources))
+
+
+def _moved(lines: DataFrame) -> DataFrame:
+    """Lines with their quantity and price times their factors, and what they were."""
+    out = lines.withColumns({"baseline_quantity": F.col("quantity"), "baseline_unit_price": F.col("unit_price")})
     out = out.withColumns({
         "quantity": (F.col("quantity").cast("double") * F.col("quantity_factor")).cast(MOVED),
         "unit_price": (F.col("unit_price").cast("double") * F.col("unit_price_factor")).cast(MOVED)})
     return out.withColumn("amount_functional", F.round(F.col("quantity") * F.col("unit_price"), 2).cast("decimal(18,2)"))
 
 
-def derivation_trace(recomputed: DataFrame, ratios: DataFrame) -> DataFrame:
-    """Each base line's JSON trace: the drivers shocked, the formula, its inputs and its result."""
-    per_scope = ratios.groupBy(*SCOPE).agg(
-        F.array_sort(F.collect_list(F.struct(
-            F.col("driver_code").alias("driver"), F.round("from_value", 10).alias("from"), F.round("to_value", 10).alias("to"),
-            F.round("ratio", 10).alias("ratio"), "shocked_directly", "formula"))).alias("drivers"))
-    by_scope = per_scope.agg(F.map_from_entries(F.collect_list(F.struct(
-        F.to_json(F.struct(*SCOPE)).alias("key"), F.col("drivers").alias("value")))).alias("m")).scalar()
-    base = base_only(recomputed).withColumn("__scopes", by_scope)
-    scope_keys = F.array_distinct(F.transform("factors", lambda f: F.to_json(F.struct(
-        f["companies"].alias("companies"), f["months"].alias("months")))))
-    drivers = F.flatten(F.transform(scope_keys, lambda k: F.col("__scopes")[k]))
-    shocked = F.array_join(F.array_sort(F.array_distinct(F.transform(
-        F.filter(drivers, lambda d: d["shocked_directly"]), lambda d: d["driver"]))), ", ")
-
-    def leg(target: str) -> Column:
-        used = F.flatten(F.transform(F.filter("factors", lambda f: f["target"] == target), lambda f: f["sources"]))
-        terms = F.transform(used, lambda s: F.concat(
-            F.lit(" x (1 + "), s["elasticity"].cast("string"), F.lit(" x (ratio of "), s["driver"], F.lit(" - 1))")))
-        return F.concat(F.lit(f"{target} = baseline_{target}"), F.array_join(terms, ""))
-
-    trace = F.struct(
-        F.lit("driver_elasticity").alias("method"), F.col("account"), shocked.alias("driver"),
-        F.concat(leg("quantity"), F.lit("; "), leg("unit_price"),
-                 F.lit("; amount = round(quantity, 6) x round(unit_price, 6)")).alias("formula"),
-        F.struct(
-            F.struct(F.col("baseline_quantity").alias("quantity"), F.col("baseline_unit_price").alias("unit_price")).alias("baseline"),
-            drivers.alias("drivers"), F.col("factors").alias("bindings"),
-            F.struct(F.round("quantity_factor", 10).alias("quantity"), F.round("unit_price_factor", 10).alias("unit_price")).alias("applied_factors"),
-        ).alias("inputs"),
-        F.struct(F.col("quantity").cast("string").alias("quantity"), F.col("unit_price").cast("string").alias("unit_price"),
-                 F.col("amount_functional").cast("string").alias("amount")).alias("result"))
-    return base.withColumn("trace", F.to_json(trace)).drop("__scopes")
+def with_after_amounts(live: DataFrame, factors: DataFrame) -> DataFrame:
+    """Published lines with ``after_amount``: what each would be if the moves were published. One scan, nothing is staged."""
+    before = with_factors(live, factors, keep=True).withColumn("before_amount", F.col("amount_functional"))
+    return _moved(before).select(
+        *[c for c in live.columns if c not in ("quantity", "unit_price", "amount_functional")],
+        F.col("baseline_quantity").alias("quantity"), F.col("baseline_unit_price").alias("unit_price"),
+        F.col("before_amount").alias("amount_functional"),
+        F.when(F.col("covered"), F.col("amount_functional")).otherwise(F.col("before_amount")).alias("after_amount"))
 
 
 def base_only(lines: DataFrame) -> DataFrame:
@@ -320,10 +305,13 @@ def publish(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
 
 
 def unpublish(live: DataFrame, preimages: DataFrame, revision: int) -> DataFrame:
-    """The plan as it was before a revision: its rows out, the replaced rows back in."""
+    """The plan as it was before a revision: its rows out, the replaced rows back in where no later revision stands.
+
+    Doing it twice is doing it once.
+    """
     kept = live.filter(F.col("revision") != revision)
     back = preimages.filter(F.col("preimage_for_revision") == revision).select(*live.columns)
-    return kept.join(back.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns).unionByName(back)
+    return kept.unionByName(back.join(kept.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns))
 
 
 def discard(staged: DataFrame, revision: int) -> DataFrame:
@@ -371,42 +359,59 @@ def idempotency_key(plan: Column, scenarios: Column, shocks: Column) -> Column:
     return F.substring(F.sha2(body, 256), 1, 32)
 
 
-def slice_covered(companies: Column, months: Column, by_companies: Column, by_months: Column) -> Column:
-    """A move covers a slice when it is unscoped on an axis or holds all of the slice's values there."""
-    def axis(mine: Column, theirs: Column) -> Column:
-        return (F.size(theirs) == 0) | ((F.size(mine) > 0) & (F.size(F.array_except(mine, theirs)) == 0))
+ANY, SOME = "*", "?"
 
-    return axis(companies, by_companies) & axis(months, by_months)
 
+def _cells(rows: DataFrame, sets: Sequence[str], empty: Sequence[str], more: Sequence[str]) -> DataFrame:
+    """Rows once per combination of the elements of their sets, in ``company_key`` and ``month_key``.
 
-def slice_overlaps(companies: Column, months: Column, by_companies: Column, by_months: Column) -> Column:
-    def axis(mine: Column, theirs: Column) -> Column:
-        return (F.size(theirs) == 0) | (F.size(mine) == 0) | F.arrays_overlap(mine, theirs)
+    An empty set stands as ``empty``, another as its elements and ``more``.
+    """
+    def keys(name: str) -> Column:
+        few = F.array(*map(F.lit, empty)).cast("array<string>")
+        extra = F.array(*map(F.lit, more)).cast("array<string>")
+        return F.explode(F.when(F.size(name) == 0, few).otherwise(F.concat(F.array_distinct(name), extra)))
 
-    return axis(companies, by_companies) & axis(months, by_months)
+    return rows.withColumn("company_key", keys(sets[0])).withColumn("month_key", keys(sets[1]))
 
 
 def current_value(slices: DataFrame, shocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per asked-for slice: base value times every published move that covers all of it.
 
-    A move that only partly overlaps the slice has no single current value; the row is refused.
+    A move that only partly overlaps the slice has no single current value; the row is refused. A move covers a slice
+    when on each axis it is open or holds all of the slice's values; it overlaps one when on each axis it is open, the
+    slice is open or they share a value.
+
+    Slices and scopes meet through the cells (company, month) that both list, so a slice sees only scopes that overlap
+    it, and the count of shared cells tells whether it is covered. Where a slice is open on an axis that a scope limits,
+    it can only be overlapped: such scopes are one row per cell, however many they are.
     """
     # moves of one scope act as one: a slice meets scopes, not moves
-    moves = shocks.groupBy("plan_version", "driver_code", F.array_sort("companies").alias("by_companies"),
-                           F.array_sort("months").alias("by_months")).agg(
+    moves = shocks.groupBy("plan_version", "driver_code", F.array_sort(F.array_distinct("companies")).alias("by_companies"),
+                           F.array_sort(F.array_distinct("months")).alias("by_months")).agg(
         F.product(F.col("to_value") / F.col("from_value")).alias("ratio"))
-    scope = [F.col(c) for c in ("companies", "months", "by_companies", "by_months")]
-    joined = slices.join(moves, ["plan_version", "driver_code"], "left")
-    hit = F.col("ratio").isNotNull()
-    whole = F.coalesce(hit & slice_covered(*scope), F.lit(False))
-    partial = F.coalesce(hit & ~slice_covered(*scope) & slice_overlaps(*scope), F.lit(False))
-    return (
-        joined.groupBy(*keys).agg(
-            F.first("base_value").alias("base_value"),
-            F.product(F.when(whole, F.col("ratio")).otherwise(F.lit(1.0))).alias("moved"),
-            F.bool_or(partial).alias("refused"))
-        .withColumn("current_value", F.when(~F.col("refused"), F.col("base_value") * F.col("moved"))).drop("moved")
-    )
+    on = ["plan_version", "driver_code", "company_key", "month_key"]
+    spread = _cells(moves, ["by_companies", "by_months"], [ANY], [SOME])
+    open_cell = (F.col("company_key") == SOME) | (F.col("month_key") == SOME)
+    exact = spread.filter(~open_cell).select(
+        *on, F.struct(F.size("by_companies").alias("companies"), F.size("by_months").alias("months"),
+                      F.xxhash64("by_companies", "by_months").alias("scope"), "ratio").alias("hit"))
+    index = exact.unionByName(spread.filter(open_cell).select(*on).distinct(), allowMissingColumns=True)
+
+    asked = _cells(slices, ["companies", "months"], [SOME, ANY], [ANY])
+    met = asked.join(index, on).select(
+        *keys, F.size(F.array_distinct("companies")).alias("n_companies"), F.size(F.array_distinct("months")).alias("n_months"), "hit")
+    # cells to share: all of the slice's values on an axis that the scope limits, one on an open axis
+    need = F.greatest(F.when(F.col("hit.companies") > 0, F.col("n_companies")).otherwise(1), F.lit(1)) * F.greatest(
+        F.when(F.col("hit.months") > 0, F.col("n_months")).otherwise(1), F.lit(1))
+    by_scope = met.groupBy(*keys, "hit", need.alias("need")).agg(F.count(F.lit(1)).alias("shared"))
+    whole = F.coalesce(F.col("hit").isNotNull() & (F.col("shared") == F.col("need")), F.lit(False))
+    found = by_scope.groupBy(*keys).agg(
+        F.product(F.when(whole, F.col("hit.ratio")).otherwise(F.lit(1.0))).alias("moved"), F.bool_or(~whole).alias("partly"))
+    refused = F.coalesce("partly", F.lit(False))
+    return slices.select(*keys, "base_value").join(found, list(keys), "left").select(
+        *keys, "base_value", refused.alias("refused"),
+        F.when(~refused, F.col("base_value") * F.coalesce("moved", F.lit(1.0))).alias("current_value"))
 
 
 def resolve_target(requests: DataFrame) -> DataFrame:
@@ -495,6 +500,16 @@ def first_successor_in_run(runs: DataFrame, versions: DataFrame, now: Column) ->
     return found.withColumn("successor", F.when(inside, F.col("found.successor"))).drop("found")
 
 
+def request_version(runs: DataFrame, checks: DataFrame, versions: DataFrame, now: Column) -> DataFrame:
+    """Per run the version that it drafted: the one its covenant checks name, before that the successor born in its time.
+
+    ``checks``: run_id, plan_version, check_no; of several versions the one of the first check counts.
+    """
+    checked = checks.groupBy("run_id").agg(F.min_by("plan_version", "check_no").alias("checked_version"))
+    return first_successor_in_run(runs, versions, now).join(checked, "run_id", "left").withColumn(
+        "version", F.coalesce("checked_version", "successor"))
+
+
 # How a run's state shows on its request (a REJECTED run depends on its checks).
 REQUEST_STATE = {
     "RUNNING": "RUNNING", "AWAITING_SUBMISSION": "AWAITING_SUBMISSION", "AWAITING_APPROVAL": "AWAITING_CONTROLLER",

@@ -2,23 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyweave.functions.keys import lane, row_digest
-from tallyweave.model import COST_TYPES, GRAIN
+from tallyweave.model import BY_HASH, COST_TYPES, GRAIN
+from tallyweave.operators.asof import require_vintage
 from tallyweave.operators.bridge import roll_up
 from tallyweave.session import cut
 
 SIDES = ("left", "right")
 
 
-def delta_lines(lines: DataFrame) -> DataFrame:
-    """Matched lines present at either close, from lines with ``left_``/``right_`` actuals (NULL: not matched)."""
+def delta_lines(lines: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    """Matched lines present at either close, from lines with ``left_``/``right_`` actuals (NULL: not matched).
+
+    ``keys`` (the grain, where the lines have it) name one line each; see ``checked_keys``.
+    """
     c = F.col
-    return lines.withColumns({
+    if keys is None and all(k in lines.columns for k in GRAIN):
+        keys = BY_HASH
+    return (checked_keys(lines, keys) if keys else lines).withColumns({
         "is_cost": c("account_type").isin(*COST_TYPES),
         "has_left": c("left_amount_functional").isNotNull(), "has_right": c("right_amount_functional").isNotNull(),
     }).filter(c("has_left") | c("has_right"))
@@ -27,7 +34,7 @@ def delta_lines(lines: DataFrame) -> DataFrame:
 def key_full_outer(left: DataFrame, right: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Two reads matched by ledger key, with each side's values and presence."""
     def side(df: DataFrame, name: str) -> DataFrame:
-        return df.select(*keys, *[F.col(v).alias(f"{name}_{v}") for v in values], F.lit(True).alias(f"has_{name}"))
+        return checked_keys(df, keys).select(*keys, *[F.col(v).alias(f"{name}_{v}") for v in values], F.lit(True).alias(f"has_{name}"))
 
     joined = side(left, "left").join(side(right, "right"), list(keys), "full_outer")
     return joined.withColumns({f"has_{s}": F.coalesce(f"has_{s}", F.lit(False)) for s in SIDES})
@@ -90,6 +97,18 @@ def bad_keys(lines: DataFrame, keys: Sequence[str] = GRAIN) -> DataFrame:
     )
 
 
+def checked_keys(lines: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The lines; a key that is NULL or stands on two of them fails the query, because it would be compared twice.
+
+    Lines that come from a rollup or a join by these keys lie in place, so counting them adds no shuffle.
+    """
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    missing = reduce(lambda a, k: a | F.col(k).isNull(), keys, F.lit(False))
+    refusal = F.raise_error(F.concat(F.when(missing, "null").otherwise("repeated"), F.lit(" key in a vintage read: "),
+                                     F.to_json(F.struct(*keys)))).cast("boolean")
+    return lines.withColumn("__once", F.when(missing | (count > 1), refusal).otherwise(F.lit(True))).filter("__once").drop("__once")
+
+
 LANES = 4
 
 
@@ -119,6 +138,14 @@ def reconcile(left: DataFrame, right: DataFrame, columns: Sequence[str], totals:
     return out.withColumns({**deltas, "drift": F.col("left_digest") != F.col("right_digest")})
 
 
+def reconcile_closes(answer: Callable[[object], DataFrame], vintages: DataFrame, left: object, right: object,
+                     columns: Sequence[str], totals: Sequence[str]) -> DataFrame:
+    """The same answer read at two moments; a moment before the first close is refused, not answered with no rows."""
+    for moment in (left, right):
+        require_vintage(vintages, moment)
+    return reconcile(answer(left), answer(right), columns, totals)
+
+
 def restatements(ledger: DataFrame) -> DataFrame:
     """Rows, reversals and amounts per vintage of a ledger slice."""
     return ledger.groupBy("_version").agg(

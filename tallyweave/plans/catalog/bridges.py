@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import rounded
 from tallyweave.functions.periods import within
 from tallyweave.model import GRAIN
-from tallyweave.operators import asof, bridge, vintage
+from tallyweave.operators import asof, bridge, explain, vintage
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.reads import AUGUST, DEL, JULY, MEASURE_SQL, REV, rnd
 from tallyweave.plans.metric import metric_query
@@ -315,23 +315,34 @@ for _leg in ("volume", "rate", "fx"):
     _contribution(_leg)
 
 
-_FILLED = "'(' || actual_quantity || ' - ' || plan_quantity || ') x ' || plan_unit_price || ' x ' || plan_fx"
+_BY_VALUE = ("'-1 * (' || actual_quantity || ' - ' || plan_quantity || ') * ' || plan_unit_price || ' * ' || plan_fx")
 
 
 @query("bridge_calculation_text", f"""
-SELECT company, period_month, account, dim_signature_hash, 'Efficiency' AS label,
-       CASE WHEN is_cost THEN {even('-quantity_effect')} ELSE CAST(0 AS DECIMAL(28,2)) END AS contribution,
-       CASE WHEN is_cost THEN '(actual quantity - plan quantity) x plan unit price x plan FX rate' ELSE 'contribution = 0 (effect does not apply)' END AS formula,
-       CASE WHEN is_cost THEN '-1 x (' || {_FILLED} || ')' ELSE '0' END AS substitution,
-       '{{"actual_quantity":"' || actual_quantity || '","plan_quantity":"' || plan_quantity || '","plan_unit_price":"' || plan_unit_price
-       || '","plan_fx":"' || plan_fx || '"}}' AS inputs,
-       CASE WHEN is_cost THEN 'cost counts negative in a margin bridge' ELSE 'this effect does not apply to this account type' END AS note
+SELECT company, period_month, account, dim_signature_hash, CASE WHEN is_cost THEN {even('-quantity_effect')} ELSE CAST(0 AS DECIMAL(28,2)) END AS contribution,
+       is_cost AS applies, CASE WHEN is_cost THEN 'sign * (actual_quantity - plan_quantity) * plan_unit_price * plan_fx' END AS expression,
+       CASE WHEN is_cost THEN {_BY_VALUE} END AS by_value,
+       CASE WHEN is_cost THEN {rnd('-1.0::DOUBLE * (CAST(actual_quantity AS DOUBLE) - CAST(plan_quantity AS DOUBLE)) * CAST(plan_unit_price AS DOUBLE) * CAST(plan_fx AS DOUBLE)', 4)} END AS result
 FROM leg WHERE practice = 'ECONOMY'""")
 def bridge_calculation_text(cube):
     levels = ["practice", "geo_region"]
     rows = bridge.contributions(lines_of(cube, *levels), levels, ["ECONOMY"], "efficiency")
-    return bridge.calculation(rows, "efficiency").select(
-        *GRAIN, "contribution", "label", "formula", "substitution", "inputs", "note")
+    return explain.calculation(rows, "efficiency").select(
+        *GRAIN, "contribution", "applies", "expression", "by_value", rounded(F.col("result"), 4).alias("result"))
+
+
+@query("bridge_calculation_operands", """
+SELECT company, period_month, account, dim_signature_hash, place, role, value, unit FROM (
+  SELECT *, unnest([0, 1, 2, 3]) AS place, unnest(['sign', 'actual_amount', 'actual_fx', 'plan_fx']) AS role,
+         unnest([CASE WHEN is_cost THEN CAST(-1 AS DECIMAL(28,8)) ELSE CAST(1 AS DECIMAL(28,8)) END, CAST(actual_amount AS DECIMAL(28,8)),
+                 CAST(actual_fx AS DECIMAL(28,8)), CAST(plan_fx AS DECIMAL(28,8))]) AS value,
+         unnest(['factor', 'currency', 'USD per currency', 'USD per currency']) AS unit
+  FROM leg WHERE practice = 'ECONOMY')""")
+def bridge_calculation_operands(cube):
+    """What the exchange-rate share of every line of one practice is made of."""
+    levels = ["practice", "geo_region"]
+    rows = bridge.contributions(lines_of(cube, *levels), levels, ["ECONOMY"], "fx")
+    return explain.operand_rows(rows, list(GRAIN), "fx")
 
 
 # -- vintages --------------------------------------------------------------------------------
@@ -387,7 +398,7 @@ def vintage_bridge(cube):
 def _two_close_lines(cube, *dims):
     accounts = bridge.bridge_accounts(["gross_margin"])
     chosen = F.col("account").isin(*accounts)
-    left, right = (asof.require_vintage(cube.vintages, moment) for moment in (JULY, AUGUST))
+    left, right = (asof.require_close_in_month(cube.vintages, 2026, month)["vintage"] for month in (7, 8))
     actual = asof.two_closes(bridge.without_intercompany(cube.ledger.filter(chosen)), left, right, dims)
     lines = bridge.matched_lines(actual, asof.plan_current(cube.base_plan.filter(chosen), *PLAN), cube.accounts,
                                  cube.fx_plan, cube.fx_actual, PLAN_VERSION)
@@ -439,8 +450,8 @@ FROM ({_reconcile_side('live_v1')}) l, ({_reconcile_side('live')}) r
 """)
 def reconcile_vintages(cube):
     measures = ["services_revenue", "delivery_cost"]
-    left, right = (metric_query(cube, measures, ["company", "practice"], as_of=moment) for moment in (JULY, AUGUST))
-    return vintage.reconcile(left, right, ["company", "practice", *measures], measures)
+    return vintage.reconcile_closes(lambda moment: metric_query(cube, measures, ["company", "practice"], as_of=moment),
+                                    cube.vintages, JULY, AUGUST, ["company", "practice", *measures], measures)
 
 
 @query("restatement_report", """

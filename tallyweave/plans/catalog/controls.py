@@ -10,9 +10,10 @@ from tallyweave.operators import asof, bridge, evidence, integrity
 from tallyweave.plans import planning_model as model
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.bridges import REPORT_ROWS, lines_of
+from tallyweave.plans.catalog.forecast import fresh_folder
 from tallyweave.plans.catalog.reads import DEL, REV
 from tallyweave.session import cut
-from tallyweave.sources import sinks
+from tallyweave.sources import chainlog, sinks
 from tallyweave.sources.testcube import PLAN_VERSION
 
 # -- access --------------------------------------------------------------------------------------
@@ -97,6 +98,32 @@ def hash_chain_build(cube):
     return integrity.build_chain(_log(cube), ["entity_id"])
 
 
+@query("hash_chain_append", f"{CHAIN} SELECT entity_id, id, event_key, previous_hash, event_hash FROM chain")
+def hash_chain_append(cube):
+    """The log chained in three batches, each going on from the heads that the one before left."""
+    store = chainlog.ChainLog(cube.spark, fresh_folder(cube, "chain"), ("entity_id",))
+    log = _log(cube)
+    last = log.agg(F.max("id")).head()[0]
+    bounds = [-1, last // 3, 2 * last // 3, last]
+    for n, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        store.append(log.filter((F.col("id") > low) & (F.col("id") <= high)), n)
+    return store.log()
+
+
+@query("hash_chain_heads", f"""{CHAIN}
+SELECT entity_id, max(id) AS id, arg_max(event_hash, id) AS event_hash, CASE WHEN max(id) % 3 = 0 THEN 'head missing' ELSE 'head changed' END AS problem
+FROM chain GROUP BY entity_id HAVING max(id) % 3 < 2""")
+def hash_chain_heads(cube):
+    """Heads that a stored chain no longer holds: some last events are taken out, others have another hash."""
+    chained = cut(integrity.build_chain(_log(cube), ["entity_id"]))
+    heads = integrity.chain_heads(chained, ["entity_id"])
+    marked = chained.join(heads.select("entity_id", F.col("id").alias("head")), "entity_id")
+    at_head = F.col("id") == F.col("head")
+    spoiled = marked.filter(~(at_head & (F.col("id") % 3 == 0))).withColumn(
+        "event_hash", F.when(at_head & (F.col("id") % 3 == 1), F.sha2("event_hash", 256)).otherwise(F.col("event_hash")))
+    return integrity.changed_heads(spoiled, heads, ["entity_id"])
+
+
 STORED = f"""{CHAIN},
 stored AS (SELECT l.id, actor, entity_type, l.entity_id, action, CASE WHEN k = 13 THEN payload || ' ' ELSE payload END AS payload, c.event_key,
                   CASE WHEN k = 57 THEN c.event_hash ELSE previous_hash END AS previous_hash, event_hash
@@ -201,7 +228,8 @@ def _moves(cube, names):
     state = F.element_at(F.create_map(*[F.lit(x) for p in names.items() for x in p]), F.col("event_type"))
     return _events(cube).select(
         F.col("user_id").cast("string").alias("entity"), F.col("event_id").alias("id"), F.concat(F.lit("user_"), F.col("k") % 20).alias("actor"),
-        state.alias("state"), F.concat(F.lit("user_"), F.col("user_id") % 20).alias("requested_by"))
+        state.alias("state"), F.concat(F.lit("user_"), F.col("user_id") % 20).alias("requested_by"),
+        F.concat(F.lit("user_"), (F.col("user_id") + 3) % 20).alias("started_by"))
 
 
 def _case(names) -> str:
@@ -212,7 +240,7 @@ def _moved(names) -> str:
     return f"""
 SELECT * FROM (SELECT *, lag(state) OVER w AS from_state, lag(actor) OVER w AS from_actor FROM (
   SELECT CAST(user_id AS VARCHAR) AS entity, event_id AS id, 'user_' || (k % 20) AS actor, {_case(names)} AS state,
-         'user_' || (user_id % 20) AS requested_by FROM ev) WINDOW w AS (PARTITION BY entity ORDER BY id))
+         'user_' || (user_id % 20) AS requested_by, 'user_' || ((user_id + 3) % 20) AS started_by FROM ev) WINDOW w AS (PARTITION BY entity ORDER BY id))
 WHERE from_state <> state"""
 
 
@@ -232,14 +260,28 @@ m AS (SELECT m.*, EXISTS (SELECT 1 FROM rule r WHERE r.from_state = m.from_state
              EXISTS (SELECT 1 FROM rule r JOIN user_role u USING (role_code) WHERE r.from_state = m.from_state AND r.to_state = m.state
                      AND u.user_id = m.actor) AS allowed FROM ({_moved(_STATES)}) m)
 SELECT entity, id, actor, from_state, state, violation FROM (
-  SELECT *, unnest(['undeclared move', 'role missing', 'requester approved', 'approver locked']) AS violation,
-         unnest([NOT declared, declared AND NOT allowed, state = 'APPROVED' AND actor = requested_by,
+  SELECT *, unnest(['undeclared move', 'role missing', 'requester approved', 'requester locked', 'requester rejected', 'starter approved',
+                    'approver locked']) AS violation,
+         unnest([NOT declared, declared AND NOT allowed, state = 'APPROVED' AND actor = requested_by, state = 'LOCKED' AND actor = requested_by,
+                 state = 'REJECTED' AND actor = requested_by, state = 'APPROVED' AND actor = started_by,
                  state = 'LOCKED' AND from_state = 'APPROVED' AND actor = from_actor]) AS bad FROM m) WHERE bad""")
 def transition_conformance(cube):
     bucket = F.floor(F.col("id") / 1000)
     return integrity.transition_violations(_moves(cube, _STATES), model.transitions(cube.spark), _roles(cube), bucket)
 
 
+@query("duty_conflicts", f"""
+WITH m AS (SELECT * FROM ({_moved(_STATES)})),
+held AS (SELECT entity, requested_by AS person, 'requested' AS duty FROM m UNION SELECT entity, started_by, 'started' FROM m
+  UNION SELECT entity, actor, CASE state WHEN 'APPROVED' THEN 'approved' WHEN 'LOCKED' THEN 'locked' ELSE 'rejected' END FROM m WHERE state IN ('APPROVED', 'LOCKED', 'REJECTED')),
+apart(a, b) AS (VALUES ('requested', 'approved'), ('requested', 'locked'), ('requested', 'rejected'), ('started', 'approved'), ('approved', 'locked'))
+SELECT x.entity, x.person, (SELECT list_sort(list(duty)) FROM held h WHERE h.entity = x.entity AND h.person = x.person) AS duties, a || ' and ' || b AS conflict
+FROM apart JOIN held x ON x.duty = a JOIN held y ON y.entity = x.entity AND y.person = x.person AND y.duty = b""")
+def duty_conflicts(cube):
+    """Who held duties over one plan that must be kept apart, whatever lay between them."""
+    return integrity.duty_conflicts(_moves(cube, _STATES), F.floor(F.col("id") / 1000))
+
+
 @query("report_status_conformance", f"""
 SELECT entity, id, actor, from_state, state, violation FROM (
   SELECT m.*, unnest(['reopened', 'downgraded', 'closed by a machine', 'closed without the role']) AS violation,
@@ -321,7 +363,7 @@ def _claim_inputs(cube):
     answers = cut(_answers(cube))
     claims = evidence.numbers(answers, "answer_id", "answer")
     facts = evidence.evidence_values(answers, "answer_id", ["revenue", "cost", "gap", "margin"])
-    return claims, facts, evidence.period_years(answers, "answer_id", "asked")
+    return claims, facts, evidence.period_years(answers, "answer_id", "asked"), answers, "answer_id", "answer"
 
 
 # The number pattern without look-around: a word boundary does the same beside digits and letters.
@@ -330,7 +372,7 @@ _NUMBER = (r"(?:(?:\b|\B-)(?:\d{1,3}(?:,\d{3})+|\d+)|\B-?\.\d+)(?:\.\d+)?"
 
 
 def _claims_sql(source: str, key: str, text: str) -> str:
-    raw = r"replace(regexp_extract(claim, '^-?[0-9.,]+'), ',', '')"
+    raw = r"regexp_replace(replace(regexp_extract(claim, '^-?[0-9.,]+'), ',', ''), '([.][0-9]*?)0+$', '\1')"
     scale = r"lower(trim(regexp_replace(claim, '^-?[0-9.,]+', ''), E' \t\n\r\f'))"
     return f"""
 SELECT {key}, place, claim, CASE WHEN fine > 10 THEN NULL ELSE CAST(abs(CASE scale WHEN '' THEN TRY_CAST(raw AS DECIMAL(38,10))
@@ -362,7 +404,7 @@ FROM (SELECT *, CAST(revenue - planned AS DECIMAL(18,2)) AS gap, CAST(revenue -
 SELECT answer_id, place, claim, magnitude FROM ({_claims_sql('answers', 'answer_id', 'answer')}) c JOIN answers a USING (answer_id)
 WHERE NOT (NOT scaled AND magnitude = asked_year) AND magnitude NOT IN (abs(revenue), abs(cost), abs(gap), abs(margin))""")
 def claim_grounding(cube):
-    return evidence.ungrounded(*_claim_inputs(cube), "answer_id").select("answer_id", "place", "claim", "magnitude")
+    return evidence.ungrounded(*_claim_inputs(cube)).select("answer_id", "place", "claim", "magnitude")
 
 
 @query("claim_grounding_documents", f"""
@@ -374,12 +416,38 @@ def claim_grounding_documents(cube):
     docs = cube.table("documents")
     facts = evidence.evidence_values(docs.join(cube.table("labels"), "doc_id", "left"), "doc_id", ["n_chars", "quality", "toxic"])
     none = evidence.period_years(docs.withColumn("q", F.lit("")), "doc_id", "q")
-    return evidence.ungrounded(evidence.numbers(docs, "doc_id", "text"), facts, none, "doc_id").select("doc_id", "place", "claim", "magnitude")
-
-
-@query("claim_attribution")
+    return evidence.ungrounded(evidence.numbers(docs, "doc_id", "text"), facts, none, docs, "doc_id", "text").select("doc_id", "place", "claim", "magnitude")
+
+
+def _word_ends(names) -> str:
+    """Where the last of each kind of word ends in ``w`` (0: none), as one list of (end, size, name)."""
+    def one(name, pattern):
+        last = rf"length(regexp_extract(w, '(?is)^.*\b(?:{pattern})\b'))"
+        return f"{{'last': {last}, 'size': {last} - length(regexp_extract(w, '(?is)^(.*)\b(?:{pattern})\b', 1)), 'name': '{name}'}}"
+    return f"list_max(list_filter([{', '.join(one(n, p) for n, p in names)}], lambda x: x.last > 0)).name"
+
+
+# Each claim of an answer with the words of its own window, read by patterns over that window.
+view("answer_claim", rf"""
+SELECT *, {_word_ends(evidence.LABELS)} AS label, {_word_ends((("down", evidence.DOWN), ("up", evidence.UP)))} AS direction,
+       regexp_matches(w, '(?i)\b(by|of)\s*$') AS stated
+FROM (SELECT c.*, claim LIKE '-%' AS negative, regexp_extract(regexp_split_to_array(answer, '{_NUMBER}')[place + 1], '[^.;:
+]*$') AS w,
+             revenue, cost, gap, margin, asked_year
+      FROM ({_claims_sql('answers', 'answer_id', 'answer')}) c JOIN answers USING (answer_id))""")
+
+
+@query("claim_attribution", """
+SELECT answer_id, place, claim, label, direction, magnitude FROM (
+  SELECT *, CASE WHEN coalesce(label IN ('revenue', 'cost', 'margin'), false) AND NOT change THEN label WHEN label = 'gap' OR change THEN 'gap' END AS named,
+         CASE WHEN negative OR direction = 'down' THEN -magnitude WHEN direction = 'up' THEN magnitude END AS signed FROM (
+    SELECT *, direction IS NOT NULL AND stated AS change FROM answer_claim)
+  WHERE NOT (NOT scaled AND magnitude = asked_year) AND magnitude IN (abs(revenue), abs(cost), abs(gap), abs(margin)))
+WHERE named IS NOT NULL AND CASE WHEN signed IS NOT NULL AND (negative OR change OR coalesce(label = 'gap', false))
+  THEN signed <> CASE named WHEN 'revenue' THEN revenue WHEN 'cost' THEN cost WHEN 'margin' THEN margin ELSE gap END
+  ELSE magnitude <> abs(CASE named WHEN 'revenue' THEN revenue WHEN 'cost' THEN cost WHEN 'margin' THEN margin ELSE gap END) END""")
 def claim_attribution(cube):
-    return evidence.misattributed(*_claim_inputs(cube), "answer_id")
+    return evidence.misattributed(*_claim_inputs(cube))
 
 
 view("answer_text", f"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions import periods
 from tallyweave.functions.money import cents, rounded
 from tallyweave.model import GRAIN
-from tallyweave.operators import asof, bridge, covenant, fx, recompute
+from tallyweave.operators import asof, bridge, covenant, fx, lineage, recompute
 from tallyweave.plans import planning_model as model
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.bridges import PLAN, even, lines_of, node_sql
@@ -240,7 +240,7 @@ def _shocks(cube, rows=SHOCKS):
         list(rows), "driver_code string, from_value double, to_value double, companies array<string>, months array<string>")
 
 
-def _factors(cube, rows=SHOCKS):
+def factors_of(cube, rows=SHOCKS):
     return recompute.plan_factors(_shocks(cube, rows), model.DRIVERS, model.bindings(cube.spark))
 
 
@@ -276,7 +276,7 @@ view("baseline", "SELECT * REPLACE (CAST(quantity AS DECIMAL(18,6)) AS quantity,
 
 
 def _recomputed(cube, scenarios=("base", "stretch", "downside")):
-    return recompute.recompute_lines(cube.plan(scenarios), _factors(cube)[0])
+    return recompute.recompute_lines(cube.plan(scenarios), factors_of(cube)[0])
 
 
 def _staged(cube, scenarios=("base", "stretch", "downside")):
@@ -284,21 +284,14 @@ def _staged(cube, scenarios=("base", "stretch", "downside")):
     return recompute.stage(_recomputed(cube, scenarios), REVISION, plan.columns)
 
 
-def _folder(cube, name: str) -> str:
-    return f"{shared_dir(getattr(cube, 'sparkSession', None) or cube.spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def _stored(df, name: str):
-    """A plan table written to the shared folder by revision and scenario, and read back."""
-    path = _folder(df, name)
-    sinks.write_partitioned(df, path, ["revision", "scenario_id"], "errorifexists", ["period_month", "company", "account"])
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(*df.columns)
+def fresh_folder(cube, name: str) -> str:
+    return f"{shared_dir(cube.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 @query("dirty_counts", f"""
 SELECT scenario_id, period_month, count(*) AS lines FROM line_factor GROUP BY ALL""")
 def dirty_counts(cube):
-    return recompute.dirty_counts(cube.plan(), recompute.dirty_scopes(_factors(cube)[0]))
+    return recompute.dirty_counts(cube.plan(), recompute.dirty_scopes(factors_of(cube)[0]))
 
 
 @query("recompute_lines", f"""
@@ -315,16 +308,67 @@ SELECT {KEY}, nq AS quantity, np AS unit_price, na AS amount_functional FROM rec
 WHERE account IN ('41000','41010','41020') AND company IN ('NATION_1','NATION_7','NATION_12')""")
 def recompute_requested_only(cube):
     """Every merged move applies, but only lines the requested move reaches are rewritten."""
-    requested = recompute.dirty_scopes(_factors(cube, SHOCKS[1:2])[0])
-    out = recompute.recompute_lines(cube.plan(), _factors(cube)[0], requested)
+    requested = recompute.dirty_scopes(factors_of(cube, SHOCKS[1:2])[0])
+    out = recompute.recompute_lines(cube.plan(), factors_of(cube)[0], requested)
     return out.select(*recompute.LINE_KEY, "quantity", "unit_price", "amount_functional")
 
 
-@query("derivation_trace")
+_LABEL = "concat_ws('; ', CASE WHEN len(companies) > 0 THEN array_to_string(list_sort(companies), ',') END, CASE WHEN len(months) > 0 THEN array_to_string(list_sort(months), ',') END)"
+view("trace_ratio", f"SELECT *, {_LABEL} AS label FROM shock_ratio")
+view("trace_scope", f"""
+SELECT {', '.join('p.' + k for k in KEY.split(', '))}, f.label, f.companies, f.months
+FROM plan p JOIN (SELECT DISTINCT account_code AS account, companies, months, label FROM trace_ratio JOIN binding USING (driver_code)) f
+  ON f.account = p.account AND {_APPLIES} WHERE p.scenario_id = 'base'""")
+view("trace_line", f"""
+SELECT {KEY}, list_sort(list(DISTINCT label)) AS moves, array_to_string(list_sort(list(DISTINCT driver_code) FILTER (shocked_directly)), ', ') AS driver,
+       CAST(count(*) AS INTEGER) AS drivers FROM trace_scope JOIN trace_ratio USING (label) GROUP BY ALL""")
+_MOVE = "CASE WHEN label = '' THEN r.driver_code ELSE r.driver_code || ' @ ' || label END"
+_TERM = f"'(1 + ' || CAST(elasticity AS VARCHAR) || ' * ([' || {_MOVE} || '] - 1))'"
+view("trace_binding", f"""
+SELECT {KEY}, CAST(count(*) AS INTEGER) AS bindings,
+       concat_ws(' * ', 'quantity', string_agg({_TERM}, ' * ' ORDER BY label, r.driver_code) FILTER (target = 'quantity')) || '; '
+       || concat_ws(' * ', 'unit_price', string_agg({_TERM}, ' * ' ORDER BY label, r.driver_code) FILTER (target = 'unit_price')) AS expression
+FROM trace_scope s JOIN trace_ratio r USING (label) JOIN binding b ON b.driver_code = r.driver_code AND b.account_code = s.account GROUP BY ALL""")
+
+
+def traced(cube):
+    factors, ratios = factors_of(cube)
+    return lineage.traces(recompute.recompute_lines(cube.base_plan, factors, sources=True), factors, ratios)
+
+
+@query("derivation_trace", f"""
+SELECT {KEY}, l.moves, l.driver, false AS by_binding, b.expression, l.drivers, b.bindings, quantity AS baseline_quantity, unit_price AS baseline_unit_price,
+       nq AS quantity, np AS unit_price, na AS amount_functional, {rnd('quantity_factor', 8)} AS quantity_factor, {rnd('unit_price_factor', 8)} AS unit_price_factor
+FROM recomputed JOIN trace_line l USING ({KEY}) JOIN trace_binding b USING ({KEY})""")
 def derivation_trace(cube):
-    factors, ratios = _factors(cube)
-    lines = recompute.recompute_lines(cube.plan(), factors, sources=True)
-    return recompute.derivation_trace(lines, ratios).select(*recompute.LINE_KEY, "amount_functional", "trace")
+    """Every governed line with the moves behind it, what they made of it and from which numbers."""
+    return traced(cube).select(
+        *recompute.LINE_KEY, "moves", "driver", "by_binding", "expression", F.size("drivers").alias("drivers"), F.size("bindings").alias("bindings"),
+        "baseline_quantity", "baseline_unit_price", "quantity", "unit_price", "amount_functional",
+        *[rounded(F.col(n), 8).alias(n) for n in ("quantity_factor", "unit_price_factor")])
+
+
+@query("derivation_drivers", f"""
+SELECT label, driver_code AS driver, {rnd('from_value', 8)} AS from_value, {rnd('to_value', 8)} AS to_value, {rnd('ratio', 8)} AS ratio, shocked_directly,
+       formula, CASE WHEN inherited THEN '{lineage.ZERO_BASE.replace("'", "''")}' END AS note FROM trace_ratio""")
+def derivation_drivers(cube):
+    """The dictionary that the lines' moves are looked up in: every driver of every scope."""
+    return lineage.driver_records(factors_of(cube)[1]).select(
+        "label", "driver", *[rounded(F.col(n), 8).alias(n) for n in ("from_value", "to_value", "ratio")], "shocked_directly", "formula", "note")
+
+
+@query("derivation_trace_json", f"""
+SELECT {KEY}, amount_functional AS amount, json_extract_string(trace, '$.driver') AS driver, json_extract_string(trace, '$.formula') AS formula,
+       json_extract_string(trace, '$.inputs.baseline.quantity') AS was, json_extract_string(trace, '$.result.quantity') AS now FROM (
+  SELECT {KEY}, na AS amount_functional, to_json({{'driver': l.driver, 'formula': b.expression, 'inputs': {{'baseline': {{'quantity': CAST(quantity AS VARCHAR)}}}},
+         'result': {{'quantity': CAST(nq AS VARCHAR)}}}}) AS trace
+  FROM recomputed JOIN trace_line l USING ({KEY}) JOIN trace_binding b USING ({KEY}))""")
+def derivation_trace_json(cube):
+    """The traces as governed lines store them, read back from their JSON."""
+    out = lineage.trace_json(traced(cube))
+    return out.select(*recompute.LINE_KEY, F.col("amount_functional").alias("amount"), *[
+        F.get_json_object("trace", path).alias(name) for name, path in (
+            ("driver", "$.driver"), ("formula", "$.formula"), ("was", "$.inputs.baseline.quantity"), ("now", "$.result.quantity"))])
 
 
 @query("base_only_guard", """
@@ -348,18 +392,6 @@ def preimage_semi(cube):
     return recompute.preimage(live, staged, REVISION).drop("preimage_for_revision")
 
 
-@query("preimage_snapshot", f"""
-SELECT scenario_id, 2 AS preimage_for_revision, count(*) AS rows, CAST(sum(amount_functional) AS DECIMAL(38,2)) AS amount
-FROM plan p SEMI JOIN (SELECT {KEY} FROM staged) s USING ({KEY}) GROUP BY ALL""")
-def preimage_snapshot(cube):
-    """The replaced rows, written once to the shared folder and read back."""
-    rows = recompute.preimage(cube.plan(), _staged(cube), REVISION)
-    path = f"{shared_dir(cube.spark)}/preimage-{uuid.uuid4().hex}"
-    sinks.write_partitioned(rows, path, ["preimage_for_revision"], "errorifexists", ["period_month", "company"])
-    return cube.spark.read.parquet(path).groupBy("scenario_id", "preimage_for_revision").agg(
-        F.count(F.lit(1)).alias("rows"), F.sum("amount_functional").cast("decimal(38,2)").alias("amount"))
-
-
 @query("publish_check", """
 SELECT scenario_id, staged, expected FROM (
   SELECT scenario_id, count(*) AS staged, (SELECT count(*) FROM recomputed WHERE scenario_id = 'base') AS expected FROM staged
@@ -375,29 +407,6 @@ view("published", f"""
 SELECT * FROM staged UNION ALL BY NAME SELECT p.* FROM baseline p ANTI JOIN (SELECT {KEY} FROM staged) s USING ({KEY})""")
 
 
-@query("publish_upsert", "SELECT * FROM published")
-def publish_upsert(cube):
-    """Publishing the same revision twice leaves the plan as publishing it once."""
-    live, staged = _stored(cube.plan(), "live"), _stored(_staged(cube), "staged")
-    return recompute.publish(recompute.publish(live, staged, REVISION), staged, REVISION)
-
-
-@query("unpublish_restore", "SELECT * FROM baseline")
-def unpublish_restore(cube):
-    """A publish taken back: the plan is exactly what it was."""
-    live, staged = _stored(cube.plan(), "live"), _stored(_staged(cube), "staged")
-    saved = recompute.preimage(live, staged, REVISION)
-    return recompute.unpublish(recompute.publish(live, staged, REVISION), saved, REVISION)
-
-
-@query("discard_staged", "SELECT scenario_id, revision, count(*) AS rows FROM baseline GROUP BY ALL")
-def discard_staged(cube):
-    """Two staged revisions, the later one rejected."""
-    plan = cube.plan()
-    both = plan.unionByName(_staged(cube))
-    return recompute.discard(both, REVISION).groupBy("scenario_id", "revision").agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("live_with_staged", f"""
 SELECT p.plan_version, p.scenario_id, p.company, p.period_month, p.account, p.dim_signature_hash, p.amount_functional, s.amount_functional AS staged_amount,
        coalesce(s.amount_functional, p.amount_functional) AS after_amount
@@ -602,6 +611,18 @@ def run_window_join(cube):
     return found.select("run_id", "plan_version", "started_at", "ended_at", "successor")
 
 
+@query("request_version", """
+SELECT r.run_id, c.v AS checked_version, coalesce(c.v,
+       (SELECT arg_min(v.plan_version, (v.created_at, v.plan_version)) FROM plan_version_dim v WHERE v.supersedes = r.plan_version
+          AND v.created_at >= r.started_at AND v.created_at <= coalesce(r.ended_at, TIMESTAMP '2002-01-01'))) AS version
+FROM run_dim r LEFT JOIN (SELECT run_id, arg_min(plan_version, check_no) AS v FROM check_dim WHERE check_no > 3 GROUP BY ALL) c USING (run_id)""")
+def request_version(cube):
+    """The version a run drafted: named by its checks (those from the fourth on), else by the time it was open."""
+    found = recompute.request_version(testgov.runs(cube), testgov.checks(cube).filter("check_no > 3"), testgov.versions(cube),
+                                      F.to_timestamp_ntz(F.lit("2002-01-01")))
+    return found.select("run_id", "checked_version", "version")
+
+
 @query("request_state", """
 SELECT 'Q-' || o_orderkey AS request_id, coalesce(CASE r.state WHEN 'RUNNING' THEN 'RUNNING' WHEN 'AWAITING_APPROVAL' THEN 'AWAITING_CONTROLLER'
          WHEN 'AWAITING_LOCK' THEN 'AWAITING_CFO' WHEN 'COMPLETED' THEN 'PUBLISHED' WHEN 'REJECTED' THEN
@@ -684,13 +705,15 @@ SELECT scenario_id, 'PLAN' AS scope, {_FIGURE} FROM rated GROUP BY ALL
 UNION ALL SELECT scenario_id, 'REQUEST', {_FIGURE} FROM rated WHERE inside GROUP BY ALL""")
 
 
-def _figures(cube):
-    return covenant.figures(cube.plan(), _staged(cube), cube.fx_plan, PLAN_VERSION, REVISION, ASKED_COMPANIES, ASKED_MONTHS)
+def figures_of(cube):
+    lines = recompute.with_after_amounts(cube.plan(), factors_of(cube)[0])
+    return covenant.figures_of(lines, cube.fx_plan, PLAN_VERSION, ASKED_COMPANIES, ASKED_MONTHS)
 
 
 @query("covenant_figures", "SELECT * FROM figure")
 def covenant_figures(cube):
-    return _figures(cube)
+    """Before and after a staged revision; the checks below read both from one scan instead."""
+    return covenant.figures(cube.plan(), _staged(cube), cube.fx_plan, PLAN_VERSION, REVISION, ASKED_COMPANIES, ASKED_MONTHS)
 
 
 def _metric(side: str) -> str:
@@ -709,7 +732,7 @@ SELECT *, coalesce(CASE comparator WHEN '>=' THEN m >= threshold ELSE m <= thres
 SELECT rule_code, scenario_id, scope, metric, measure, {rnd('b', 4)} AS before_value, {rnd('a', 4)} AS after_value,
        {rnd('m', 4)} AS measured_value, comparator, threshold, passed FROM covenant_row""")
 def covenant_checks(cube):
-    out = covenant.checks(model.covenants(cube.spark), _figures(cube))
+    out = covenant.checks(model.covenants(cube.spark), figures_of(cube))
     return out.withColumns({n: rounded(F.col(n), 4) for n in ("before_value", "after_value", "measured_value")})
 
 
@@ -717,14 +740,14 @@ def covenant_checks(cube):
 SELECT rule_code, scenario_id, rule_code || ' (' || scenario_id || '): ' || coalesce(printf('%.2f', m) || ', needs ' || comparator || ' '
        || CAST(CAST(threshold AS INTEGER) AS VARCHAR), 'could not be measured') AS message FROM covenant_row WHERE NOT passed""")
 def covenant_failures(cube):
-    checked = covenant.checks(model.covenants(cube.spark), _figures(cube))
+    checked = covenant.checks(model.covenants(cube.spark), figures_of(cube))
     return covenant.failures(checked).select("rule_code", "scenario_id", "message")
 
 
 @query("covenant_verdict", """
 SELECT count(*) AS checks, count(*) FILTER (NOT passed) AS failed, bool_and(passed) AS passed FROM covenant_row""")
 def covenant_verdict(cube):
-    return covenant.verdict(covenant.checks(model.covenants(cube.spark), _figures(cube)))
+    return covenant.verdict(covenant.checks(model.covenants(cube.spark), figures_of(cube)))
 
 
 # -- rates and intercompany -------------------------------------------------------------------------------------
@@ -809,7 +832,7 @@ SELECT company, period_month, account, dim_signature_hash, voucher_no, _version,
 WHERE period_month >= DATE '1997-01-01' AND period_month < DATE '1999-01-01'""")
 def snk_partitioned(cube):
     """The ledger written by month, then two years of it read back from their folders alone."""
-    path = _folder(cube, "ledger")
+    path = fresh_folder(cube, "ledger")
     sinks.write_partitioned(cube.ledger, path)
     kept = cube.spark.read.parquet(path).filter(periods.within(*periods.bounds("1997..1998")))
     return kept.select(*GRAIN, "voucher_no", "_version", "_is_deleted", "quantity", "amount_functional")
@@ -818,7 +841,7 @@ def snk_partitioned(cube):
 @query("snk_baseline_once", "SELECT * FROM plan_live")
 def snk_baseline_once(cube):
     """A frozen plan: the second freeze, of a changed plan, leaves the first one standing."""
-    path = _folder(cube, "baseline")
+    path = fresh_folder(cube, "baseline")
     frozen = sinks.freeze_baseline(cube.plan_history(), PLAN_VERSION, path)
     again = sinks.freeze_baseline(cube.plan(("base",)), PLAN_VERSION, path)
     return again.select(*[c for c in cube.plan_history().columns if c in frozen.columns])
@@ -845,7 +868,7 @@ LEFT JOIN (SELECT practice, geo_region, count(*) AS cited FROM leg GROUP BY ALL)
 def snk_report(cube):
     """A report stored as head, node lines and leaf citations; storing it again changes nothing."""
     levels = ["practice", "geo_region"]
-    path = _folder(cube, "reports")
+    path = fresh_folder(cube, "reports")
     lines = lines_of(cube, *levels)
     nodes = bridge.decompose(lines, levels)
     rows = cut(bridge.report_rows(nodes, levels))

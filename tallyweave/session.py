@@ -51,3 +51,34 @@ def cut(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies; one that is not there is no error."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small control file, whole or not at all."""
+    jvm = spark._jvm
+    final, fresh = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new"))
+    files = final.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(fresh, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    files.delete(final, False)
+    if not files.rename(fresh, final):
+        raise OSError(f"{path} could not be written")
+
+
+def get_texts(spark: SparkSession, pattern: str) -> dict[str, str]:
+    """The control files whose paths fit a pattern, with their texts."""
+    jvm = spark._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(pattern)
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = {}
+    for status in files.globStatus(pattern) or ():
+        stream = files.open(status.getPath())
+        found[status.getPath().toString()] = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+    return found

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tallyweave.model import BASE_SCENARIO, GRAIN
 from tallyweave.operators.asof import plan_current
+from tallyweave.session import cut
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("period_month",), mode: str = "append",
@@ -20,7 +22,12 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("period_mon
     many tasks and joins small ones, so files come out even. Rows are sorted inside each file, which
     keeps its min/max statistics narrow for later key filters.
     """
-    df.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*by, *sort).write.mode(mode).partitionBy(*by).parquet(path)
+    even_files(df, by, sort).write.mode(mode).partitionBy(*by).parquet(path)
+
+
+def even_files(df: DataFrame, by: Sequence[str], sort: Sequence[str]) -> DataFrame:
+    """Rows as ``write_partitioned`` puts them into files."""
+    return df.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*by, *sort)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -30,6 +37,31 @@ def exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: T.StructType, base: str | None = None) -> DataFrame:
+    """A stored table with a fixed schema, folder columns below ``base`` included; no rows where nothing is stored."""
+    try:
+        found = spark.read.schema(schema).option("basePath", base or path).parquet(path)
+    except AnalysisException as refused:
+        if refused.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+    return found.select(*schema.fieldNames())
+
+
+def append_once(df: DataFrame, path: str, folder: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """Add the rows of ``df`` whose key is not stored yet, and return all stored rows of its folders.
+
+    ``df`` has one row per key and folder. Stored rows are never rewritten, so the first record of a key stands and a
+    repeat adds what is missing.
+    """
+    spark, all_keys = df.sparkSession, [*folder, *keys]
+    df = cut(df)
+    stored = read_or_empty(spark, path, df.schema)
+    new = df.join(stored.select(*all_keys), all_keys, "left_anti").select(*df.columns)
+    new.write.mode("append").partitionBy(*folder).parquet(path)
+    return read_or_empty(spark, path, df.schema).join(df.select(*folder).distinct(), list(folder), "left_semi").select(*df.columns)
+
+
 def freeze_baseline(plan: DataFrame, plan_version: str, path: str) -> DataFrame:
     """The current plan copied once per version and never rewritten; an empty plan is an error."""
     spark = plan.sparkSession

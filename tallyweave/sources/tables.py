@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.model import MEASURES, TABLE_SCHEMAS
+from tallyweave.model import MASTER_KEYS, MEASURES, TABLE_SCHEMAS
 
 
 def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -16,6 +16,14 @@ def read_table(spark: SparkSession, root: str, table: str) -> DataFrame:
     return spark.read.schema(schema).parquet(os.path.join(root, table)).select(*schema.fieldNames())
 
 
+def read_master(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """A master table, one row per key: of repeated keys the greatest row, so that later joins never multiply lines."""
+    key = MASTER_KEYS[table]
+    rows = read_table(spark, root, table)
+    return rows.groupBy(key).agg(F.max(F.struct(*[c for c in rows.columns if c != key])).alias("r")).select(
+        *[key if c == key else F.col("r")[c].alias(c) for c in rows.columns])
+
+
 def metric_registry(spark: SparkSession) -> DataFrame:
     """One row per (measure, account) with the measure's kind and the account's sign."""
     rows = [

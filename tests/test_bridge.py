@@ -8,7 +8,7 @@ from decimal import Decimal as D
 import pytest
 from pyspark.sql import functions as F
 
-from tallyweave.operators import bridge, vintage
+from tallyweave.operators import asof, bridge, explain, paging, vintage
 
 SCHEMA = ("company string, period_month date, account string, dim_signature_hash string, practice string, grade string, "
           "account_type string, plan_quantity decimal(12,4), actual_quantity decimal(16,4), plan_unit_price decimal(14,4), "
@@ -120,8 +120,9 @@ def test_contributions_sum_to_their_leg_whatever_the_page(spark):
 
 
 def test_an_empty_match_is_refused(spark):
-    with pytest.raises(ValueError):
-        bridge.require_lines(bridge.decompose(frame(spark, [])))
+    for margin in (None, True):
+        with pytest.raises(ValueError, match="nothing to bridge"):
+            bridge.decompose(frame(spark, []), margin=margin)
     with pytest.raises(ValueError):
         bridge.bridge_accounts(["utilisation"])
 
@@ -138,6 +139,57 @@ def test_vintage_delta_splits_the_change(spark):
     assert (got.restated_lines, got.reversed_lines, got.new_lines) == (1, 1, 1)
 
 
+def test_null_and_repeated_keys_of_a_vintage_are_refused(spark):
+    schema = "k string, account_type string, plan_amount int, left_amount_functional int, right_amount_functional int"
+    for rows, problem in (([("a", "Revenue", 1, 2, 3)] * 2, "repeated key"), ([(None, "Revenue", 1, 2, 3)], "null key")):
+        table = spark.createDataFrame(rows, schema)
+        with pytest.raises(Exception, match=problem):
+            vintage.delta_lines(table, ["k"]).collect()
+        with pytest.raises(Exception, match=problem):
+            vintage.key_full_outer(table, table.limit(0), ["k"], ["plan_amount"]).collect()
+    assert vintage.delta_lines(spark.createDataFrame([("a", "Revenue", 1, 2, 3), ("b", "Revenue", 1, 2, 3)], schema), ["k"]).count() == 2
+
+
+def test_a_missing_close_is_refused(spark):
+    closes = spark.createDataFrame([(1, "2026-07-05 18:00:00")], "vintage int, at string").select("vintage", F.to_timestamp_ntz("at").alias("closed_at"), F.lit("n").alias("note"))
+    answer = lambda moment: spark.range(2).withColumn("n", F.col("id"))
+    with pytest.raises(ValueError, match="no ledger close"):
+        vintage.reconcile_closes(answer, closes, "2026-07-01 00:00:00", None, ["n"], ["n"])
+    assert not vintage.reconcile_closes(answer, closes, "2026-07-06 00:00:00", None, ["n"], ["n"]).head().drift
+    with pytest.raises(ValueError, match="no ledger close"):
+        asof.require_close_in_month(closes, 2026, 8)
+
+
+@pytest.mark.parametrize("limit, offset", [(3, 0), (5, 4), (7, 38), (50, 0), (4, 60), (0, 2), (10, 25)])
+def test_pages_by_size_are_those_of_a_full_sort(spark, limit, offset):
+    rng = random.Random(3)
+    rows = [(k, D(rng.choice([0, 0, 0, 5, -5, 100000, rng.randint(-10**9, 10**9)])) / 100 if k % 9 else None) for k in range(45)]
+    table = spark.createDataFrame(rows, "k int, v decimal(28,2)").repartition(4)
+    want = sorted(rows, key=lambda r: (r[1] is None, -abs(r[1] or 0), r[0]))[offset:offset + limit]
+    got = paging.page_by_size(table, "v", ["k"], limit, offset)
+    assert [tuple(r) for r in got.collect()] == want
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("convention", ["volume_first", "price_first"])
+@pytest.mark.parametrize("leg", ["price", "volume", "mix", "fx", "rate", "efficiency"])
+def test_a_calculation_gives_the_contribution(spark, leg, convention):
+    rows = [line(n, 10 + n, 20 - n, 100 + n, 90 + 2 * n, "0.5", "0.6", "A", "x", "Revenue" if n % 3 else "COGS") for n in range(9)]
+    found = bridge.contributions(frame(spark, rows), ["practice"], ["A"], leg, convention)
+    for r in explain.calculation(found, leg, convention).collect():
+        assert r.applies == (r.expression is not None) == (r.by_value is not None)
+        if not r.applies:
+            assert r.contribution == 0 and r.result is None
+            continue
+        assert r.result == pytest.approx(float(r.contribution), abs=0.02)
+        names = {n: float(r[n]) for n in explain.UNITS}
+        assert eval(r.expression, {}, names) == pytest.approx(r.result) == eval(r.by_value)  # noqa: S307
+    operands = explain.operand_rows(found, ["company", "dim_signature_hash"], leg, convention).collect()
+    assert {o.role for o in operands} == set(explain.operands(explain.tree_of(leg, convention))) and all(o.unit for o in operands)
+    with pytest.raises(ValueError):
+        explain.tree_of("luck")
+
+
 def test_digest_ignores_order_and_sees_every_value(spark):
     one = spark.createDataFrame([(1, "a"), (2, "b"), (2, "b")], "n int, s string")
     two = one.orderBy(F.desc("n")).repartition(3)

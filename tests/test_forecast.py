@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.functions.formula import divide
-from tallyweave.operators import covenant, fx, recompute
+from tallyweave.operators import covenant, fx, lineage, recompute
 from tallyweave.operators.recompute import Driver
 from tallyweave.plans import planning_model as model
 from tallyweave.sources import sinks
@@ -109,13 +109,35 @@ def test_only_requested_lines_are_rewritten_but_all_moves_apply(spark):
 
 def test_traces_name_driver_formula_and_inputs(spark):
     made, moved = factors(spark, ("utilisation", 0.75, 0.72))
-    out = recompute.derivation_trace(recompute.recompute_lines(lines(spark), made, sources=True), moved)
+    out = lineage.trace_json(lineage.traces(recompute.recompute_lines(lines(spark), made, sources=True), made, moved))
     row = out.select("scenario_id", F.get_json_object("trace", "$.driver").alias("driver"), F.get_json_object("trace", "$.formula").alias("formula"),
-                     F.get_json_object("trace", "$.inputs.baseline.quantity").alias("was"),
+                     F.get_json_object("trace", "$.inputs.baseline.quantity").alias("was"), F.get_json_object("trace", "$.inputs.assumption").alias("held"),
                      F.get_json_object("trace", "$.result.quantity").alias("now")).collect()
     assert {r.scenario_id for r in row} == {"base"}
-    assert row[0].driver == "utilisation" and "ratio of utilisation" in row[0].formula
-    assert float(row[0].was) == 100 and float(row[0].now) == 96
+    assert row[0].driver == "utilisation" and row[0].formula == "quantity * (1 + 1.0 * ([utilisation] - 1)); unit_price"
+    assert float(row[0].was) == 100 and float(row[0].now) == 96 and row[0].held == lineage.HELD
+
+
+def test_traces_of_scoped_moves_share_a_lineage(spark):
+    made, moved = factors(spark, ("utilisation", 0.75, 0.70), ("utilisation", 0.70, 0.69, ["PL"], ["2026-07-01"]), ("attrition", 0.12, 0.18, ["PL"], []))
+    got = {(r.company, r.account): r for r in lineage.traces(recompute.recompute_lines(lines(spark), made, sources=True), made, moved).collect()}
+    pl, de = got["PL", "41000"], got["DE", "41000"]
+    assert pl.moves == ["", "PL", "PL; 2026-07-01"] and de.moves == [""] and pl.driver == "attrition, utilisation" and not pl.by_binding
+    assert "[utilisation @ PL; 2026-07-01]" in pl.expression and {d.label for d in pl.drivers} == set(pl.moves)
+    assert [b.driver for b in pl.bindings if b.label == "PL"] == ["available_hours"]
+    assert len({r.lineage for r in got.values()}) == 2
+
+
+def test_zero_bases_are_noted_and_bound_drivers_stand_in(spark):
+    drivers = (Driver("a", lambda v: F.lit(2.0)), Driver("b", lambda v: v["a"] - F.lit(2.0), ("a",), "a - 2"))
+    bound = spark.createDataFrame([("b", "41000", "quantity", 0.5)], "driver_code string, account_code string, target string, elasticity double")
+    made, moved = recompute.plan_factors(shocks(spark, ("a", 2.0, 3.0)), drivers, bound)
+    traced = lineage.traces(recompute.recompute_lines(lines(spark), made, sources=True), made, moved).head()
+    assert traced.inherited == ["b"] and [d.note for d in traced.drivers] == [None, lineage.ZERO_BASE] and traced.driver == "a"
+    indirect = lineage.traces(recompute.recompute_lines(lines(spark), made, sources=True), made, moved.withColumn("shocked_directly", F.lit(False))).head()
+    assert indirect.driver == "b" and indirect.by_binding
+    none = lineage.traces(recompute.recompute_lines(lines(spark), made, sources=True), made.limit(0), moved.limit(0)).head()
+    assert none.driver == "none" and none.expression == "quantity; unit_price"
 
 
 def test_publish_is_idempotent_and_restores_exactly(spark):
@@ -284,3 +306,39 @@ def test_superseding_and_request_states(spark):
     checks = spark.createDataFrame([("REJECTED", True, True)], "run_id string, passed boolean, approved boolean")
     got = {r.request_id: r.state for r in recompute.request_state(requests, runs, checks).collect()}
     assert got == {"COMPLETED": "PUBLISHED", "REJECTED": "CFO_REJECTED", "late": "CONFIRMED", "AWAITING_LOCK": "AWAITING_CFO"}
+
+
+def test_current_values_equal_brute_force(spark):
+    import random
+
+    rng = random.Random(11)
+    pick = lambda values: rng.sample(values, rng.randrange(0, 4)) * rng.choice((1, 1, 2))
+    moves = [(f"PV{rng.randrange(2)}", f"d{rng.randrange(3)}", 1.0, rng.choice((0.5, 2.0, 4.0)), pick("ABCD"), pick(["01", "02", "03"])) for _ in range(60)]
+    slices = [(k, f"PV{rng.randrange(3)}", f"d{rng.randrange(3)}", 3.0, pick("ABCD"), pick(["01", "02", "03"])) for k in range(150)]
+    columns = "companies array<string>, months array<string>"
+    got = {r.k: r for r in recompute.current_value(
+        spark.createDataFrame(slices, f"k int, plan_version string, driver_code string, base_value double, {columns}"),
+        spark.createDataFrame(moves, f"plan_version string, driver_code string, from_value double, to_value double, {columns}"), ["k"]).collect()}
+    assert len(got) == 150
+    for k, plan, driver, base, companies, months in slices:
+        value, refused = base, False
+        for p, d, was, now, by_companies, by_months in moves:
+            axes = [(set(companies), set(by_companies)), (set(months), set(by_months))]
+            if (p, d) != (plan, driver):
+                continue
+            if all(not theirs or (mine and mine <= theirs) for mine, theirs in axes):
+                value *= now / was
+            elif all(not theirs or not mine or mine & theirs for mine, theirs in axes):
+                refused = True
+        assert got[k].refused == refused and (refused or got[k].current_value == pytest.approx(value)), k
+    assert {r.refused for r in got.values()} == {True, False}
+
+
+def test_after_amounts_are_those_of_staged_lines(spark):
+    made = factors(spark, ("utilisation", 0.75, 0.72, ["PL"], []))[0]
+    live = lines(spark)
+    staged = recompute.stage(recompute.recompute_lines(live, made), 2, live.columns)
+    want = recompute.live_with_staged(live, staged, live.head().plan_version, 2)
+    key = lambda df: sorted((r.scenario_id, r.company, r.account, r.amount_functional, r.after_amount) for r in df.collect())
+    got = recompute.with_after_amounts(live, made)
+    assert key(got) == key(want) and set(live.columns) < set(got.columns)
