@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm.common import released, slices, stored, text_bytes
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
-SLICE, STRETCH = 1 << 21, 1 << 20
-WORDS, LETTERS = 1 << 18, 1 << 22  # most words and characters of the table
+SLICE, STRETCH = 1 << 20, 1 << 20
+WORDS, LETTERS = 200_000, 1 << 22  # most words and characters of the table
 SPACE = "▁"
 #: Fixed value: how a byte-level BPE divides a text before it merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

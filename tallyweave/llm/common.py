@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -23,13 +24,22 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def trim() -> None:
+    """Hand free memory of this process back: Arrow's pool, and the heap that numpy and Python took their arrays from."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps its own rules
+        pass
+
+
 def released(task: Callable) -> Callable:
     """A task over record batches that hands the memory of its batches back at its end; workers live on."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from task(batches)
         finally:
-            pa.default_memory_pool().release_unused()
+            trim()
     return run
 
 
