@@ -70,8 +70,16 @@ class Vocabulary:
         hashes = from_sums(sums, starts, ends)
         order = np.argsort(hashes)
         self.hashes, self.ids, self.scores = hashes[order], np.array(usual, np.int32)[order], score[order]
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[(self.hashes & _FILTER).astype(np.int64)] = True
+        # pieces by 20 bits of their hash, and by 20 other bits those that share the first; few are left for a search
+        place = np.arange(len(self.hashes), dtype=np.int32)
+        self.slots = []
+        for shift in (0, 20):
+            slot = np.full(1 << 20, -1, np.int32)
+            key = (self.hashes[place] >> U64(shift) & _FILTER).astype(np.int64)
+            slot[key[::-1]] = place[::-1]
+            place = place[slot[key] != place]
+            self.slots.append(slot)
+        self.crowded = self.hashes[place]
         self.single = np.zeros(0x110000, bool)  # characters that are a piece
         self.inner = np.zeros(0x110000, bool)  # characters that stand in a longer piece
         for p in points:
@@ -86,6 +94,21 @@ class Vocabulary:
         self._width = np.array([len(x) for x in self.spelled])
         self._begin = np.cumsum(self._width) - self._width
 
+    def lookup(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are pieces, and which pieces they are."""
+        first, second = (slot[(hashes >> U64(shift) & _FILTER).astype(np.int64)] for slot, shift in zip(self.slots, (0, 20), strict=True))
+        at = np.flatnonzero(first >= 0)
+        k = first[at]
+        real = self.hashes[k] == hashes[at]
+        again = np.flatnonzero(~real & (second[at] >= 0))
+        k[again] = second[at[again]]
+        real[again] = self.hashes[k[again]] == hashes[at[again]]
+        if len(self.crowded):
+            again = np.flatnonzero(~real & np.isin(hashes[at], self.crowded))
+            k[again] = np.searchsorted(self.hashes, hashes[at[again]])
+            real[again] = True
+        return at[real], k[real]
+
     def decode(self, ids: list[int]) -> str:
         """The text of a segmentation: pieces spelled out, without the space that encoding puts in front."""
         return b"".join(map(self.spelled.__getitem__, ids)).decode("utf-8", "replace").removeprefix(" ")
@@ -118,11 +141,12 @@ def _uniform(seed: np.ndarray, draw: np.ndarray | int, step: np.ndarray | int) -
     return ((x >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
-def _gumbel(location: float, most: float, u: float) -> float:
-    """A Gumbel variable of this location that is at most ``most``."""
-    if location == -np.inf:
-        return -np.inf
-    return location - np.log(np.exp(location - most) - np.log(u))
+def _gumbels(location: np.ndarray, most: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Gumbel variables of these locations that are at most ``most``; -inf where the location is."""
+    there = location > -np.inf
+    out = np.full(len(location), -np.inf)
+    out[there] = location[there] - np.log(np.exp(location[there] - most[there]) - np.log(u[there]))
+    return out
 
 
 class Lattice:
@@ -166,12 +190,8 @@ class Lattice:
             at = np.flatnonzero(left >= length)
             if length == 1:
                 at = at[vocab.single[points[at]]]
-            hashes = from_sums(sums, at, at + length)
-            maybe = vocab.seen[(hashes & _FILTER).astype(np.int64)]
-            at, hashes = at[maybe], hashes[maybe]
-            k = np.minimum(np.searchsorted(vocab.hashes, hashes), len(vocab.hashes) - 1)
-            real = vocab.hashes[k] == hashes
-            at, k = at[real], k[real]
+            there, k = vocab.lookup(from_sums(sums, at, at + length))
+            at = at[there]
             found.append((node[at], node[at] + np.int32(length), vocab.ids[k], vocab.scores[k]))
         strange = np.flatnonzero(~vocab.single[points])
         code = points[strange].astype(np.int64)
@@ -181,7 +201,9 @@ class Lattice:
         found.append((node[strange], node[strange] + np.int32(1), (-1 - code).astype(np.int32), width * vocab.byte_score))
         begin, end, ids, score = (np.concatenate(x) for x in zip(*found, strict=True))
         depth = (np.arange(base[-1]) - np.repeat(base[:-1], size + 1)).astype(np.int32)[end]
-        order = np.argsort(depth.astype(np.int64) << 40 | end)
+        order = np.argsort(end, kind="stable")  # runs by length ascend, so merging them is quick
+        narrow = np.uint16 if size.max(initial=0) < 1 << 16 else np.int64  # 16 bits are sorted by digits
+        order = order[np.argsort(depth[order].astype(narrow), kind="stable")]
         begin, end, ids, score, depth = (x[order] for x in (begin, end, ids, score, depth))
         total = np.full(base[-1], -np.inf)
         total[base[:-1]] = 0.0
@@ -268,14 +290,19 @@ class Sampler:
             mass[c] = -np.inf if full or rest <= 1e-12 else before[c] - before[bounds[r]] + np.log(rest)
         return Path(edges, cut, mass, before[bounds[1:]] - before[bounds[:-1]], diverge, passed)
 
-    def _beside(self, path: Path, r: int) -> tuple[int, np.ndarray]:
-        a, b = path.cut[self.grid.first[r]], path.cut[self.grid.first[r + 1]]
-        return a, path.mass[a:b]
-
-    @staticmethod
-    def _log_sum(mass: np.ndarray) -> float:
-        peak = mass.max(initial=-np.inf)
-        return -np.inf if peak == -np.inf else float(peak + np.log(np.exp(mass - peak).sum()))
+    def _log_sums(self, path: Path) -> np.ndarray:
+        """The logarithm of what is left beside a path, by row."""
+        starts = path.cut[self.grid.first[:-1]]
+        full = np.flatnonzero(np.diff(path.cut[self.grid.first]) > 0)
+        out = np.full(self.rows, -np.inf)
+        if len(full):
+            starts = starts[full]
+            peak = np.maximum.reduceat(path.mass, starts)
+            level = np.where(peak > -np.inf, peak, 0.0)
+            each = np.exp(path.mass - np.repeat(level, np.diff(np.append(starts, len(path.mass)))))
+            with np.errstate(divide="ignore"):
+                out[full] = level + np.log(np.add.reduceat(each, starts))
+        return out
 
     def take(self, k: int) -> tuple[list[Path], np.ndarray, np.ndarray]:
         """Up to ``k`` paths: each with its perturbed score by row (-inf where a row has none), and the next score."""
@@ -288,21 +315,22 @@ class Sampler:
         u = _uniform(self.seeds, 1 << 20, 0)
         scores = [-np.log(-np.log(u))]
         best = np.full((k + 1, self.rows), -np.inf)  # the best perturbed score left beside each path
-        for r in range(self.rows):
-            best[0, r] = self._rest(paths[0], r, scores[0][r], 0, 0)
+        best[0] = self._rest(paths[0], scores[0], 0, 0)
         for n in range(1, k):
             chosen = best[:n].argmax(axis=0)
             score = best[:n].max(axis=0)
             paths.append(self._next(paths, chosen, score > -np.inf, n))
-            for r in np.flatnonzero(score > -np.inf):
-                best[chosen[r], r] = self._rest(paths[chosen[r]], r, score[r], n, 1)
-                best[n, r] = self._rest(paths[n], r, score[r], n, 2)
+            alive = score > -np.inf
+            for old in np.unique(chosen[alive]):
+                rows = alive & (chosen == old)
+                best[old, rows] = self._rest(paths[old], score, n, 1)[rows]
+            best[n, alive] = self._rest(paths[n], score, n, 2)[alive]
             scores.append(score)
         return paths, np.array(scores), best[:k].max(axis=0)
 
-    def _rest(self, path: Path, r: int, most: float, n: int, role: int) -> float:
-        u = float(_uniform(self.seeds[r:r + 1], (1 << 21) + 4 * n + role, 0)[0])
-        return _gumbel(self._log_sum(self._beside(path, r)[1]), most, u)
+    def _rest(self, path: Path, most: np.ndarray, n: int, role: int) -> np.ndarray:
+        u = _uniform(self.seeds, (1 << 21) + 4 * n + role, 0)
+        return _gumbels(self._log_sums(path), most, u)
 
     def _next(self, paths: list[Path], chosen: np.ndarray, alive: np.ndarray, n: int) -> Path:
         """For each row the path that leaves the chosen one at a choice drawn by mass."""
@@ -323,7 +351,9 @@ class Sampler:
                 old.mass[x + c] = -np.inf
                 gone = [int(old.edges[x + c])] + (old.passed[r] if c == old.diverge[r] else [])
                 node = int(grid.end[old.edges[x + c]])
-                free = np.setdiff1d(np.arange(grid.low[node], grid.low[node + 1]), gone)
+                free = np.arange(grid.low[node], grid.low[node + 1])
+                for taken in gone:
+                    free = free[free != taken]
                 share = np.cumsum(np.exp(grid.log[free]))
                 edge = int(free[min(np.searchsorted(share, draws[1][r] * share[-1], side="right"), len(free) - 1)])
                 leave = int(np.searchsorted(old.cut, x + c, side="right")) - 1
