@@ -35,8 +35,10 @@ PRIOR_PULL = 10.0
 
 #: Fixed values of the format: elements by their role in the layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-UNSEEN = frozenset("script style noscript template head title svg math iframe object select textarea button canvas "
-                   "audio video datalist".split())
+UNSEEN = frozenset("script style noscript template head title svg annotation annotation-xml iframe object select textarea "
+                   "button canvas audio video datalist".split())
+FOREIGN = frozenset(("svg", "math"))  # may close themselves
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                   "figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre "
                   "search section summary table tbody td tfoot th thead tr ul".split())
@@ -154,7 +156,14 @@ class Page(HTMLParser):
         if found is not None:
             self._pop_to(found)
 
+    def _end_head(self) -> None:
+        """A head that was left open ends at the first thing that cannot stand in it."""
+        if self._count.get("head") and self.elements[self._stack[-1]].tag == "head":
+            self._close(("head",))
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:
+            self._end_head()
         if tag in BLOCK:
             self._end_block()
             self._close(("p",))
@@ -174,7 +183,7 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         self.handle_starttag(tag, attrs)
-        if tag not in VOID and tag not in BLOCK and tag not in UNSEEN:
+        if tag in FOREIGN or tag not in VOID and tag not in BLOCK and tag not in UNSEEN:
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
@@ -190,6 +199,8 @@ class Page(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if data.strip():
+            self._end_head()
         if any(self._count.get(t) for t in UNSEEN if t in self._count):
             return
         if self._current is None:

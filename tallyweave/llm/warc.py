@@ -95,13 +95,16 @@ class Member:
             raise BadRecord(f"not a gzip member: {exc}") from exc
         return True
 
-    def until(self, mark: bytes, most: int = 1 << 20) -> bytes:
-        """All bytes before ``mark``, which is passed over."""
-        while (at := self._ready.find(mark)) < 0:
-            if len(self._ready) > most or not self._more():
+    def until(self, mark: bytes) -> bytes:
+        """All bytes before ``mark``, which is passed over; the member itself is the bound."""
+        held, seen = bytearray(self._ready), 0
+        while (at := held.find(mark, seen)) < 0:
+            seen, self._ready = max(0, len(held) - len(mark) + 1), b""
+            if not self._more():
                 raise BadRecord("no end of the header block")
-        got, self._ready = self._ready[:at], self._ready[at + len(mark):]
-        return got
+            held += self._ready
+        self._ready = bytes(held[at + len(mark):])
+        return bytes(held[:at])
 
     def pieces(self, size: int) -> Iterator[bytes]:
         """The next ``size`` bytes in pieces."""

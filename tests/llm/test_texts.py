@@ -337,6 +337,25 @@ def test_article_without_its_surroundings(spark):
     assert main_text.with_main_text(none, main_text.PRIOR).collect() == []
 
 
+PARAGRAPHS = "".join(f"<p>This is sentence {k} of the story, and it is long enough to be the text of an article.</p>" for k in range(6))
+
+
+@pytest.mark.parametrize("html", [
+    f"<html><body><article><svg/>{PARAGRAPHS}</article></body></html>", f"<body><article><p><math/></p>{PARAGRAPHS}</article></body>",
+    f"<html><head><title>x</title><meta charset='utf-8'>{PARAGRAPHS}", f"<head><title>x</title><article>{PARAGRAPHS}</article>",
+    f"<title>x</title>{PARAGRAPHS}", f"<html><head><style>p {{}}</style></head>{PARAGRAPHS}", PARAGRAPHS])
+def test_open_heads_and_closed_foreign_elements_hide_nothing(html):
+    assert main_text.main_text(html).count("This is sentence") == 6
+    assert "x" not in main_text.main_text(html).split()
+
+
+def test_text_before_any_element_and_formulas_are_kept():
+    html = (f"<head>Words that stand in an open head end it, as a reader would see them in the page.{PARAGRAPHS}"
+            "<p>The area is <math><mi>a</mi><mo>=</mo><mi>bc</mi><annotation>\\frac</annotation></math> for all of these figures here.</p>")
+    text = main_text.main_text(html)
+    assert text.startswith("Words that stand") and "The area is a=bc for all" in text and "frac" not in text
+
+
 def test_given_pages(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     for r, page in zip(main_text.with_main_text(pages, main_text.learn(pages)).collect(), pages.collect(), strict=True):
@@ -427,6 +446,15 @@ def test_harmed_archives_are_refused(harm, message):
         list(warc.read_records(io.BytesIO(harm(data))))
 
 
+@pytest.mark.parametrize("url", ["http://a/" + "x" * 2_500_000, "http://a/" + " " * 1_200_000])
+def test_a_url_of_any_length_is_read_back(spark, tmp_path, url):
+    data = warc.record(1, url, b"hello", 5, hashlib.sha1(b"hello").digest(), None)
+    (headers, size, _), = warc.read_records(io.BytesIO(data))
+    assert size == 5 and headers["warc-target-uri"] == url.replace(" ", "%20")
+    pages = spark.createDataFrame([(1, url, "hello"), (2, "u", None)], "page_id long, url string, html string")
+    assert {(r.page_id, r.payload_bytes) for r in warc.archived(pages).collect()} == {(1, 5), (2, 0)}
+
+
 # conversations
 
 TALK = [
