@@ -1,10 +1,12 @@
 """Conversations without quotations, in reply order.
 
 Lines that begin with ``>`` marks are quoted, as many levels deep as there are marks; a line that only names the
-quoted person right before them goes with them. Quoted lines are normalised and hashed and joined to the messages of
-the same conversation that say them without marks: the earliest such message is the original. A message answers the
-original of its shallowest linked level, there the one with most of its lines, of those the latest. Messages without a
-linked quotation begin threads of their own.
+quoted person right before them goes with them. Lines of one level that follow each other are a passage: a quotation
+below marks, a paragraph without. Passages are normalised, with spaces for their line breaks, hashed, and joined to the
+messages of the same conversation that say them without marks, so a quotation that was wrapped anew meets its original;
+single lines are joined as well, for quotations of a part. The earliest message that says it is the original. A message
+answers the original of its shallowest linked level, there of a whole passage before single lines, then the one with most
+of its lines, of those the latest. Messages without a linked quotation begin threads of their own.
 """
 
 from __future__ import annotations
@@ -35,38 +37,51 @@ def key_of(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode(), digest_size=8).digest(), "big", signed=True)
 
 
-def taken_apart(text: str) -> tuple[str, list[str], list[tuple[int, str]]]:
-    """The text without quotations, its own normalised lines, and (level, normalised line) of the quoted ones."""
-    kept, quoted = [], []
-    for line in text.split("\n"):
-        match = QUOTED.match(line)
-        if match:
-            if kept and kept[-1].rstrip(" \t\r").endswith(NAMING):
-                kept.pop()
-            body = normal(match[2])
-            if body:
-                quoted.append((match[1].count(">"), body))
-        else:
+def taken_apart(text: str) -> tuple[str, list[tuple[int, list[str]]]]:
+    """The text without quotations, and its passages: level (0: not quoted) and normalised lines."""
+    kept, passages, run = [], [], None
+    lines = text.split("\n")
+    marks = [QUOTED.match(line) for line in lines]
+    for line, mark, following in zip(lines, marks, [*marks[1:], None], strict=True):
+        if not mark and following and line.rstrip(" \t\r").endswith(NAMING):
+            run = None
+            continue
+        if not mark:
             kept.append(line)
-    return "\n".join(kept).strip(" \t\r\n"), [x for x in map(normal, kept) if x], quoted
+        level, body = (mark[1].count(">"), normal(mark[2])) if mark else (0, normal(line))
+        if not body:
+            run = None
+            continue
+        if run is None or run[0] != level:
+            run = (level, [])
+            passages.append(run)
+        run[1].append(body)
+    return "\n".join(kept).strip(" \t\r\n"), passages
 
 
-PARTS = "conv_id long, turn long, role string, content string, own array<long>, " \
-        "quoted array<struct<level:int,line:long>>"
+def keys_of(lines: list[str]) -> list[tuple[int, int, bool]]:
+    """Keys of a passage, each with how many lines it stands for and whether it is the whole."""
+    return [(key_of("\n" + " ".join(lines)), len(lines), True), *((key_of(line), 1, False) for line in lines)]
+
+
+PARTS = "conv_id long, turn long, role string, content string, n_quoted long, own array<long>, " \
+        "quoted array<struct<level:int,key:long,lines:int,whole:boolean>>"
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("level", pa.int32()), ("line", pa.int64())]))
+    kind = pa.list_(pa.struct([("level", pa.int32()), ("key", pa.int64()), ("lines", pa.int32()), ("whole", pa.bool_())]))
     for batch in batches:
-        contents, owns, quotes = [], [], []
+        contents, owns, quotes, counts = [], [], [], []
         for text in batch.column(3).to_pylist():
-            content, own, quoted = taken_apart(text or "")
+            content, passages = taken_apart(text or "")
             contents.append(content)
-            owns.append(sorted({key_of(x) for x in own}))
-            quotes.append([{"level": d, "line": key_of(x)} for d, x in quoted])
+            owns.append(sorted({key for level, lines in passages if not level for key, _, _ in keys_of(lines)}))
+            quotes.append([{"level": level, "key": key, "lines": n, "whole": whole}
+                           for level, lines in passages if level for key, n, whole in keys_of(lines)])
+            counts.append(sum(len(lines) for level, lines in passages if level))
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[:3], pa.array(contents, pa.string()), pa.array(owns, pa.list_(pa.int64())),
-             pa.array(quotes, kind)], ["conv_id", "turn", "role", "content", "own", "quoted"])
+            [*batch.columns[:3], pa.array(contents, pa.string()), pa.array(counts, pa.int64()), pa.array(owns, pa.list_(pa.int64())),
+             pa.array(quotes, kind)], ["conv_id", "turn", "role", "content", "n_quoted", "own", "quoted"])
 
 
 def _threads(links: DataFrame) -> DataFrame:
@@ -91,18 +106,17 @@ def linked(messages: DataFrame) -> DataFrame:
     with nothing. Null and empty texts have empty content. Other columns are ignored.
     """
     parts = stored(messages.select("conv_id", "turn", "role", "text").mapInArrow(released(_parts), PARTS))
-    quoted = parts.select("conv_id", "turn", F.explode("quoted").alias("q")).select(
-        "conv_id", "turn", F.col("q.level").alias("level"), F.col("q.line").alias("line"))
-    wanted = stored(quoted.select("conv_id", "line").distinct())
-    originals = stored(parts.select("conv_id", "turn", F.explode("own").alias("line"))
-                       .join(wanted, ["conv_id", "line"], "left_semi")
-                       .groupBy("conv_id", "line").agg(F.min("turn").alias("origin")))
-    votes = (quoted.join(originals, ["conv_id", "line"]).filter("origin < turn")
-             .groupBy("conv_id", "turn", "level", "origin").agg(F.count("*").alias("lines")))
-    best = F.max(F.struct(-F.col("level"), "lines", "origin"))
+    quoted = parts.select("conv_id", "turn", F.inline("quoted"))
+    wanted = stored(quoted.select("conv_id", "key").distinct())
+    originals = stored(parts.select("conv_id", "turn", F.explode("own").alias("key"))
+                       .join(wanted, ["conv_id", "key"], "left_semi")
+                       .groupBy("conv_id", "key").agg(F.min("turn").alias("origin")))
+    votes = (quoted.join(originals, ["conv_id", "key"]).filter("origin < turn")
+             .groupBy("conv_id", "turn", "level", "origin", "whole").agg(F.sum("lines").alias("lines")))
+    best = F.max(F.struct(-F.col("level"), "whole", "lines", "origin"))
     links = stored(votes.groupBy("conv_id", "turn").agg(best["origin"].alias("parent_turn")))
     threads = stored(_threads(links).join(links, ["conv_id", "turn"]))
-    rows = parts.select("conv_id", "turn", "role", "content", F.size("quoted").cast("long").alias("n_quoted")).join(
+    rows = parts.select("conv_id", "turn", "role", "content", "n_quoted").join(
         threads, ["conv_id", "turn"], "left").select(
         "conv_id", "turn", "role", "content", "n_quoted", "parent_turn",
         F.coalesce("root_turn", "turn").alias("root_turn"), F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
@@ -124,14 +138,23 @@ WITH RECURSIVE cut AS (
   SELECT *, level = 0 AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY no), 0) > 0
             AND regexp_matches(line, '(wrote:|schrieb:|a écrit ?:|escribió:)[ \t\r]*$') AS naming
   FROM marked
+), solid AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY conv_id, turn ORDER BY no) AS run FROM (
+    SELECT *, CASE WHEN body = '' OR naming OR level <> lag(level) OVER w OR lag(body = '' OR naming) OVER w THEN 1 ELSE 0 END AS fresh
+    FROM judged WINDOW w AS (PARTITION BY conv_id, turn ORDER BY no))
+), said AS (
+  SELECT conv_id, turn, level, body, 1 AS lines, false AS whole FROM judged WHERE NOT naming AND body <> ''
+  UNION ALL
+  SELECT conv_id, turn, level, string_agg(body, ' ' ORDER BY no), count(*), true FROM solid WHERE NOT naming AND body <> ''
+  GROUP BY conv_id, turn, level, run
 ), originals AS (
-  SELECT conv_id, body, min(turn) AS origin FROM judged WHERE level = 0 AND NOT naming AND body <> '' GROUP BY ALL
+  SELECT conv_id, body, whole, min(turn) AS origin FROM said WHERE level = 0 GROUP BY ALL
 ), votes AS (
-  SELECT q.conv_id, q.turn, q.level, origin, count(*) AS lines
-  FROM judged q JOIN originals o ON q.conv_id = o.conv_id AND q.body = o.body AND o.origin < q.turn
-  WHERE q.level > 0 AND q.body <> '' GROUP BY ALL
+  SELECT q.conv_id, q.turn, q.level, origin, q.whole, sum(q.lines) AS lines
+  FROM said q JOIN originals o ON q.conv_id = o.conv_id AND q.body = o.body AND q.whole = o.whole AND o.origin < q.turn
+  WHERE q.level > 0 GROUP BY ALL
 ), links AS (
-  SELECT conv_id, turn, arg_max(origin, [-level, lines, origin]) AS parent_turn FROM votes GROUP BY ALL
+  SELECT conv_id, turn, arg_max(origin, [-level, whole::INT, lines, origin]) AS parent_turn FROM votes GROUP BY ALL
 ), tree AS (
   SELECT conv_id, turn, turn AS root_turn, 0 AS depth FROM (SELECT DISTINCT conv_id, turn FROM conversations)
   WHERE (conv_id, turn) NOT IN (SELECT (conv_id, turn) FROM links)

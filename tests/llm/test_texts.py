@@ -479,6 +479,50 @@ def test_conversations_equal_sql(spark):
     assert rows[1, 8].parent_turn == 0 and rows[2, 0].parent_turn is None and rows[1, 5].content == "no quote\nwrote:"
 
 
+def talk_of(rng, conv):
+    """A conversation whose messages quote earlier ones: whole paragraphs wrapped anew, single lines, nested quotations."""
+    said, rows = [], []
+    for turn in range(rng.randrange(3, 9)):
+        lines = []
+        if said and rng.random() < 0.8:
+            paragraph = rng.choice(said)
+            if rng.random() < 0.5:
+                lines.append("On that day they wrote:")
+            level = ">" * rng.randrange(1, 3)
+            words_ = paragraph.split()
+            cut = rng.randrange(1, len(words_) + 1)
+            shown = [" ".join(words_[:cut]), " ".join(words_[cut:])] if rng.random() < 0.6 else paragraph.split("\n")
+            lines += [f"{level} {x.upper() if rng.random() < 0.3 else x}" for x in shown if x]
+            if rng.random() < 0.3:
+                lines += [">", f"{level} Thanks", f">{level} older words"]
+        for _ in range(rng.randrange(1, 3)):
+            paragraph = "\n".join(" ".join(rng.choice(["we", "went", "there", "again", "today", "rain", "sun"]) for _ in range(rng.randrange(1, 6)))
+                                  for _ in range(rng.randrange(1, 3)))
+            said.append(paragraph)
+            lines += [*paragraph.split("\n"), ""]
+        if rng.random() < 0.4:
+            lines.append("Thanks")
+        rows.append((conv, turn, rng.choice(("user", "assistant")), "\n".join(lines)))
+    return rows
+
+
+def test_wrapped_quotations_meet_their_originals(spark):
+    rng = random.Random(21)
+    long = "A long line that somebody wrote in one piece and that the answering program wrapped into several"
+    rows = [(1, 0, "user", f"Thanks\n\n{long}"), (1, 1, "user", "Thanks"), (1, 2, "user", "something else\n\nThanks\nfor all of it"),
+            (1, 3, "user", "> " + long.replace(" and", "\n> and") + "\nanswer"), (1, 4, "user", "> Thanks\n> for all of it\nwelcome"),
+            (1, 5, "user", "x wrote:\ny wrote:\n> answer\n> answer\nz")]
+    got = {r.turn: r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert got[3].parent_turn == 0 and got[4].parent_turn == 2 and got[5].parent_turn == 3
+    assert got[5].content == "x wrote:\nz" and got[4].n_quoted == 2
+    rows += [row for conv in range(2, 60) for row in talk_of(rng, conv)]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    found = quotes.linked(table.repartition(4)).collect()
+    names = ("conv_id", "turn", "role", "content", "n_quoted", "parent_turn", "root_turn", "depth", "position")
+    assert sorted((tuple(r[c] for c in names) for r in found), key=repr) == duck(quotes.SQL, conversations=table)
+    assert sum(r.parent_turn is not None for r in found) > 80
+
+
 def test_long_chains_and_awkward_messages(spark):
     chain = [(7, k, "user", f"> line {k - 1}\nline {k}") for k in range(70)]
     odd = [(None, 1, "user", "> line 1"), (7, None, "user", "> line 1\nx"), (7, 3, "user", "> line 2\nline 3"), (8, 0, "user", "> a")]
