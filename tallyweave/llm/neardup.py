@@ -6,12 +6,13 @@ estimates the similarity of a candidate pair. What could still reach the thresho
 
 Groups of copies are not expanded into pairs. Equal sets become one class first. Every member meets one other: the
 smallest that shares any bucket with it. A bucket whose members then lie in one component is done; in the others those
-that lie apart from its smallest member meet that, and such a bucket may be done then. In what remains a shingle that no other member
-of an unfinished bucket has can be in no intersection: a member with too many of those can reach no partner of the
-bucket's sizes and leaves. Of what remains, further members are picked to meet the rest, eight times as many each
-round, where both counts allow the threshold, until all have met or share a component. Two documents meet in the first
-of their common buckets only. So no bucket is capped, all pruning is exact, and a group of copies that hangs together
-costs a pair per member.
+that lie apart from its smallest member meet that, and such a bucket may be done then. In what remains a shingle that
+no other member of an unfinished bucket has can be in no intersection: a member with too many of those can reach no
+partner of the bucket's sizes and leaves. Of the rest, further members are picked to meet the others, eight times as
+many each round, where sizes and packed bits allow the threshold, until all have met or share a component. Two documents
+meet in the first of their common buckets only. So no bucket is capped, all pruning is exact but for the bits, and a
+group of copies that hangs together costs a pair per member. Members of a bucket that are nearly similar enough, and
+linked with none of it, have to be compared with all of it.
 
 A pair at exactly 80 % shares no band with probability 3e-6 and less above; the bit count then passes over one with
 a probability below 1e-6.
@@ -164,10 +165,11 @@ def _candidates(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(equal_groups("bits_a", "bits_b") >= LEAST_EQUAL).select("a", "b")
 
 
-def _links(pairs: DataFrame, bits: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, bits: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that are links by their full sets; ``bits`` rules others out before, where that is not done yet."""
     one = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     two = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    close = stored(_candidates(pairs, bits))
+    close = stored(_candidates(pairs, bits) if bits is not None else pairs)
     return stored(close.join(one, "a").join(two, "b").select("a", "b", "set_a", "set_b")
                   .mapInArrow(released(_confirmed(percent)), "a long, b long"))
 
@@ -231,7 +233,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         present = stored(placed.select("doc_id").distinct())
         lists = (members.join(present, "doc_id", "left_semi").groupBy("doc_id")
                  .agg(F.collect_set("bucket").alias("buckets")))  # one per band at most
-        facts = stored(_own_shingles(sets, present).join(lists, "doc_id"))
+        facts = stored(_own_shingles(sets, present).join(lists, "doc_id").join(bits, "doc_id"))
         placed = stored(placed.join(facts, "doc_id"))
         least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
         most = F.col("size") - F.col("own")  # the largest intersection with any other member
@@ -243,13 +245,14 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         placed = stored(sized.join(open_, "bucket")
                         .withColumn("pivot", draw * F.col("rows") < F.lit(float(width))).drop("rows"))
         pivots = placed.filter("pivot").select(*(F.col(k).alias(f"p_{k}") for k in (
-            "bucket", "doc_id", "component", "size", "own", "buckets")))
+            "bucket", "doc_id", "component", "size", "own", "buckets", "bits")))
         both = F.least(F.col("size") - F.col("own"), F.col("p_size") - F.col("p_own"))
         pairs = (placed.join(pivots, (F.col("bucket") == F.col("p_bucket")) & (F.col("component") != F.col("p_component"))
                              & (100 * both >= percent * (F.col("size") + F.col("p_size") - both))
+                             & (equal_groups("bits", "p_bits") >= LEAST_EQUAL)
                              & (F.array_min(F.array_intersect("buckets", "p_buckets")) == F.col("bucket")))
                  .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct())
-        links = links.unionByName(_links(pairs, bits, sets, percent))
+        links = links.unionByName(_links(pairs, None, sets, percent))
         found = components(links)
         untested, width = placed.filter(~F.col("pivot")).select("bucket", "doc_id"), width * 8
 
