@@ -25,13 +25,19 @@ ROUNDS = 10
 BLOCK = 128
 KINDS = ("email", "phone", "card", "account", "person_number", "address", "date", "secret")
 DEMO_KEY = b"replace this key"
+#: English names of months.
+MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
+_SHORT = tuple(name[:3] for name in MONTHS)
+_MONTH = "|".join(dict.fromkeys((*MONTHS, *_SHORT)))
 #: By kind, in the order in which they are tried at a place.
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}@(?=[\w.-]{3,255})[\w-]{1,63}(?:\.[\w-]{1,63})+(?![\w-])",
+    "email": r"(?<![\w.%+-])[\w.%+-]++@[\w-]++(?:\.[\w-]++)+(?![\w-])",
     "secret": r"""(?<![A-Za-z0-9])(?:AKIA[0-9A-Z]{16}|[0-9a-f]{40}(?:[0-9a-f]{24})?)(?![A-Za-z0-9])
         |(?i:(?<![A-Za-z])(?:password|passwd|pwd|token|secret|api_?key)\s?[=:]\s?)["']?(?P<value>[^\s"'<>,;&|(){}\[\]]*\w)""",
     "address": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w]|\.\d)",
-    "date": r"(?<![\w/.-])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w/-]|\.\d)",
+    "date": rf"""(?<![\w/.-])(?:(?:\d{{4}}-\d\d-\d\d|\d{{4}}/\d\d?/\d\d?|\d\d?/\d\d?/\d{{4}}|\d\d?\.\d\d?\.\d{{4}})
+                 (?:(?![\w/-]|\.\d)|(?=[Tt]\d\d:?\d\d))
+        |\d\d?[ ](?:{_MONTH})[ ]\d{{4}}(?![\w-])|(?:{_MONTH})[ ]\d\d?,[ ]\d{{4}}(?![\w-]))""",
     "phone": r"""(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}(?!\w)
         |(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){3,4}(?!\w)""",
     "account": r"(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w)",
@@ -200,12 +206,29 @@ def _day(f: Feistel, day: int) -> int:
             return low + value
 
 
+def _named_date(f: Feistel, text: str) -> str | None:
+    """A date with the name of its month, which stays full or short."""
+    first, second, year = text.replace(",", "").split(" ")
+    day, name = (first, second) if first.isdigit() else (second, first)
+    names = MONTHS if name in MONTHS else _SHORT
+    try:
+        found = date(int(year), names.index(name) + 1, int(day))
+    except ValueError:
+        return None
+    fresh = date.fromordinal(_day(f, found.toordinal()))
+    parts = f"{fresh.day:0{len(day)}d}", names[fresh.month - 1]
+    return f"{parts[0]} {parts[1]} {fresh.year:04d}" if first.isdigit() else f"{parts[1]} {parts[0]}, {fresh.year:04d}"
+
+
 def _date(f: Feistel, m: re.Match) -> str | None:
+    if " " in m[0]:
+        return _named_date(f, m[0])
     mark = next(c for c in m[0] if not c.isdigit())
     parts = [int(p) for p in m[0].split(mark)]
     widths = [len(p) for p in m[0].split(mark)]
-    year, month, day = parts if mark == "-" else parts[::-1]
-    swap = mark == "/" and month > 12  # month first; where both fit, the day stands first
+    year_first = widths[0] == 4
+    year, month, day = parts if year_first else parts[::-1]
+    swap = mark == "/" and not year_first and month > 12  # month first; where both fit, the day stands first
     if swap:
         month, day = day, month
     try:
@@ -213,8 +236,8 @@ def _date(f: Feistel, m: re.Match) -> str | None:
     except ValueError:
         return None
     fresh = date.fromordinal(_day(f, found.toordinal()))
-    if mark == "-":
-        return fresh.isoformat()
+    if year_first:
+        return mark.join(f"{p:0{w}d}" for p, w in zip((fresh.year, fresh.month, fresh.day), widths, strict=True))
     front = (fresh.month, fresh.day) if swap else (fresh.day, fresh.month)
     return mark.join(f"{p:0{w}d}" for p, w in zip((*front, fresh.year), (*widths[:2], 4), strict=True))
 

@@ -164,12 +164,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fit on up to ``sample`` of the labelled rows (doc_id, quality) that are not held out.
 
-    Rows without id or label are passed over; of several labels of an id the smallest counts.
+    Rows without id or label are passed over; of several labels of an id the smallest counts, of several texts one (by
+    hash), so that no more than ``sample`` rows reach the driver.
     """
     chosen = (labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out(F.col("doc_id")))
               .groupBy("doc_id").agg(F.min("quality").cast("int").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))  # at most ``sample`` ids and labels
-    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
+    one = F.min_by(F.struct("text"), F.xxhash64("text"))
+    rows = (docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+            .groupBy("doc_id").agg(one["text"].alias("text"), F.first("label").alias("label"))
             .mapInArrow(released(_featured), "doc_id long, label int, columns array<int>, values array<float>"))
     table = rows.toArrow().combine_chunks().sort_by("doc_id")
     return fitted([(c.values.to_numpy(), v.values.to_numpy(), y) for c, v, y in zip(

@@ -144,6 +144,50 @@ def test_values_beside_other_numbers_and_words(text, hidden):
     assert fresh == pseudonym.replaced(f, hidden)[0]
 
 
+@pytest.mark.parametrize("text, hidden", [
+    ("at 2024-05-06T10:00:00Z.", "2024-05-06"), ("on 1981/05/03 and", "1981/05/03"), ("on 1981/5/3.", "1981/5/3"), ("born 3 May 1981, in", "3 May 1981"),
+    ("on September 30, 1999.", "September 30, 1999"), ("on 03 Feb 2001", "03 Feb 2001"), (f"{'n' * 200}@example.com", "n" * 200),
+    (f"mail a.b@{'x' * 80}.example.com now", "a.b@")])
+def test_dates_in_words_and_long_mail_names(text, hidden):
+    f = pseudonym.Feistel(b"k")
+    got, kinds = pseudonym.replaced(f, text)
+    before, after = text.split(hidden)
+    assert len(kinds) == 1 and got.startswith(before) and got.endswith(after) and hidden not in got
+    assert pseudonym.replaced(f, text)[0] == got
+
+
+def test_dates_in_all_notations_stay_linked():
+    f = pseudonym.Feistel(b"k")
+    notes = ("1981-05-03", "1981/05/03", "03.05.1981", "03/05/1981", "03 May 1981", "May 03, 1981")
+    got = [pseudonym.replaced(f, t)[0] for t in notes]
+    day = date.fromisoformat(got[0])
+    assert got[1:] == [f"{day:%Y/%m/%d}", f"{day:%d.%m.%Y}", f"{day:%d/%m/%Y}", f"{day.day:02d} {pseudonym.MONTHS[day.month - 1][:3]} {day.year}"
+                       if got[4].split()[1] in pseudonym._SHORT and got[4].split()[1] not in pseudonym.MONTHS else f"{day.day:02d} {pseudonym.MONTHS[day.month - 1]} {day.year}",
+                       f"{pseudonym.MONTHS[day.month - 1]} {day.day:02d}, {day.year}"]
+    assert [pseudonym.replaced(f, t) for t in ("31 Feb 2001", "May 1981", "3 may be 1981", "13/13/1981")] == [(t, []) for t in ("31 Feb 2001", "May 1981", "3 may be 1981", "13/13/1981")]
+
+
+def test_a_long_run_of_name_characters_takes_no_time():
+    import time
+
+    start = time.time()
+    for text in ("a" * 1_000_000, "a." * 500_000, "a@" * 300_000, "1 " * 300_000):
+        pseudonym.replaced(pseudonym.Feistel(b"k"), text)
+    assert time.time() - start < 60
+
+
+def test_values_are_those_of_a_slow_scanner():
+    """Every place, every kind, every end: the first valid reading from the left is replaced, the same values everywhere."""
+    rng, f = random.Random(17), pseudonym.Feistel(b"k")
+    values = {"card": CARD, "account": ACCOUNT, "person_number": "123-45-6789", "date": "2024-02-29", "email": "ann.b@example.com", "phone": "743-555-3824"}
+    for _ in range(300):
+        kinds = [rng.choice(list(values)) for _ in range(rng.randrange(1, 5))]
+        gaps = [rng.choice([" and ", ", then ", "; ", " (see) ", "\n"]) for _ in kinds]
+        text = "".join(g + values[k] for g, k in zip(gaps, kinds, strict=True)) + "."
+        want = "".join(g + pseudonym.replaced(f, values[k])[0] for g, k in zip(gaps, kinds, strict=True)) + "."
+        assert pseudonym.replaced(f, text) == (want, kinds)
+
+
 def test_every_neighbour_is_replaced():
     f = pseudonym.Feistel(b"k")
     parts = [(CARD, "card"), ("123-45-6789", "person_number"), ("4111 1111 1111 1111", "card"), ("743-555-3824", "phone"),
