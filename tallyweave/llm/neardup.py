@@ -5,10 +5,9 @@ four bits are packed into six longs, and the share of equal groups of bits, corr
 estimates the similarity of a candidate pair. What could still reach the threshold is confirmed on the full sets.
 
 Groups of copies are not expanded into pairs. Equal sets become one class first. Every member meets one other: the
-smallest that shares any bucket with it. A bucket whose members then lie in one component is done; in the others those
-that lie apart from its smallest member meet that, and such a bucket may be done then. In what remains a shingle that
-no other member of an unfinished bucket has can be in no intersection: a member with too many of those can reach no
-partner of the bucket's sizes and leaves. Of the rest, further members are picked to meet the others, eight times as
+smallest that shares any bucket with it. A bucket whose members then lie in one component is done. In the others a
+shingle that no other member of an unfinished bucket has can be in no intersection: a member with too many of those can
+reach no partner of the bucket's sizes and leaves. Of the rest, members are picked to meet the others, eight times as
 many each round, where sizes and packed bits allow the threshold, until all have met or share a component. Two documents
 meet in the first of their common buckets only. So no bucket is capped, all pruning is exact but for the bits, and a
 group of copies that hangs together costs a pair per member. Members of a bucket that are nearly similar enough, and
@@ -181,10 +180,10 @@ def _open(placed: DataFrame) -> DataFrame:
             .filter("low < high").select("bucket", "rows"))
 
 
-def _unfinished(untested: DataFrame, found: DataFrame, *more: str) -> DataFrame:
+def _unfinished(untested: DataFrame, found: DataFrame) -> DataFrame:
     """The rows (bucket, doc_id) of unfinished buckets, with their components."""
     placed = stored(untested.join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left").select(
-        "bucket", "doc_id", *more, F.coalesce("component", "doc_id").alias("component")))
+        "bucket", "doc_id", F.coalesce("component", "doc_id").alias("component")))
     return placed.join(stored(_open(placed)).drop("rows"), "bucket")
 
 
@@ -219,13 +218,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     follow = members.filter("doc_id <> lead")
     links = _links(follow.groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a")), bits, sets, percent)
     found = components(links)
-    apart = stored(_unfinished(members.select("bucket", "doc_id", "lead"), found, "lead"))
-    leads = apart.filter("doc_id = lead").select("bucket", F.col("component").alias("with"))
-    others = apart.filter("doc_id <> lead").join(leads, "bucket").filter("component <> with")
-    links = stored(links.unionByName(_links(
-        others.select(F.col("doc_id").alias("b"), F.col("lead").alias("a")).distinct(), bits, sets, percent)))
-    found = components(links)
-    untested, width = apart.filter("doc_id <> lead").select("bucket", "doc_id"), 8
+    untested, width = members.select("bucket", "doc_id"), 8
     while True:
         placed = stored(_unfinished(untested, found))
         if not placed.limit(1).count():
