@@ -26,7 +26,9 @@ FAMILIES = (
     "bridge_decompose", "bridge_price_first", "bridge_mix_levels", "bridge_report_rows", "bridge_contributions", "vintage_bridge",
     "reconcile_vintages", "driver_closure", "account_factors", "recompute_lines", "bridge_reforecast_by_scenario", "unpublish_restore",
     "covenant_checks", "fx_validity", "run_window_join", "hash_chain_verify", "dq_plan_lines", "transition_conformance", "mask_text",
-    "claim_grounding", "snk_report",
+    "claim_grounding", "snk_report", "publish_touched", "preimage_snapshot", "derivation_trace", "derivation_trace_json", "claim_attribution",
+    "bridge_calculation_text", "bridge_calculation_operands", "current_driver_value", "hash_chain_append", "duty_conflicts",
+    "bridge_lines_stored", "covenant_recorded", "request_version", "live_with_staged",
 )
 KEYS = sorted(entry.queries()) if os.environ.get("TALLYWEAVE_ALL") else FAMILIES
 
