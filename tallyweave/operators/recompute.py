@@ -17,7 +17,7 @@ from tallyweave.model import BASE_SCENARIO, BY_HASH
 from tallyweave.operators.asof import latest_revision, plan_current
 from tallyweave.operators.ordered import first_at_or_after
 from tallyweave.operators.fx import checked_rate, rates_to
-from tallyweave.session import cut
+from tallyweave.session import cut, listed
 
 SCOPE = ("companies", "months")
 LINE_KEY = ("plan_version", *BY_HASH, "scenario_id")
@@ -287,7 +287,7 @@ def publish_mismatch(staged: DataFrame, plan_version: str, revision: int, expect
         staged.filter((F.col("plan_version") == plan_version) & (F.col("revision") == revision))
         .groupBy("scenario_id").agg(F.count(F.lit(1)).alias("staged"))
     )
-    base = staged.sparkSession.createDataFrame([(BASE_SCENARIO,)], "scenario_id string")
+    base = listed(staged.sparkSession, [(BASE_SCENARIO,)], "scenario_id string")
     return (
         counts.join(base, "scenario_id", "full_outer")
         .select("scenario_id", F.coalesce("staged", F.lit(0).cast("long")).alias("staged"), (expected if isinstance(expected, Column) else F.lit(expected)).cast("long").alias("expected"))

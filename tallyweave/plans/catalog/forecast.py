@@ -15,7 +15,7 @@ from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.bridges import PLAN, even, lines_of, node_sql
 from tallyweave.plans.catalog.reads import DEL, REV, rnd
 from tallyweave.plans.metric import metric_query
-from tallyweave.session import cut, shared_dir
+from tallyweave.session import cut, listed, shared_dir
 from tallyweave.sources import sinks, testgov
 from tallyweave.sources.testcube import PLAN_VERSION
 
@@ -236,8 +236,8 @@ REVISION = 2
 
 
 def _shocks(cube, rows=SHOCKS):
-    return cube.spark.createDataFrame(
-        list(rows), "driver_code string, from_value double, to_value double, companies array<string>, months array<string>")
+    return listed(
+        cube.spark, rows, "driver_code string, from_value double, to_value double, companies array<string>, months array<string>")
 
 
 def factors_of(cube, rows=SHOCKS):
@@ -676,7 +676,7 @@ def scenario_branches(cube):
     values = F.array(*[F.struct(F.lit(c).alias("driver_code"), v.alias("base_value")) for c, v in (
         ("utilisation", F.col("utilisation")), ("rate_increase", F.lit(0.03)), ("attrition", F.lit(0.12)))])
     drivers = own.select("company", F.explode(values).alias("d")).select("company", "d.*")
-    scenarios = cube.spark.createDataFrame([("base",), ("stretch",), ("downside",)], "scenario_id string")
+    scenarios = listed(cube.spark, [("base",), ("stretch",), ("downside",)], "scenario_id string")
     out = recompute.scenario_drivers(drivers, scenarios, model.overrides(cube.spark))
     return out.select("company", "scenario_id", "driver_code", rounded(F.col("value"), 8).alias("value"),
                       F.col("override_value").isNotNull().alias("overridden"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.functions.formula import divide, held
 from tallyweave.operators.recompute import Driver
+from tallyweave.session import listed
 
 
 def constant(code: str, value: float) -> Driver:
@@ -68,19 +69,19 @@ TRANSITIONS = (
 
 
 def bindings(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(BINDINGS, "driver_code string, account_code string, target string, elasticity double")
+    return listed(spark, BINDINGS, "driver_code string, account_code string, target string, elasticity double")
 
 
 def overrides(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(OVERRIDES, "scenario_id string, driver_code string, override_value double")
+    return listed(spark, OVERRIDES, "scenario_id string, driver_code string, override_value double")
 
 
 def covenants(spark: SparkSession, scenarios=("base", "stretch", "downside")) -> DataFrame:
     rows = [(*r, list(scenarios)) for r in COVENANTS]
-    return spark.createDataFrame(
-        rows, "rule_code string, metric string, measure string, comparator string, threshold double, scope string, "
+    return listed(
+        spark, rows, "rule_code string, metric string, measure string, comparator string, threshold double, scope string, "
               "scenarios array<string>")
 
 
 def transitions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(TRANSITIONS, "from_state string, to_state string, role_code string")
+    return listed(spark, TRANSITIONS, "from_state string, to_state string, role_code string")
