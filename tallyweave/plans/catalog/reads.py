@@ -150,9 +150,12 @@ WHERE closed_at >= TIMESTAMP '2026-08-01' AND closed_at < TIMESTAMP '2026-09-01'
 def close_month_lookup(cube):
     """The close sealed in a month and the postings that arrived with it."""
     close = asof.close_in_month(cube.vintages, 2026, 8)
+    # counted per version first: a join on the version would send all postings of a close to one task
+    by_version = cube.ledger.groupBy("_version").agg(
+        F.count(F.lit(1)).alias("postings"), F.count_if(F.col("_is_deleted") == 1).alias("reversals"))
     return (
-        cube.ledger.join(close, F.col("_version") == F.col("vintage")).groupBy("vintage", "closed_at", "note")
-        .agg(F.count(F.lit(1)).alias("postings"), F.count_if(F.col("_is_deleted") == 1).alias("reversals"))
+        by_version.join(close, F.col("_version") == F.col("vintage")).groupBy("vintage", "closed_at", "note")
+        .agg(F.sum("postings").alias("postings"), F.sum("reversals").alias("reversals"))
     )
 
 

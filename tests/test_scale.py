@@ -38,3 +38,10 @@ def test_lines_look_factors_up_where_they_lie(spark, tmp_path):
     cube.plan(("base",)).write.parquet(path)
     text = plan_of(recompute.recompute_lines(spark.read.parquet(path), factors_of(cube)[0]))
     assert "SortMergeJoin" not in text and "BroadcastHashJoin" in text
+
+
+def test_postings_of_a_close_are_counted_before_they_meet_it(spark):
+    text = CATALOG["close_month_lookup"].build(spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    rows = [re.sub(r"^[ :+-]*", "", row) for row in text.splitlines()]
+    joined = next(n for n, row in enumerate(rows) if row.startswith("Join") and "vintage" in row)
+    assert [row for row in rows[joined + 1:] if row.startswith("Aggregate [_version")]
