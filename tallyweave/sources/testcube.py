@@ -18,6 +18,7 @@ from tallyweave.functions.keys import dim_signature
 from tallyweave.functions.money import amount_of
 from tallyweave.model import BASE_SCENARIO, BY_HASH, SCENARIOS, VINTAGE_SCHEMA
 from tallyweave.operators.asof import carried
+from tallyweave.session import listed
 
 PLAN_VERSION = "PV-1"
 CUBE_DIMS = ("business_unit", "geo_country", "geo_region", "grade", "intercompany_flag", "practice")
@@ -32,8 +33,10 @@ TRUE_UP = Decimal("1.35")
 TRUED_UP_ACCOUNTS = ("51000", "51050", "51100")
 
 
-# Test tables that arrive as one file with one row group, which a scan cannot split; a stored cube needs none of this.
+# Test tables that may arrive as one file with one row group, which a scan cannot split; a stored cube needs none of this.
 WIDE_TABLES = ("lineitem", "events", "documents", "conversations")
+# The rows that a task takes of a table that has to be dealt out, and of a shuffle.
+DEALT_ROWS, SHUFFLED_ROWS = 500_000, 250_000
 
 
 _SCHEMAS: dict[tuple[str, str], StructType] = {}
@@ -47,6 +50,37 @@ def read_known(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
+_HELD: dict[tuple[str, str], list[int]] = {}
+
+
+def rows_by_task(spark: SparkSession, path: str) -> list[int]:
+    """The rows that each task of a scan gets, counted once per application and from the files' footers alone."""
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _HELD:
+        _HELD[key] = [r["count"] for r in read_known(spark, path).groupBy(F.spark_partition_id()).count().collect()]
+    return _HELD[key]
+
+
+def dealt(spark: SparkSession, path: str) -> DataFrame:
+    """A wide table in at least as many tasks as there are cores, and more as it grows.
+
+    Only a table that its scan cannot spread is dealt out; any other is read where it lies, without a shuffle.
+    """
+    df, held = read_known(spark, path), rows_by_task(spark, path)
+    cores = spark.sparkContext.defaultParallelism
+    more_partitions(spark, -(-sum(held) // SHUFFLED_ROWS))
+    if len(held) >= cores and max(held) <= 2 * max(DEALT_ROWS, sum(held) // cores):
+        return df
+    return df.repartition(max(cores, -(-sum(held) // DEALT_ROWS)))
+
+
+def more_partitions(spark: SparkSession, wanted: int) -> None:
+    """Let shuffles start from at least so many partitions, so that none grows with the input; AQE joins small ones."""
+    option = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    if wanted > int(spark.conf.get(option, None) or spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set(option, wanted)
+
+
 class TestCube:
     """Cube views over one folder of test tables."""
 
@@ -59,9 +93,8 @@ class TestCube:
 
     def table(self, name: str) -> DataFrame:
         if name not in self._tables:
-            df = read_known(self.spark, f"{self.folder}/{name}.parquet")
-            # whatever the size, rows in turn: one long key is never one task
-            self._tables[name] = df.repartition(self.spark.sparkContext.defaultParallelism) if name in WIDE_TABLES else df
+            path = f"{self.folder}/{name}.parquet"
+            self._tables[name] = dealt(self.spark, path) if name in WIDE_TABLES else read_known(self.spark, path)
         return self._tables[name]
 
     @cached_property
@@ -81,14 +114,18 @@ class TestCube:
         price = (
             F.col("list_price") * (100 - F.col("l_linenumber")).cast("decimal(3,0)") * F.lit(Decimal("0.01")).cast("decimal(2,2)")
         ).cast("decimal(14,4)")
-        # One chain over base tables: the size of each is known from its files, so the optimizer
-        # picks broadcast or sort-merge per join by real sizes, not by estimates of joined sides.
+        # Orders meet their buyers before lines do: orders are fewer, and lines, the many, then move once for both.
+        # Lines meet part and seller while they are narrow.
+        bought = (
+            orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+            .join(customer.select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"))
+            .join(buyer, "c_nationkey").join(region, "buyer_region")
+        )
         rows = (
-            line.join(orders, line.l_orderkey == orders.o_orderkey)
-            .join(customer, orders.o_custkey == customer.c_custkey)
-            .join(part, line.l_partkey == part.p_partkey)
+            line.join(part, line.l_partkey == part.p_partkey)
             .join(supplier, line.l_suppkey == supplier.s_suppkey)
-            .join(buyer, "c_nationkey").join(region, "buyer_region").join(seller, "s_nationkey")
+            .join(seller, "s_nationkey")
+            .join(bought, line.l_orderkey == bought.o_orderkey)
             .select(
                 "company",
                 F.trunc("o_orderdate", "month").alias("period_month"),
@@ -144,8 +181,8 @@ class TestCube:
 
     @cached_property
     def vintages(self) -> DataFrame:
-        return self.spark.createDataFrame(
-            CLOSES, "vintage int, closed_at string, note string"
+        return listed(
+            self.spark, CLOSES, "vintage int, closed_at string, note string"
         ).withColumn("closed_at", F.to_timestamp_ntz("closed_at")).select(*VINTAGE_SCHEMA.fieldNames())
 
     def plan(self, scenarios: Iterable[str] = SCENARIOS) -> DataFrame:
@@ -227,7 +264,7 @@ class TestCube:
         kind = (F.when(F.col("account").startswith("41"), "Revenue").when(F.col("account") == "63100", "OpEx")
                 .otherwise("COGS"))
         rows = [(a,) for a in (*ACCOUNT_BY_DIGIT, "51500")]
-        return self.spark.createDataFrame(rows, "account string").withColumn("account_type", kind)
+        return listed(self.spark, rows, "account string").withColumn("account_type", kind)
 
     @cached_property
     def companies(self) -> DataFrame:

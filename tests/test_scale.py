@@ -45,3 +45,25 @@ def test_postings_of_a_close_are_counted_before_they_meet_it(spark):
     rows = [re.sub(r"^[ :+-]*", "", row) for row in text.splitlines()]
     joined = next(n for n, row in enumerate(rows) if row.startswith("Join") and "vintage" in row)
     assert [row for row in rows[joined + 1:] if row.startswith("Aggregate [_version")]
+
+
+def test_a_table_that_its_scan_spreads_is_not_dealt_out(spark, tmp_path, monkeypatch):
+    many, one = str(tmp_path / "many.parquet"), str(tmp_path / "one.parquet")
+    spark.range(4000).repartition(64).write.parquet(many)
+    spark.range(4000).coalesce(1).write.parquet(one)
+    monkeypatch.setattr(testcube, "DEALT_ROWS", 100)
+    monkeypatch.setattr(testcube, "rows_by_task", lambda s, path: [500] * 8 if path == many else [4000])
+    spread, dealt = testcube.dealt(spark, many), testcube.dealt(spark, one)
+    assert "Exchange" not in plan_of(spread) and spread.count() == 4000
+    assert dealt.rdd.getNumPartitions() == 40 and dealt.count() == 4000  # as many as its rows ask for
+
+
+def test_shuffles_start_from_more_partitions_never_fewer(spark):
+    option = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = spark.conf.get(option, None)
+    try:
+        testcube.more_partitions(spark, 300)
+        testcube.more_partitions(spark, 20)
+        assert spark.conf.get(option) == "300"
+    finally:
+        spark.conf.unset(option) if before is None else spark.conf.set(option, before)
