@@ -19,11 +19,11 @@ FOLDER = "period_month"
 def store_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
     """Write a fact table by month and bucket as ``table``, its files at ``path``.
 
-    Rows are dealt out by bucket and month before they are written, so that each folder gets one file per bucket; a month
-    that holds most rows still spreads over all buckets.
+    Rows are dealt out by bucket and month before they are written, so that each folder gets one file per bucket and all
+    tasks of the session write; a month that holds most rows still spreads over all buckets. The writer sorts.
     """
-    dealt = df.repartition(max(buckets, 1), *BUCKET_KEYS)
-    (dealt.sortWithinPartitions(FOLDER, *BUCKET_KEYS).write.mode("errorifexists").partitionBy(FOLDER)
+    bucket = F.pmod(F.hash(*BUCKET_KEYS), F.lit(max(buckets, 1)))
+    (df.repartition(FOLDER, bucket).write.mode("errorifexists").partitionBy(FOLDER)
      .bucketBy(buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS).option("path", path).saveAsTable(table))
 
 

@@ -67,3 +67,18 @@ def test_shuffles_start_from_more_partitions_never_fewer(spark):
         assert spark.conf.get(option) == "300"
     finally:
         spark.conf.unset(option) if before is None else spark.conf.set(option, before)
+
+
+def test_more_tasks_than_buckets_write_a_stored_table(spark, tmp_path):
+    months = [dt.date(2026, m, 1) for m in range(1, 13)]
+    rows = spark.createDataFrame([("C", m, "41000", f"h{n}", n) for m in months for n in range(8)],
+                                 "company string, period_month date, account string, dim_signature_hash string, n int")
+    name, path, option = f"t_{uuid.uuid4().hex}", str(tmp_path / "t"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(option, "false")
+    try:
+        layout.store_bucketed(rows, name, path, 2)
+    finally:
+        spark.conf.unset(option)
+    files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
+    assert len({os.path.basename(f).split("-")[1] for f in files}) > 2 and len(files) <= 24
+    assert spark.table(name).count() == 96
