@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallyweave.functions.money import ratio
 from tallyweave.functions.periods import add_months
 from tallyweave.model import BY_HASH, GRAIN, IDENTITY, PLAN_GRAIN
+from tallyweave.session import cut
 
 
 def _moment(as_of: str | datetime) -> Column:
@@ -160,8 +161,9 @@ def driver_now(drivers: DataFrame, moment: Column) -> DataFrame:
 
 def citation_rows(ledger: DataFrame, vintages: DataFrame, keys: DataFrame, as_of, scope: DataFrame) -> DataFrame:
     """Live ledger rows behind cited grain keys at a pinned close; keys outside the caller's scope are refused."""
+    keys = cut(keys.select(*GRAIN).distinct())  # read by both checks and by the ledger
     check_citation_request(keys, scope)
-    return ledger_as_of(ledger.join(keys.select(*GRAIN).distinct(), list(GRAIN), "left_semi"), vintages, as_of)
+    return ledger_as_of(ledger.join(keys, list(GRAIN), "left_semi"), vintages, as_of)
 
 
 def check_citation_request(keys: DataFrame, scope: DataFrame) -> None:

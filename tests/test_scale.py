@@ -82,3 +82,10 @@ def test_more_tasks_than_buckets_write_a_stored_table(spark, tmp_path):
     files = [os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(".parquet")]
     assert len({os.path.basename(f).split("-")[1] for f in files}) > 2 and len(files) <= 24
     assert spark.table(name).count() == 96
+
+
+def test_cited_keys_are_computed_once(spark, tmp_path):
+    cube, path = TestCube(spark, FOLDER), str(tmp_path / "asked")
+    cube.postings.select(*GRAIN).limit(5).write.parquet(path)
+    got = asof.citation_rows(cube.ledger, cube.vintages, spark.read.parquet(path), None, cube.companies)
+    assert "asked" not in plan_of(got) and got.count() > 0
