@@ -11,6 +11,7 @@ from tallyweave.operators import asof, bridge, explain, vintage
 from tallyweave.plans.catalog.base import query, view
 from tallyweave.plans.catalog.reads import AUGUST, DEL, JULY, MEASURE_SQL, REV, rnd
 from tallyweave.plans.metric import metric_query
+from tallyweave.session import cut
 from tallyweave.sources.testcube import CUBE_DIMS, PLAN_VERSION
 
 PLAN = (PLAN_VERSION, "base")
@@ -171,9 +172,12 @@ _MARGIN_CASES = (("services_revenue", REV), ("delivery_cost", DEL), ("gross_marg
     f"SELECT '{name}' AS measure, {SHOWN} FROM ({node_sql([], where=f'account IN {accounts}')})" for name, accounts in _MARGIN_CASES))
 def bridge_margin(cube):
     """Root nodes of a revenue, a cost and a margin bridge: only the last one turns cost negative."""
+    # the lines of all three are matched once and kept; each bridge takes those of its accounts
+    lines = cut(lines_of(cube, measures=[name for name, _ in _MARGIN_CASES]).select(
+        "account", "account_type", "plan_fx", "actual_fx", "plan_quantity", "plan_unit_price", "plan_amount", "actual_quantity", "actual_amount"))
     out = None
     for name, _ in _MARGIN_CASES:
-        root = shown(bridge.decompose(lines_of(cube, measures=[name]))).withColumn("measure", F.lit(name))
+        root = shown(bridge.decompose(lines.filter(F.col("account").isin(*bridge.bridge_accounts([name]))))).withColumn("measure", F.lit(name))
         out = root if out is None else out.unionByName(root)
     return out
 

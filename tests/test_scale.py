@@ -89,3 +89,9 @@ def test_cited_keys_are_computed_once(spark, tmp_path):
     cube.postings.select(*GRAIN).limit(5).write.parquet(path)
     got = asof.citation_rows(cube.ledger, cube.vintages, spark.read.parquet(path), None, cube.companies)
     assert "asked" not in plan_of(got) and got.count() > 0
+
+
+def test_three_margin_bridges_match_their_lines_once(spark, monkeypatch):
+    calls, real = [], bridges.lines_of
+    monkeypatch.setattr(bridges, "lines_of", lambda *a, **k: calls.append(k) or real(*a, **k))
+    assert CATALOG["bridge_margin"].build(spark, FOLDER).select("measure").distinct().count() == 3 and len(calls) == 1
