@@ -10,8 +10,9 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from tallyweave.model import BASE_SCENARIO, BY_HASH
 from tallyweave.operators.asof import latest_revision, plan_current
@@ -21,6 +22,9 @@ from tallyweave.session import cut, listed
 
 SCOPE = ("companies", "months")
 LINE_KEY = ("plan_version", *BY_HASH, "scenario_id")
+#: A number that the line's key determines, by which lines may be dealt out; see ``unpublish``.
+PART = "__part"
+Deal = Callable[[DataFrame], DataFrame]
 
 
 @dataclass(frozen=True)
@@ -275,10 +279,51 @@ def stage(recomputed: DataFrame, revision: int, columns: Sequence[str]) -> DataF
     return recomputed.withColumn("revision", F.lit(revision)).select(*columns)
 
 
-def preimage(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
-    """The published rows a revision is about to replace."""
-    replaced = staged.filter(F.col("revision") == revision).select(*LINE_KEY)
-    return latest_revision(live).join(replaced, list(LINE_KEY), "left_semi").withColumn("preimage_for_revision", F.lit(revision))
+def _beside(live: DataFrame, staged: DataFrame, **more: Column) -> DataFrame:
+    """Live and staged lines in one table, ``__new`` telling which is which; ``more`` names columns of staged lines only.
+
+    Windows over the line's key then match both. Lines that come from one plan lie by their grain already, so they meet
+    where they are; and since both sides ask the plan for the same columns, Spark computes it once. A join would ask for
+    other columns of each side and deal both out again, by scenario too.
+    """
+    old = [c for c in live.columns if c in staged.columns]
+    new = staged.select(*old, *[c.alias(name) for name, c in more.items()], F.lit(True).alias("__new"))
+    return live.withColumn("__new", F.lit(False)).unionByName(new, allowMissingColumns=True)
+
+
+def _line(both: DataFrame) -> WindowSpec:
+    """Lines of one key, found inside their part where ``both`` was dealt out by parts."""
+    return Window.partitionBy(*LINE_KEY, *[c for c in both.columns if c == PART])
+
+
+def _known() -> Column:
+    """A line meets another only if its whole key is known."""
+    return reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in LINE_KEY])
+
+
+def _as_in(live: DataFrame, names: Sequence[str]) -> list[Column]:
+    """Columns with the types they had in ``live``."""
+    return [F.col(c).cast(live.schema[c].dataType).alias(c) for c in names]
+
+
+def _with_staged(live: DataFrame, staged: DataFrame, outer: bool, **more: Column) -> DataFrame:
+    """Live lines with ``more`` of each staged line of their key; ``outer`` keeps those that have none."""
+    both = _beside(live, staged, **more)
+    each = F.collect_list(F.when(F.col("__new"), F.struct(*more))).over(_line(both))
+    met = both.withColumn("__met", F.when(_known(), each)).filter(~F.col("__new"))
+    names = [*LINE_KEY, *[c for c in live.columns if c not in LINE_KEY]]
+    return met.withColumn("__met", (F.explode_outer if outer else F.explode)("__met")).select(
+        *_as_in(live, names), *[F.col(f"__met.{name}").alias(name) for name in more])
+
+
+def preimage(live: DataFrame, staged: DataFrame, revision: int, deal: Deal = lambda both: both) -> DataFrame:
+    """The published rows a revision is about to replace. ``deal`` may lay the lines out before they meet."""
+    both = deal(_beside(live, staged.filter(F.col("revision") == revision)))
+    line = _line(both)
+    both = both.withColumns({"__rank": F.row_number().over(line.orderBy("__new", F.desc("revision"))),
+                             "__met": F.max("__new").over(line) & _known()})
+    return both.filter(~F.col("__new") & (F.col("__rank") == 1) & F.col("__met")).select(
+        *_as_in(live, live.columns)).withColumn("preimage_for_revision", F.lit(revision))
 
 
 def publish_mismatch(staged: DataFrame, plan_version: str, revision: int, expected: int | Column) -> DataFrame:
@@ -304,14 +349,18 @@ def publish(live: DataFrame, staged: DataFrame, revision: int) -> DataFrame:
     return live.join(fresh.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns).unionByName(fresh)
 
 
-def unpublish(live: DataFrame, preimages: DataFrame, revision: int) -> DataFrame:
+def unpublish(live: DataFrame, preimages: DataFrame, revision: int, deal: Deal = lambda both: both) -> DataFrame:
     """The plan as it was before a revision: its rows out, the replaced rows back in where no later revision stands.
 
-    Doing it twice is doing it once.
+    Doing it twice is doing it once. ``deal`` may lay the replaced rows and the keys that stay out before they meet;
+    rows that stay are not moved.
     """
     kept = live.filter(F.col("revision") != revision)
     back = preimages.filter(F.col("preimage_for_revision") == revision).select(*live.columns)
-    return kept.unionByName(back.join(kept.select(*LINE_KEY), list(LINE_KEY), "left_anti").select(*live.columns))
+    both = deal(_beside(back, kept.select(*LINE_KEY)))
+    met = F.max("__new").over(_line(both)) & _known()
+    returned = both.withColumn("__met", met).filter(~F.col("__new") & ~F.col("__met"))
+    return kept.unionByName(returned.select(*live.columns))
 
 
 def discard(staged: DataFrame, revision: int) -> DataFrame:
@@ -320,10 +369,9 @@ def discard(staged: DataFrame, revision: int) -> DataFrame:
 
 def live_with_staged(live: DataFrame, staged: DataFrame, plan_version: str, revision: int) -> DataFrame:
     """Every published line of a plan with the amount it would have if the revision's staged rows replaced theirs."""
-    live = plan_current(live, plan_version)
-    moved = _of(staged, plan_version, revision).select(*LINE_KEY, F.col("amount_functional").alias("staged_amount"))
-    return live.join(moved, list(LINE_KEY), "left").withColumn(
-        "after_amount", F.coalesce("staged_amount", "amount_functional"))
+    found = _with_staged(plan_current(live, plan_version), _of(staged, plan_version, revision), True,
+                         staged_amount=F.col("amount_functional"))
+    return found.withColumn("after_amount", F.coalesce("staged_amount", "amount_functional"))
 
 
 def _of(rows: DataFrame, plan_version: str, revision: int) -> DataFrame:
@@ -339,10 +387,11 @@ def baseline_vs_staged(baseline: DataFrame, staged: DataFrame, fx_plan: DataFram
     rates = rates_to(fx_plan, plan_version=plan_version)
     was = baseline.filter(F.col("plan_version") == plan_version).select(*LINE_KEY, "functional_currency", F.col("quantity").alias("plan_quantity"),
                           F.col("unit_price").alias("plan_unit_price"), F.col("amount_functional").alias("plan_amount"))
-    now = _of(staged, plan_version, revision).select(*LINE_KEY, F.col("quantity").alias("actual_quantity"), F.col("unit_price").alias("actual_unit_price"),
-                        F.col("amount_functional").alias("actual_amount"))
+    now = _of(staged, plan_version, revision).withColumns({
+        "plan_quantity": F.col("quantity"), "plan_unit_price": F.col("unit_price"), "plan_amount": F.col("amount_functional")})
     return (
-        was.join(now, list(LINE_KEY))
+        _with_staged(was, now, False, actual_quantity=F.col("quantity"), actual_unit_price=F.col("unit_price"),
+                     actual_amount=F.col("amount_functional"))
         .join(accounts.select("account", "account_type"), "account")
         .join(rates, ["period_month", "functional_currency"], "left")
         .withColumn("plan_fx", checked_rate()).withColumn("actual_fx", F.col("plan_fx")).drop("rates", "rate")
