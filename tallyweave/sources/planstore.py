@@ -11,20 +11,23 @@ Steps of one plan version follow each other; two writers at once are not coordin
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.model import BASE_SCENARIO, STORED_PLAN_SCHEMA
+from tallyweave.model import BASE_SCENARIO, DIMENSIONS, STORED_PLAN_SCHEMA
 from tallyweave.operators import recompute
 from tallyweave.operators.asof import latest_revision
 from tallyweave.session import drop_folder, get_texts, put_text
-from tallyweave.sources.sinks import append_once, even_files, read_or_empty
+from tallyweave.sources.sinks import append_once, read_or_empty
 
 FOLDER = ("scenario_id", "period_month")
 DONE, UNDONE = "DONE", "UNDONE"
+# Fixed value: the rows of a folder that one task takes.
+PART_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -58,16 +61,33 @@ class PlanStore:
         """The rows that a revision replaced, with ``preimage_for_revision``."""
         return self._side(plan_version, revision, "replaced").withColumn("preimage_for_revision", F.lit(revision))
 
-    def _write(self, lines: DataFrame, plan_version: str, revision: int, kind: str) -> None:
+    def _in_order(self, lines: DataFrame, *first: str) -> DataFrame:
+        """Lines of a task as files hold them. Equal dimensions side by side keep files and later shuffles small."""
+        names = [c for c in self.schema.fieldNames() if c != "plan_version"]
+        order = [*FOLDER, "company", "account", *[c for c in DIMENSIONS if c in names]]
+        return lines.select(*first, *names).sortWithinPartitions(*first, *order)
+
+    def _write(self, lines: DataFrame, plan_version: str, revision: int, kind: str, by: Sequence[str] = ()) -> None:
         """Replace a side table of one revision."""
-        kept = [c for c in self.schema.fieldNames() if c != "plan_version"]
-        lines.select(*kept).write.mode("overwrite").parquet(self._side_path(plan_version, revision, kind))
+        (self._in_order(lines).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by)
+         .parquet(self._side_path(plan_version, revision, kind)))
 
     def _replace(self, lines: DataFrame, plan_version: str) -> None:
-        """Replace the live folders that ``lines`` has rows for, and no others."""
-        kept = [c for c in self.schema.fieldNames() if c != "plan_version"]
-        (even_files(lines.select(*kept), FOLDER, ("company", "account")).write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDER).parquet(self._plan_path(plan_version)))
+        """Replace the live folders that ``lines`` has rows for, and no others. Lines lie by folder already."""
+        (self._in_order(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDER)
+         .parquet(self._plan_path(plan_version)))
+
+    @staticmethod
+    def _by_folder(lines: DataFrame) -> DataFrame:
+        """Lines dealt out by folder and, where a folder holds many, by a part of it that the line's key determines.
+
+        What meets by key then also lies as it will be written, so nothing is moved twice.
+        """
+        parts = lines.groupBy(*FOLDER).agg(F.ceil(F.count(F.lit(1)) / F.lit(PART_ROWS)).alias("__parts"))
+        part = F.pmod(F.hash(*recompute.LINE_KEY), F.coalesce("__parts", F.lit(1)))
+        # one row per folder, a size that the optimizer cannot know
+        return lines.join(F.broadcast(parts), list(FOLDER), "left").withColumn(recompute.PART, part).drop("__parts").repartition(
+            *FOLDER, recompute.PART)
 
     @staticmethod
     def _folders(lines: DataFrame) -> set[tuple]:
@@ -118,7 +138,9 @@ class PlanStore:
         """The first lines of a plan version: the highest revision per grain. A stored version is refused."""
         if not self.plan(plan_version).isEmpty():
             raise ValueError(f"plan {plan_version} is stored already")
-        self._replace(latest_revision(lines.filter(F.col("plan_version") == plan_version)), plan_version)
+        found = latest_revision(lines.filter(F.col("plan_version") == plan_version))
+        # by month alone: a line's scenarios then travel side by side, and cost little more than one of them
+        self._replace(found.hint("rebalance", F.col("period_month")), plan_version)
 
     def stage(self, lines: DataFrame, plan_version: str, revision: int) -> None:
         """Recomputed lines as a revision that waits; staging it again replaces it, a published one is refused."""
@@ -140,7 +162,9 @@ class PlanStore:
         if known:
             return known[1]
         staged = self.staged(plan_version, revision)
-        self._write(recompute.preimage(self.touched(staged, plan_version), staged, revision), plan_version, revision, "replaced")
+        known = staged.select(*recompute.LINE_KEY, "revision")
+        replaced = recompute.preimage(self.touched(staged, plan_version), known, revision, self._by_folder)
+        self._write(replaced, plan_version, revision, "replaced")
         return self._snapshot_taken(plan_version, revision)
 
     def _snapshot_taken(self, plan_version: str, revision: int) -> int:
@@ -179,19 +203,22 @@ class PlanStore:
         Both come from one pass over the touched folders: of each line the highest revision stays, and live lines that
         stand beside a staged one are replaced.
         """
-        if self._is(plan_version, revision, "preimage"):
-            after = latest_revision(self.touched(staged, plan_version).unionByName(staged))
-            self._write(after, plan_version, revision, "after")
-            return
+        kept_before = self._is(plan_version, revision, "preimage")
         live = self.touched(staged, plan_version).withColumn("__new", F.lit(False))
-        line = Window.partitionBy(*recompute.LINE_KEY)
-        both = live.unionByName(staged.withColumn("__new", F.lit(True))).withColumns({
+        both = self._by_folder(live.unionByName(staged.withColumn("__new", F.lit(True))))
+        line = Window.partitionBy(*recompute.LINE_KEY, recompute.PART)
+        both = both.withColumns({
             "__rank": F.row_number().over(line.orderBy(F.desc("revision"), F.desc("__new"))), "__met": F.max("__new").over(line)})
-        kinds = F.array_compact(F.array(F.when(F.col("__rank") == 1, "after"), F.when(F.col("__met") & ~F.col("__new"), "replaced")))
-        kept = [c for c in self.schema.fieldNames() if c != "plan_version"]
-        both.select(*kept, F.explode(kinds).alias("kind")).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(self._side_path(plan_version, revision))
-        self._snapshot_taken(plan_version, revision)
+        kinds = [F.when(F.col("__rank") == 1, "after")]
+        if not kept_before:
+            kinds.append(F.when(F.col("__met") & ~F.col("__new"), "replaced"))
+        for kind in ("after", "replaced")[:len(kinds)]:  # what a lost try left
+            drop_folder(self.spark, self._side_path(plan_version, revision, kind))
+        sides = both.withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
+        self._in_order(sides, "kind").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "kind", *FOLDER).parquet(self._side_path(plan_version, revision))
+        if not kept_before:
+            self._snapshot_taken(plan_version, revision)
 
     def unpublish(self, plan_version: str, revision: int) -> int:
         """Take a revision back: its rows go, the rows that it replaced return. Returns how many did.
@@ -207,8 +234,8 @@ class PlanStore:
                 now = self.touched(self.staged(plan_version, revision), plan_version)
             else:
                 now = self._side(plan_version, revision, "after")
-            before = recompute.unpublish(now, self.preimage(plan_version, revision), revision)
-            self._write(before, plan_version, revision, "undo")
+            before = recompute.unpublish(now, self.preimage(plan_version, revision), revision, self._by_folder)
+            self._write(before, plan_version, revision, "undo", by=FOLDER)
             self._set(plan_version, revision, "undo", DONE, rows)
         undo = self._side(plan_version, revision, "undo")
         self._replace(undo, plan_version)

@@ -118,6 +118,25 @@ def test_a_lost_publication_is_repeated(spark, store, monkeypatch, step):
     assert store.unpublish(PV, 2) == 6 and rows(store.plan(PV)) == before
 
 
+def test_what_meets_lies_as_it_will_be_written(spark, store, monkeypatch):
+    monkeypatch.setattr(planstore, "PART_ROWS", 1)  # a part per line
+    before, real = rows(store.plan(PV)), PlanStore._replace
+    store.stage(frame(spark, [*staged_rows(2), line("base", None, "41000", 5, 2), line("stretch", None, "41000", 5, 2)]), PV, 2)
+    moved = []
+
+    def seen(self, lines, version):
+        moved.append((lines._jdf.queryExecution().executedPlan().toString(), {f.split("/kind=")[1].rsplit("/", 1)[0] for f in lines.inputFiles()}))
+        real(self, lines, version)
+
+    monkeypatch.setattr(PlanStore, "_replace", seen)
+    assert store.publish(PV, 2, 2) == 4
+    assert len(rows(store.plan(PV).filter("period_month IS NOT NULL"))) == 12 and store.plan(PV).count() == 14
+    assert rows(store.preimage(PV, 2)) == [r for r in before if r[1] == MONTHS[0] and r[2] == "41000"]
+    assert store.unpublish(PV, 2) == 2 and rows(store.plan(PV).filter("period_month IS NOT NULL")) == before
+    for (text, folders), kind in zip(moved, ("after", "undo"), strict=True):
+        assert "Exchange" not in text and f"{kind}/scenario_id=base/period_month={MONTHS[0]}" in folders
+
+
 def test_a_lost_taking_back_is_repeated(spark, store, monkeypatch):
     before = rows(store.plan(PV))
     store.stage(frame(spark, [*staged_rows(2, MONTHS), line("base", dt.date(2027, 1, 1), "41000", 5, 2), line("stretch", dt.date(2027, 1, 1), "41000", 5, 2)]), PV, 2)
