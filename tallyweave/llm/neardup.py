@@ -7,11 +7,16 @@ estimates the similarity of a candidate pair. What could still reach the thresho
 Groups of copies are not expanded into pairs. Equal sets become one class first. Every member meets one other: the
 smallest that shares any bucket with it. A bucket whose members then lie in one component is done. In the others a
 shingle that no other member of an unfinished bucket has can be in no intersection: a member with too many of those can
-reach no partner of the bucket's sizes and leaves. Of the rest, members are picked to meet the others, eight times as
-many each round, where sizes and packed bits allow the threshold, until all have met or share a component. Two documents
-meet in the first of their common buckets only. So no bucket is capped, all pruning is exact but for the bits, and a
-group of copies that hangs together costs a pair per member. Members of a bucket that are nearly similar enough, and
-linked with none of it, have to be compared with all of it.
+reach no partner of the bucket's sizes and leaves. Of the rest, a few members are picked to meet the others, where sizes
+and packed bits allow the threshold. Two documents meet in the first of their common buckets only.
+
+Buckets that are still unfinished form groups by their smallest member, and there all that has to meet has met when
+picked members, eight times as many each round, have met the others. A set is described by what it differs in from the
+shingles that most of its group have: two sets differ in what is in one description only. Descriptions of near copies
+are short and mostly differ, so either two of them are so short that the sets are linked, then both are linked with the
+set of the shortest, or they must have a number of shingles in common that follows from their lengths, and one of them
+among the first, rarest ones. Only members that have are compared. No bucket is capped, all pruning is exact but for the
+bits, and members that are nearly similar enough cost pairs only if they differ from the rest in the same way.
 
 A pair at exactly 80 % shares no band with probability 3e-6 and less above; the bit count then passes over one with
 a probability below 1e-6.
@@ -35,6 +40,10 @@ MINIMA = BANDS * ROWS
 BITS, LONGS = 4, MINIMA * 4 // 64
 #: Fewest equal bit groups of 96 at which a pair may have a similarity of 0.8 (mean 78, deviation 3.8).
 LEAST_EQUAL = 56
+#: Picked members that the others of a bucket meet at first; eight times as many in each further round.
+FEW = 8
+#: Levels of excess in a group: the more, the shorter are the prefixes, and the more of them there are.
+LEVELS = 32
 _SEEDS = mix(np.arange(1, 2 * MINIMA + 1, dtype=U64))
 _FACTOR = (_SEEDS[:MINIMA] >> U64(32)).astype(np.uint32) | np.uint32(1)
 _FLIP = (_SEEDS[MINIMA:] >> U64(32)).astype(np.uint32)
@@ -157,6 +166,86 @@ def _own_shingles(sets: DataFrame, ids: DataFrame) -> DataFrame:
     return stored(sizes.join(own, "doc_id", "left").select("doc_id", "size", F.coalesce("own", F.lit(0)).alias("own")))
 
 
+def _bucket_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for *row, data in zip(*(batch.column(k).to_pylist() for k in (0, 1)), batch.column(2), strict=True):
+            values = np.frombuffer(data.as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(values), v, np.int64)) for v in row] + [pa.array(values)], ["bucket", "rows", "shingle"])
+
+
+def _deltas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes, found = [], []
+        for data, centre in zip(batch.column("shingles"), batch.column("centre"), strict=True):
+            values = np.frombuffer(data.as_buffer(), np.int64)
+            usual = np.asarray(centre.values) if centre.is_valid else values[:0]
+            sizes.append(len(values))
+            found.append(np.setxor1d(values, usual, assume_unique=True))
+        offs = np.zeros(len(found) + 1, np.int32)
+        np.cumsum([len(d) for d in found], out=offs[1:])
+        lists = pa.ListArray.from_arrays(pa.array(offs), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])))
+        names = ["bucket", "doc_id", "component", "pivot"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), pa.array(sizes, pa.int64()), lists],
+                                         [*names, "size", "delta"])
+
+
+def _described(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, doc_id, component, pivot, size, excess, common) of each set of the rows ``placed``.
+
+    A set x is described by the shingles in which it differs from those that more than half of its bucket have. With
+    d(x) of them and e(x) = (100 + percent) d(x) - (100 - percent) size(x), its excess, x and y are linked exactly if
+    the descriptions share at least (e(x) + e(y)) / (2 (100 + percent)) shingles. ``common`` holds those that another
+    set of the bucket has in its description too, the rarest first.
+    """
+    tally = (placed.select("bucket", "rows", "doc_id").join(sets, "doc_id").select("bucket", "rows", "shingles")
+             .mapInArrow(released(_bucket_shingles), "bucket long, rows long, shingle long")
+             .groupBy("bucket", "shingle").agg(F.count("*").alias("docs"), F.max("rows").alias("rows")))
+    centre = stored(tally.filter("2 * docs > rows").groupBy("bucket").agg(F.collect_list("shingle").alias("centre")))
+    names = ("bucket", "doc_id", "component", "pivot")
+    changed = stored(placed.select(*names).join(sets, "doc_id").join(centre, "bucket", "left")
+                     .select(*names, "shingles", "centre")
+                     .mapInArrow(released(_deltas), "bucket long, doc_id long, component long, pivot boolean, size long, "
+                                                    "delta array<long>")
+                     .withColumn("row", F.monotonically_increasing_id()))  # an id may have several sets
+    each = changed.select("row", "bucket", F.explode("delta").alias("shingle"))
+    weights = each.groupBy("bucket", "shingle").agg(F.count("*").alias("weight")).filter("weight > 1")
+    common = (each.join(weights, ["bucket", "shingle"]).groupBy("row")
+              .agg(F.sort_array(F.collect_list(F.struct("weight", "shingle"))).getField("shingle").alias("common")))
+    excess = (100 + percent) * F.size("delta").cast("long") - (100 - percent) * F.col("size")
+    return stored(changed.withColumn("excess", excess).drop("delta").join(common, "row", "left").drop("row"))
+
+
+def _meetings(placed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that may link a pivot's component with another one of its bucket, of the rows ``placed``."""
+    described = _described(placed, sets, percent)
+    double = 2 * (100 + percent)
+    star = stored(described.groupBy("bucket").agg(F.min(F.struct("excess", "size", "doc_id", "component")).alias("star")))
+    described = described.join(star, "bucket")
+    linked = described.filter((F.col("component") != F.col("star.component")) & (F.col("excess") + F.col("star.excess") <= 0))
+
+    # Fewer shared shingles are enough beside a smaller excess, so a row has a prefix for every level of partners.
+    step = F.col("star.size") * (double / LEVELS)
+    able = stored(described.filter(double * F.size("common") >= F.greatest(F.lit(double), F.col("excess") + F.col("star.excess")))
+                  .withColumn("level", F.least(F.lit(LEVELS), F.floor((F.col("excess") - F.col("star.excess")) / step)))
+                  .select("bucket", "doc_id", "component", "pivot", "excess", "common", F.size("common").alias("most"), "level"))
+    levels = able.groupBy("bucket", F.col("level").alias("other")).agg(F.min("excess").alias("base"),
+                                                                       F.max("most").alias("other_most"))
+    need = F.greatest(F.lit(1), F.ceil((F.col("excess") + F.col("base")) / double)).cast("int")
+    keyed = stored(able.join(stored(levels), "bucket").withColumn("need", need)
+                   .filter("need <= least(most, other_most)")
+                   .select("bucket", "level", "other", "doc_id", "component", "pivot", "excess", "most",
+                           F.explode(F.slice("common", F.lit(1), F.col("most") - F.col("need") + 1)).alias("shingle")))
+    pivots = keyed.filter("pivot").select(*(F.col(k).alias(f"p_{k}") for k in keyed.columns))
+    both = F.least("most", "p_most")
+    met = keyed.join(pivots, (F.col("bucket") == F.col("p_bucket")) & (F.col("shingle") == F.col("p_shingle"))
+                     & (F.col("level") == F.col("p_other")) & (F.col("other") == F.col("p_level"))
+                     & (F.col("component") != F.col("p_component"))
+                     & (double * both >= F.col("excess") + F.col("p_excess")))
+    return (met.select("doc_id", "p_doc_id").unionByName(linked.select("doc_id", F.col("star.doc_id").alias("p_doc_id")))
+            .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct())
+
+
 def _candidates(pairs: DataFrame, bits: DataFrame) -> DataFrame:
     """Pairs (a, b) whose packed signatures allow the threshold."""
     one = bits.select(F.col("doc_id").alias("a"), F.col("bits").alias("bits_a"))
@@ -187,6 +276,13 @@ def _unfinished(untested: DataFrame, found: DataFrame) -> DataFrame:
     return placed.join(stored(_open(placed)).drop("rows"), "bucket")
 
 
+def _picked(placed: DataFrame, width: int) -> DataFrame:
+    """The rows of unfinished buckets, with their number per bucket and whether they are among about ``width`` pivots."""
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(width)), F.lit(1 << 30)) / float(1 << 30)
+    return stored(placed.join(stored(_open(placed)), "bucket")
+                  .withColumn("pivot", draw * F.col("rows") < F.lit(float(width))))
+
+
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): n_shingles, component_id (smallest linked id), kept.
 
@@ -218,11 +314,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     follow = members.filter("doc_id <> lead")
     links = _links(follow.groupBy(F.col("doc_id").alias("b")).agg(F.min("lead").alias("a")), bits, sets, percent)
     found = components(links)
-    untested, width = members.select("bucket", "doc_id"), 8
-    while True:
-        placed = stored(_unfinished(untested, found))
-        if not placed.limit(1).count():
-            break
+    placed = stored(_unfinished(members.select("bucket", "doc_id"), found))
+    if placed.limit(1).count():
         present = stored(placed.select("doc_id").distinct())
         lists = (members.join(present, "doc_id", "left_semi").groupBy("doc_id")
                  .agg(F.collect_set("bucket").alias("buckets")))  # one per band at most
@@ -230,13 +323,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
         placed = stored(placed.join(facts, "doc_id"))
         least = placed.groupBy("bucket").agg(F.min("size").alias("least"))
         most = F.col("size") - F.col("own")  # the largest intersection with any other member
-        placed = placed.join(least, "bucket").filter(
-            100 * most >= percent * (F.col("size") + F.greatest("least", most) - most)).drop("least")
-        sized = stored(placed)
-        open_ = stored(_open(sized))
-        draw = F.pmod(F.xxhash64("doc_id", F.lit(width)), F.lit(1 << 30)) / float(1 << 30)
-        placed = stored(sized.join(open_, "bucket")
-                        .withColumn("pivot", draw * F.col("rows") < F.lit(float(width))).drop("rows"))
+        placed = stored(placed.join(least, "bucket").filter(
+            100 * most >= percent * (F.col("size") + F.greatest("least", most) - most)).drop("least"))
+        placed = _picked(placed, FEW)
         pivots = placed.filter("pivot").select(*(F.col(k).alias(f"p_{k}") for k in (
             "bucket", "doc_id", "component", "size", "own", "buckets", "bits")))
         both = F.least(F.col("size") - F.col("own"), F.col("p_size") - F.col("p_own"))
@@ -247,7 +336,16 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
                  .select(F.least("doc_id", "p_doc_id").alias("a"), F.greatest("doc_id", "p_doc_id").alias("b")).distinct())
         links = links.unionByName(_links(pairs, None, sets, percent))
         found = components(links)
-        untested, width = placed.filter(~F.col("pivot")).select("bucket", "doc_id"), width * 8
+        rest = _unfinished(placed.filter("NOT pivot").select("bucket", "doc_id"), found)
+        untested, width = rest.join(shared, "bucket").select(F.col("lead").alias("bucket"), "doc_id").distinct(), FEW * 8
+        while True:
+            placed = stored(_unfinished(untested, found))
+            if not placed.limit(1).count():
+                break
+            placed = _picked(placed, width)
+            links = links.unionByName(_links(_meetings(placed, sets, percent), bits, sets, percent))
+            found = components(links)
+            untested, width = placed.filter("NOT pivot").select("bucket", "doc_id"), width * 8
 
     groups = found.select(F.col("node").alias("first"), F.col("component"))
     return classed.join(groups, "first", "left").select(

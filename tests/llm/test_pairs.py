@@ -124,6 +124,48 @@ def test_near_duplicates_equal_brute_force(spark, n):
     assert len({c for _, c in got.values()}) < len(rows)
 
 
+def near_copies(rng, count, changes, words=150):
+    """Copies of one text with some words changed, each in other places."""
+    base = [f"b{k}" for k in range(words)]
+    out = []
+    for _ in range(count):
+        copy = list(base)
+        for at in rng.sample(range(words), rng.choice(changes)):
+            copy[at] = f"e{rng.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_near_duplicates_of_groups_that_hang_together_in_parts(spark, monkeypatch):
+    """With a single member picked at first, groups take several rounds: chains, families in families, repeated ids."""
+    monkeypatch.setattr(neardup, "FEW", 1)
+    rng = random.Random(80)
+    rows = list(enumerate(near_copies(rng, 60, (0, 1, 2, 4, 6, 9), 60)))
+    rows += [(100 + k, f"{t} {' '.join(f't{j}' for j in range(24))}") for k, t in enumerate(near_copies(rng, 30, (0, 2, 3), 60))]
+    rows += [(200 + k, t) for k, t in enumerate(edited_family(rng, 40))]
+    rows += [(300 + k, f"{t} {k} tail {k}") for k, t in enumerate(near_copies(rng, 20, (5, 6, 7, 8), 60))]
+    rows += [(k, t) for k, t in rows[:5]] + [(400, "b1 b2"), (401, "b1 b2 b3"), (402, None)]
+    rng.shuffle(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in
+           neardup.near_duplicates(docs(spark, rows).repartition(3), 4).collect()}
+    assert got == brute_groups(rows, 4)
+
+
+def test_few_pairs_of_a_large_group_of_near_copies_are_compared(spark, monkeypatch):
+    rng, compared, links = random.Random(8), [], neardup._links
+
+    def counted(pairs, *args):
+        compared.append(pairs.count())
+        return links(pairs, *args)
+
+    monkeypatch.setattr(neardup, "_links", counted)
+    texts = near_copies(rng, 300, (0, 1, 2, 3)) + near_copies(rng, 300, (4, 5, 6, 7))
+    rows = list(zip(rng.sample(range(10**6), len(texts)), texts, strict=True))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.near_duplicates(docs(spark, rows), 4).collect()}
+    assert got == brute_groups(rows, 4)
+    assert max(compared) < 12 * len(rows) and sum(compared[2:]) < 4 * len(rows)  # after the first pivots
+
+
 def test_near_duplicates_of_awkward_rows(spark):
     rows = awkward()
     got = neardup.near_duplicates(docs(spark, rows), 4).collect()
