@@ -11,7 +11,7 @@ from pyspark.sql.utils import AnalysisException
 
 from tallyweave.model import BASE_SCENARIO, GRAIN
 from tallyweave.operators.asof import plan_current
-from tallyweave.session import cut
+from tallyweave.session import cut, freeing
 
 
 def write_partitioned(df: DataFrame, path: str, by: Sequence[str] = ("period_month",), mode: str = "append",
@@ -106,7 +106,8 @@ def persist_report(report_id: str, head: DataFrame, rows: DataFrame, citations:
     part = f"report_id={report_id}"
     if exists(spark, f"{path}/report/{part}"):
         return False
-    rows.write.mode("overwrite").parquet(f"{path}/line/{part}")
-    citations.write.mode("overwrite").parquet(f"{path}/citation/{part}")
-    head.write.mode("overwrite").parquet(f"{path}/report/{part}")
+    with freeing(spark):
+        rows.write.mode("overwrite").parquet(f"{path}/line/{part}")
+        citations.write.mode("overwrite").parquet(f"{path}/citation/{part}")
+        head.write.mode("overwrite").parquet(f"{path}/report/{part}")
     return True

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tallyweave.operators import asof
 from tallyweave.session import FREE_SHUFFLES, cut, freeing
+from tallyweave.sources import sinks
 
 
 @pytest.fixture
@@ -61,3 +62,8 @@ def test_cited_keys_leave_no_shuffle(spark, left, monkeypatch):
     keys = ledger.filter("dim_signature_hash <> 'h2'").groupBy("company", "period_month", "account", "dim_signature_hash").count()
     got = asof.citation_rows(ledger, closes, keys, None, spark.createDataFrame([("C1",)], "company string"))
     assert not left() and got.count() == 6
+
+
+def test_a_stored_report_leaves_no_shuffle(spark, left, tmp_path):
+    assert sinks.persist_report("r", shuffled(spark), shuffled(spark), shuffled(spark), str(tmp_path))
+    assert not left() and spark.read.parquet(f"{tmp_path}/citation").count() == 7
