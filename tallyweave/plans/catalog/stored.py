@@ -110,13 +110,17 @@ def discard_staged(cube):
     return both.groupBy("scenario_id", "revision").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# Fixed value: the buckets of the stored cube.
+BUCKETS = 8
+
+
 def _stored_cube(cube) -> layout.StoredCube:
     """The cube's facts as bucketed tables of the session's catalog."""
     names = {}
-    for name, rows in (("ledger", cube.ledger), ("plan", cube.plan())):
+    for name, rows in (("ledger", cube.ledger), ("plan", cube.plan(deal=lambda base: layout.by_bucket(base, BUCKETS)))):
         path = fresh_folder(cube, name)
         names[name] = path.rsplit("/", 1)[1].replace("-", "_")
-        layout.store_bucketed(rows, names[name], path, 8)
+        layout.store_bucketed(rows, names[name], path, BUCKETS)
     layout.joins_in_place(cube.spark)
     return layout.StoredCube(cube.spark, names["ledger"], names["plan"], cube.vintages, cube.fx_plan, cube.fx_actual, cube.accounts)
 

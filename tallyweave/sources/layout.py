@@ -12,6 +12,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyweave.session import freeing
+
 BUCKET_KEYS = ("dim_signature_hash", "account", "company")
 FOLDER = "period_month"
 
@@ -22,9 +24,14 @@ def store_bucketed(df: DataFrame, table: str, path: str, buckets: int) -> None:
     Rows are dealt out by bucket and month before they are written, so that each folder gets one file per bucket and all
     tasks of the session write; a month that holds most rows still spreads over all buckets. The writer sorts.
     """
-    bucket = F.pmod(F.hash(*BUCKET_KEYS), F.lit(max(buckets, 1)))
-    (df.repartition(FOLDER, bucket).write.mode("errorifexists").partitionBy(FOLDER)
-     .bucketBy(buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS).option("path", path).saveAsTable(table))
+    with freeing(df.sparkSession):
+        (by_bucket(df, buckets).write.mode("errorifexists").partitionBy(FOLDER)
+         .bucketBy(buckets, *BUCKET_KEYS).sortBy(*BUCKET_KEYS).option("compression", "zstd").option("path", path).saveAsTable(table))
+
+
+def by_bucket(df: DataFrame, buckets: int) -> DataFrame:
+    """Rows dealt out as ``store_bucketed`` writes them; rows that lie so already are not moved again."""
+    return df.repartition(FOLDER, F.pmod(F.hash(*BUCKET_KEYS), F.lit(max(buckets, 1))))
 
 
 def joins_in_place(spark: SparkSession) -> None:

@@ -6,7 +6,7 @@ with ``tables.read_table``; the operators only see DataFrames.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from decimal import Decimal
 from functools import cached_property
 
@@ -185,8 +185,11 @@ class TestCube:
             self.spark, CLOSES, "vintage int, closed_at string, note string"
         ).withColumn("closed_at", F.to_timestamp_ntz("closed_at")).select(*VINTAGE_SCHEMA.fieldNames())
 
-    def plan(self, scenarios: Iterable[str] = SCENARIOS) -> DataFrame:
-        """Plan lines, revision 1, for the named scenarios."""
+    def plan(self, scenarios: Iterable[str] = SCENARIOS, deal: Callable[[DataFrame], DataFrame] = lambda base: base) -> DataFrame:
+        """Plan lines, revision 1, for the named scenarios.
+
+        ``deal`` may lay the grains out before their scenarios are made of them: a third of the rows to move.
+        """
         base = (
             self.postings.filter(F.col("l_partkey") % 20 != 0)
             .groupBy(*BY_HASH)
@@ -203,7 +206,7 @@ class TestCube:
                      F.lit(Decimal(SCENARIO_FACTORS[s][1])).cast("decimal(3,2)").alias("pf"))
             for s in scenarios])
         return (
-            base.withColumn("s", F.explode(factors))
+            deal(base).withColumn("s", F.explode(factors))
             .withColumn("quantity", (F.col("q") * F.col("s.qf")).cast("decimal(12,4)"))
             .withColumn("unit_price", (F.col("p") * F.col("s.pf")).cast("decimal(14,4)"))
             .select(

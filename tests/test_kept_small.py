@@ -5,13 +5,16 @@ from __future__ import annotations
 import datetime as dt
 import os
 import time
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from tallyweave.operators import asof
+from tallyweave.plans.catalog import CATALOG
 from tallyweave.session import FREE_SHUFFLES, cut, freeing
-from tallyweave.sources import sinks
+from tallyweave.sources import layout, sinks
+from tallyweave.sources.testcube import TestCube
 
 
 @pytest.fixture
@@ -67,3 +70,44 @@ def test_cited_keys_leave_no_shuffle(spark, left, monkeypatch):
 def test_a_stored_report_leaves_no_shuffle(spark, left, tmp_path):
     assert sinks.persist_report("r", shuffled(spark), shuffled(spark), shuffled(spark), str(tmp_path))
     assert not left() and spark.read.parquet(f"{tmp_path}/citation").count() == 7
+
+
+def test_a_stored_table_leaves_no_shuffle(spark, left, tmp_path):
+    rows = spark.createDataFrame([("C", dt.date(2026, m, 1), "41000", f"h{n}") for m in (1, 2) for n in range(8)],
+                                 "company string, period_month date, account string, dim_signature_hash string")
+    name = f"t_{uuid.uuid4().hex}"
+    layout.store_bucketed(rows, name, str(tmp_path / "t"), 2)
+    assert not left() and spark.table(name).count() == 16
+
+
+def depths(text, word):
+    return [row.index(word) for row in text.splitlines() if word in row]
+
+
+def test_grains_move_before_their_scenarios_are_made(spark):
+    cube = TestCube(spark, "/root/testdata/sf0.001")
+    plan = cube.plan(deal=lambda base: layout.by_bucket(base, 8))
+    text = layout.by_bucket(plan, 8)._jdf.queryExecution().executedPlan().toString()
+    dealt = depths(text, "REPARTITION_BY_COL")
+    assert len(dealt) == 1 and depths(text, "Generate explode")[0] < dealt[0]
+    assert plan.columns == cube.plan().columns
+    rows = [sorted(map(str, df.collect())) for df in (plan, cube.plan())]
+    assert rows[0] == rows[1] != []
+
+
+def test_the_stored_cube_deals_grains_not_lines(spark, monkeypatch):
+    stored, texts = layout.store_bucketed, {}
+
+    def seen(df, table, path, buckets):
+        text = layout.by_bucket(df, buckets)._jdf.queryExecution().executedPlan().toString()
+        texts[table.split("_")[0]] = (depths(text, "REPARTITION_BY_COL"), depths(text, "Generate explode"))
+        stored(df, table, path, buckets)
+
+    monkeypatch.setattr(layout, "store_bucketed", seen)
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    try:
+        assert CATALOG["ledger_as_of_stored"].build(spark, "/root/testdata/sf0.001").count() > 0
+    finally:
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", before)
+    (moved,), (scenarios, *_) = texts["plan"]
+    assert moved > scenarios and len(texts["ledger"][0]) == 1
