@@ -17,19 +17,20 @@ from tallyweave.plans.catalog.forecast import KEY, REVISION, SHOCKS, factors_of,
 from tallyweave.plans.catalog.reads import LEDGER_COLUMNS, rnd
 from tallyweave.session import cut
 from tallyweave.sources import layout
-from tallyweave.sources.planstore import PlanStore
+from tallyweave.sources.planstore import PlanStore, by_month
 from tallyweave.sources.testcube import PLAN_VERSION
 
 
 def _store(cube, *revisions, rows=SHOCKS) -> PlanStore:
     """The cube's plan as a stored one, with the same shocks staged as each revision."""
-    lines = cube.plan()
-    schema = T.StructType([T.StructField(f.name, MOVED) if f.name in ("quantity", "unit_price") else f for f in lines.schema.fields])
+    lines = cube.plan(deal=lambda base: by_month(base, cube.lines))
+    names = [c for c in lines.columns if c != recompute.PART]
+    schema = T.StructType([T.StructField(f.name, MOVED) if f.name in ("quantity", "unit_price") else f for f in lines.select(*names).schema.fields])
     store = PlanStore(cube.spark, fresh_folder(cube, "plans"), schema)
     store.load(lines, PLAN_VERSION)
     for revision in revisions:
         moved = recompute.recompute_lines(store.plan(PLAN_VERSION), factors_of(cube, rows)[0])
-        store.stage(recompute.stage(moved, revision, lines.columns), PLAN_VERSION, revision)
+        store.stage(recompute.stage(moved, revision, names), PLAN_VERSION, revision)
     return store
 
 

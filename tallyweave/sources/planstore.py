@@ -11,23 +11,47 @@ Steps of one plan version follow each other; two writers at once are not coordin
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyweave.model import BASE_SCENARIO, DIMENSIONS, STORED_PLAN_SCHEMA
+from tallyweave.model import BASE_SCENARIO, BY_HASH, PLAN_GRAIN, STORED_PLAN_SCHEMA
 from tallyweave.operators import recompute
-from tallyweave.operators.asof import latest_revision
-from tallyweave.session import drop_folder, get_texts, put_text
+from tallyweave.operators.asof import latest, latest_revision
+from tallyweave.session import drop_folder, freeing, get_texts, put_text
 from tallyweave.sources.sinks import append_once, read_or_empty
 
-FOLDER = ("scenario_id", "period_month")
+FOLDER = recompute.FOLDER
 DONE, UNDONE = "DONE", "UNDONE"
 # Fixed value: the rows of a folder that one task takes.
 PART_ROWS = 250_000
+# Fixed value: of the lines of all months, so many stand for one part of every month.
+MONTH_PART_LINES = 10_000_000
+# Live and side tables lie beside each other while a revision is put in place, so their files are packed well.
+PACKED = "zstd"
+
+
+def by_month(grains: DataFrame, lines: int) -> DataFrame:
+    """Grains dealt out by month and a part of it, as ``PlanStore.load`` writes what is made of them; ``PART`` tells so.
+
+    The part follows from the grain, so all lines of one grain lie together; there are more parts the more ``lines`` there
+    are, and a month that holds most of them spreads over all parts.
+    """
+    part = F.pmod(F.hash(*[c for c in BY_HASH if c != "period_month"]), F.lit(-(-max(lines, 1) // MONTH_PART_LINES)))
+    return grains.withColumn(recompute.PART, part).repartition("period_month", recompute.PART)
+
+
+def _step(run: Callable) -> Callable:
+    """A step of a plan: it leaves no shuffles to the next one."""
+    @wraps(run)
+    def freed(self: PlanStore, *args, **kwargs):
+        with freeing(self.spark):
+            return run(self, *args, **kwargs)
+    return freed
 
 
 @dataclass(frozen=True)
@@ -62,20 +86,25 @@ class PlanStore:
         return self._side(plan_version, revision, "replaced").withColumn("preimage_for_revision", F.lit(revision))
 
     def _in_order(self, lines: DataFrame, *first: str) -> DataFrame:
-        """Lines of a task as files hold them. Equal dimensions side by side keep files and later shuffles small."""
+        """Lines of a task as files hold them. Equal dimensions side by side keep files and later shuffles small.
+
+        Equal hashes have equal dimensions, and comparing them first makes the sort short.
+        """
         names = [c for c in self.schema.fieldNames() if c != "plan_version"]
-        order = [*FOLDER, "company", "account", *[c for c in DIMENSIONS if c in names]]
+        order = [*FOLDER, *[c for c in BY_HASH if c not in FOLDER]]
         return lines.select(*first, *names).sortWithinPartitions(*first, *order)
 
+    @staticmethod
+    def _store(lines: DataFrame, mode: str, by: Sequence[str], path: str) -> None:
+        lines.write.mode("overwrite").option("partitionOverwriteMode", mode).option("compression", PACKED).partitionBy(*by).parquet(path)
+
     def _write(self, lines: DataFrame, plan_version: str, revision: int, kind: str, by: Sequence[str] = ()) -> None:
         """Replace a side table of one revision."""
-        (self._in_order(lines).write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(*by)
-         .parquet(self._side_path(plan_version, revision, kind)))
+        self._store(self._in_order(lines), "static", by, self._side_path(plan_version, revision, kind))
 
     def _replace(self, lines: DataFrame, plan_version: str) -> None:
         """Replace the live folders that ``lines`` has rows for, and no others. Lines lie by folder already."""
-        (self._in_order(lines).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*FOLDER)
-         .parquet(self._plan_path(plan_version)))
+        self._store(self._in_order(lines), "dynamic", FOLDER, self._plan_path(plan_version))
 
     @staticmethod
     def _by_folder(lines: DataFrame) -> DataFrame:
@@ -134,14 +163,22 @@ class PlanStore:
 
     # -- steps -------------------------------------------------------------------------------------
 
+    @_step
     def load(self, lines: DataFrame, plan_version: str) -> None:
-        """The first lines of a plan version: the highest revision per grain. A stored version is refused."""
+        """The first lines of a plan version: the highest revision per grain. A stored version is refused.
+
+        Lines made of grains that ``by_month`` laid out are picked and written where they lie.
+        """
         if not self.plan(plan_version).isEmpty():
             raise ValueError(f"plan {plan_version} is stored already")
-        found = latest_revision(lines.filter(F.col("plan_version") == plan_version))
-        # by month alone: a line's scenarios then travel side by side, and cost little more than one of them
-        self._replace(found.hint("rebalance", F.col("period_month")), plan_version)
-
+        mine = lines.filter(F.col("plan_version") == plan_version)
+        if recompute.PART in lines.columns:
+            found = latest(mine, [*dict.fromkeys([*FOLDER, *PLAN_GRAIN, recompute.PART])], [F.desc("revision")])
+        else:  # by month alone: a line's scenarios then travel side by side, and cost little more than one of them
+            found = latest_revision(mine).hint("rebalance", F.col("period_month"))
+        self._replace(found, plan_version)
+
+    @_step
     def stage(self, lines: DataFrame, plan_version: str, revision: int) -> None:
         """Recomputed lines as a revision that waits; staging it again replaces it, a published one is refused."""
         self._not_published(plan_version, revision)
@@ -156,6 +193,7 @@ class PlanStore:
         if self._is(plan_version, revision, "publish"):
             raise ValueError(f"revision {revision} of {plan_version} is published")
 
+    @_step
     def snapshot(self, plan_version: str, revision: int) -> int:
         """Keep the live rows that a revision is about to replace: once, and never refreshed afterwards."""
         known = self.mark(plan_version, revision, "preimage")
@@ -172,6 +210,7 @@ class PlanStore:
         self._set(plan_version, revision, "preimage", DONE, count)
         return count
 
+    @_step
     def publish(self, plan_version: str, revision: int, expected: int) -> int:
         """Put a staged revision in place: ``expected`` rows in every scenario, base among them. Returns its rows.
 
@@ -206,20 +245,19 @@ class PlanStore:
         kept_before = self._is(plan_version, revision, "preimage")
         live = self.touched(staged, plan_version).withColumn("__new", F.lit(False))
         both = self._by_folder(live.unionByName(staged.withColumn("__new", F.lit(True))))
-        line = Window.partitionBy(*recompute.LINE_KEY, recompute.PART)
-        both = both.withColumns({
-            "__rank": F.row_number().over(line.orderBy(F.desc("revision"), F.desc("__new"))), "__met": F.max("__new").over(line)})
+        line = recompute.of_line(both).orderBy(F.desc("revision"), F.desc("__new"))
+        both = both.withColumns({"__rank": F.row_number().over(line), "__met": F.max("__new").over(recompute.whole(line))})
         kinds = [F.when(F.col("__rank") == 1, "after")]
         if not kept_before:
             kinds.append(F.when(F.col("__met") & ~F.col("__new"), "replaced"))
         for kind in ("after", "replaced")[:len(kinds)]:  # what a lost try left
             drop_folder(self.spark, self._side_path(plan_version, revision, kind))
         sides = both.withColumn("kind", F.explode(F.array_compact(F.array(*kinds))))
-        self._in_order(sides, "kind").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "kind", *FOLDER).parquet(self._side_path(plan_version, revision))
+        self._store(self._in_order(sides, "kind"), "dynamic", ("kind", *FOLDER), self._side_path(plan_version, revision))
         if not kept_before:
             self._snapshot_taken(plan_version, revision)
 
+    @_step
     def unpublish(self, plan_version: str, revision: int) -> int:
         """Take a revision back: its rows go, the rows that it replaced return. Returns how many did.
 

@@ -97,6 +97,11 @@ class TestCube:
             self._tables[name] = dealt(self.spark, path) if name in WIDE_TABLES else read_known(self.spark, path)
         return self._tables[name]
 
+    @property
+    def lines(self) -> int:
+        """The order lines, and so the postings of vintage 1."""
+        return sum(rows_by_task(self.spark, f"{self.folder}/lineitem.parquet"))
+
     @cached_property
     def postings(self) -> DataFrame:
         """Vintage 1: every order line as a posting."""
@@ -205,8 +210,9 @@ class TestCube:
                      F.lit(Decimal(SCENARIO_FACTORS[s][0])).cast("decimal(3,2)").alias("qf"),
                      F.lit(Decimal(SCENARIO_FACTORS[s][1])).cast("decimal(3,2)").alias("pf"))
             for s in scenarios])
+        lying = deal(base)
         return (
-            deal(base).withColumn("s", F.explode(factors))
+            lying.withColumn("s", F.explode(factors))
             .withColumn("quantity", (F.col("q") * F.col("s.qf")).cast("decimal(12,4)"))
             .withColumn("unit_price", (F.col("p") * F.col("s.pf")).cast("decimal(14,4)"))
             .select(
@@ -214,7 +220,8 @@ class TestCube:
                 "company", "period_month", "account", *CUBE_DIMS, "dim_signature_hash", "quantity", "unit_price",
                 amount_of(F.col("quantity"), F.col("unit_price")).alias("amount_functional"),
                 "functional_currency",
-                F.when(F.col("account").startswith("41"), "Revenue").otherwise("Cost").alias("plan_line_type"))
+                F.when(F.col("account").startswith("41"), "Revenue").otherwise("Cost").alias("plan_line_type"),
+                *[c for c in lying.columns if c not in base.columns])
         )
 
     @cached_property
